@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandline.llm import p1_repeated_lines as p1
 from strandline.llm import p2_oversized as p2
 from strandline.llm import p3_language as p3
+from strandline.llm import p4_sentences as p4
 from strandline.llm import p5_contributor_cap as p5
 from strandline.sources.tables import table
 
@@ -42,6 +44,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3.mislabelled(p3_languages(spark, sf_dir), table(spark, sf_dir, "raw_docs"))
 
 
+def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snippets = table(spark, sf_dir, "snippet_docs").select(F.lit("snippet_docs").alias("tbl"), "doc_id", F.col("text_snippet").alias("text"))
+    texts = snippets.unionByName(table(spark, sf_dir, "rag_document").select(F.lit("rag_document").alias("tbl"), "doc_id", "text"))
+    return p4.sentences(texts, p4.learn_edges(texts))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_sentences(spark, sf_dir).select("tbl", "doc_id", "end_char").distinct()
+
+
 def p5_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5.capped(table(spark, sf_dir, "raw_docs"))
 

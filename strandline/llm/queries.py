@@ -12,6 +12,7 @@ from strandline.llm import p2_oversized as p2
 from strandline.llm import p3_language as p3
 from strandline.llm import p4_sentences as p4
 from strandline.llm import p5_contributor_cap as p5
+from strandline.llm import p6_truncated as p6
 from strandline.sources.tables import table
 
 
@@ -62,6 +63,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_verdicts(spark, sf_dir).where("not keep").select("doc_id").distinct()
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6.truncated(table(spark, sf_dir, "rag_document")).where("cut").select("doc_id")
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6.truncation_rates(p6.truncated(table(spark, sf_dir, "rag_document")), table(spark, sf_dir, "raw_docs"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query; ``pN_found`` has the columns TESTDATA.md gives."""
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:].split("_")[0].isdigit() and callable(f)}

@@ -13,6 +13,8 @@ from strandline.llm import p3_language as p3
 from strandline.llm import p4_sentences as p4
 from strandline.llm import p5_contributor_cap as p5
 from strandline.llm import p6_truncated as p6
+from strandline.llm import p9_leakage as p9
+from strandline.llm import p10_reading_level as p10
 from strandline.sources.tables import table
 
 
@@ -71,6 +73,19 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6.truncation_rates(p6.truncated(table(spark, sf_dir, "rag_document")), table(spark, sf_dir, "raw_docs"))
 
 
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grader = p10.train(table(spark, sf_dir, "reading_items"))
+    return p10.reading_levels(table(spark, sf_dir, "documents"), grader).select("doc_id", "reading_level").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query; ``pN_found`` has the columns TESTDATA.md gives."""
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:].split("_")[0].isdigit() and callable(f)}

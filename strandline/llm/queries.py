@@ -13,6 +13,7 @@ from strandline.llm import p3_language as p3
 from strandline.llm import p4_sentences as p4
 from strandline.llm import p5_contributor_cap as p5
 from strandline.llm import p6_truncated as p6
+from strandline.llm import p7_boilerplate as p7
 from strandline.llm import p9_leakage as p9
 from strandline.llm import p10_reading_level as p10
 from strandline.sources.tables import table
@@ -73,6 +74,18 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6.truncation_rates(p6.truncated(table(spark, sf_dir, "rag_document")), table(spark, sf_dir, "raw_docs"))
 
 
+def p7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7.page_lines(table(spark, sf_dir, "rag_document"), table(spark, sf_dir, "raw_docs"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_lines(spark, sf_dir).where("not main").select("doc_id", "field", "line_no")
+
+
+def p7_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7.main_bodies(table(spark, sf_dir, "rag_document"), p7_lines(spark, sf_dir))
+
+
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 

@@ -14,6 +14,7 @@ from strandline.llm import p4_sentences as p4
 from strandline.llm import p5_contributor_cap as p5
 from strandline.llm import p6_truncated as p6
 from strandline.llm import p7_boilerplate as p7
+from strandline.llm import p8_packing as p8
 from strandline.llm import p9_leakage as p9
 from strandline.llm import p10_reading_level as p10
 from strandline.sources.tables import table
@@ -86,6 +87,14 @@ def p7_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7.main_bodies(table(spark, sf_dir, "rag_document"), p7_lines(spark, sf_dir))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8.containers(table(spark, sf_dir, "documents"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8.fill(p8_containers(spark, sf_dir))
+
+
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -119,7 +128,7 @@ WITH item AS (
 SELECT doc_id, 'text' AS field, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS item_no, unnest(string_split(text, chr(10))) AS item FROM rag_document
 UNION
 SELECT doc_id, 'paragraphs', CAST(generate_subscripts(paragraphs, 1) AS INTEGER), unnest(paragraphs).text FROM rag_document)
-SELECT DISTINCT doc_id, field, item_no, CASE WHEN list_max(list_transform(regexp_split_to_array(item, '[\s\p{Z}\p{P}]'), x -> length(x))) > 900 THEN 'forced' ELSE 'natural' END AS cut FROM item WHERE length(item) > 900
+SELECT DISTINCT doc_id, field, item_no, CASE WHEN list_max(list_transform(regexp_split_to_array(item, '[\s\p{Z}\p{P}]'), lambda x: length(x))) > 900 THEN 'forced' ELSE 'natural' END AS cut FROM item WHERE length(item) > 900
 """
 
 P5_SQL = r"""

@@ -1 +1,5 @@
+"""Query plans over the project's tables; each module offers QUERIES and, where SQL can say it, SQL."""
 
+from strandline.plans import reliability
+
+ALL = (reliability,)

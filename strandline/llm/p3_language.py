@@ -130,14 +130,15 @@ def fit(texts: list[tuple[str, str]], bits: int = 17, alpha: float = 0.05) -> Mo
 
 
 def train(labelled: DataFrame, documents: DataFrame | None = None, sample: int = 3000) -> Model:
-    """Fit on ``labelled`` (lang, text), a small reference table, then again with up to ``sample``
-    rows of ``documents`` (doc_id, lang, text) whose label the first fit confirms."""
+    """Fit on ``labelled`` (lang, text), a small reference table, then again with about ``sample``
+    rows, picked by a hash of the id, of ``documents`` (doc_id, lang, text) whose label the first fit confirms."""
     rows = [(r.lang, r.text) for r in labelled.select("lang", "text").where("lang is not null and text is not null").collect()]
     model = fit(rows)
     if documents is None or not sample:
         return model
     more = documents.select("doc_id", tag_language(F.col("lang")).alias("lang"), "text").where("lang is not null and length(text) >= 40")
-    picked = more.orderBy(F.xxhash64("doc_id")).limit(sample).select("lang", F.substring("text", 1, 4000).alias("text")).collect()
+    share = min(1.0, sample / max(more.count(), 1))
+    picked = more.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003)).select("lang", "text").collect()
     scores, _ = model.score([words_only(r.text).replace("\n", " ") for r in picked])
     best = scores.argmax(1) if len(picked) else []
     return fit(rows + [(r.lang, r.text) for r, b in zip(picked, best) if LANGUAGES[b] == r.lang])
@@ -188,7 +189,12 @@ def languages(docs: DataFrame, model: Model, min_segment: int = MIN_SEGMENT) ->
 
 
 def mislabelled(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, seg_no, lang): documents whose label in ``labels`` is absent or wrong, and foreign lines."""
-    said = labels.select("doc_id", tag_language(F.col("language")).alias("said")).where("doc_id is not null").groupBy("doc_id").agg(F.min("said").alias("said"))
-    main = found.where("seg_no = 0 and lang is not null").join(said, "doc_id").where(~F.col("said").eqNullSafe(F.col("lang")))
-    return main.select("doc_id", "seg_no", "lang").unionByName(found.where("seg_no > 0").select("doc_id", "seg_no", "lang"))
+    """(doc_id, seg_no, lang): documents whose label in ``labels`` is absent or wrong, and foreign lines.
+
+    A document with several labels is held against the one collected last; one without a row
+    in ``labels`` has no label to be wrong.
+    """
+    label = F.struct("collected_at", tag_language(F.col("language")).alias("said")) if "collected_at" in labels.columns else F.struct(tag_language(F.col("language")).alias("said"))
+    said = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(label).alias("label"))
+    wrong = F.col("label").isNotNull() & F.col("lang").isNotNull() & ~F.col("label.said").eqNullSafe(F.col("lang"))
+    return found.join(said, "doc_id", "left").where((F.col("seg_no") > 0) | wrong).select("doc_id", "seg_no", "lang")

@@ -1,5 +1,5 @@
 """Query plans over the project's tables; each module offers QUERIES and, where SQL can say it, SQL."""
 
-from strandline.plans import reliability
+from strandline.plans import attention, claims, collection, reliability, reports, retrieval
 
-ALL = (reliability,)
+ALL = (reliability, retrieval, collection, claims, attention, reports)

@@ -185,7 +185,8 @@ def _tree(x: np.ndarray, y: np.ndarray, order: np.ndarray, depth: int, least: in
         at, f = np.unravel_index(gain.argmax(), gain.shape)
         if not np.isfinite(gain[at, f]):
             continue
-        feature[node], threshold[node] = f, (xs[at, f] + xs[at + 1, f]) / 2
+        middle = (xs[at, f] + xs[at + 1, f]) / 2
+        feature[node], threshold[node] = f, middle if middle < xs[at + 1, f] else xs[at, f]
         goes = x[:, f] <= threshold[node]
         member[2 * node + 1], member[2 * node + 2] = inside & goes, inside & ~goes
     return feature, threshold, value

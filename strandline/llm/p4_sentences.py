@@ -126,9 +126,15 @@ def _sum(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": [int(rows["slice"].iloc[0])], "counts": [total.tobytes()]})
 
 
+def few_tasks(df: DataFrame) -> DataFrame:
+    """``df`` in at most two partitions per core: each sends one table of counts, so what the
+    merge reads is bounded by the cluster, not by the corpus."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def learn_edges(texts: DataFrame) -> Edges:
     """Counts over all of ``texts`` (text); what comes to the driver has a fixed size of a few megabytes."""
-    counted = texts.select("text").where("text is not null").mapInPandas(_count, "slice int, counts binary")
+    counted = few_tasks(texts.select("text").where("text is not null")).mapInPandas(_count, "slice int, counts binary")
     rows = counted.groupBy("slice").applyInPandas(_sum, "slice int, counts binary").collect()
     return edges_of([r["counts"] for r in sorted(rows, key=lambda r: r["slice"])])
 

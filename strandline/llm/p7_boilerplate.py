@@ -139,7 +139,7 @@ def repeated_runs(streams: list[list[list[str]]]) -> list[tuple[str, list[str],
             if len(part) > 1:
                 i = part["i"].iloc[0]
                 size = sizes[i] if kind == "line" else labels[i]
-                out.append((kind, flat[begin[i] : begin[i] + size], part["p"].tolist()))
+                out.append((kind, flat[begin[i] : begin[i] + size], sorted(part["p"].tolist())))
     return out
 
 
@@ -210,7 +210,7 @@ def _place(lines: list[str], shown: list[str], kinds: list[str], title: str, sta
         if not keys[i]:
             continue
         if i == head:
-            main[i] = not kinds[i]
+            main[i] = not kinds[i] or keys[i] == title
             continue
         if kinds[i] == "strip":
             tail = tail or seen
@@ -247,7 +247,7 @@ def verdicts(text: str, raw: str | None, title: str | None, known: Known) -> lis
         raw_main = _place(raw_lines, raw_shown, raw_kinds, name)
     else:
         # The cleaned text says which lines of the page it kept; beyond a cut, the place on the page does.
-        raw_main = [m and not k or bool(key) and (bool(HEADING.match(x)) or key == name) and not k for m, k, key, x in zip(matched, raw_kinds, raw_keys, raw_lines)]
+        raw_main = [m and not k or bool(key) and (key == name or bool(HEADING.match(x)) and not k) for m, k, key, x in zip(matched, raw_kinds, raw_keys, raw_lines)]
         cut = next((i for i, k in enumerate(raw_keys) if stub and k != stub and k.startswith(stub)), None) if stub not in raw_keys else None
         if cut is not None:
             raw_main[cut] = not raw_kinds[cut]

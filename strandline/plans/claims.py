@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import dates, numbers, text
@@ -64,32 +64,34 @@ def crosscheck(targets: DataFrame, claims: DataFrame, groups: DataFrame) -> Data
     """
     dimension = F.when(F.col("time_local").isNotNull(), "time").when(F.col("unit") == "km", "m").otherwise(F.coalesce("unit", F.lit("none")))
     state = F.concat_ws("\x01", "certainty", "polarity", "quantifier")
+
+    def alike(*columns: str | Column) -> Column:
+        row = F.struct(*columns)
+        return F.min(row) == F.max(row)
+
     per = (
         claims.join(groups, "source_id", "left")
         .groupBy("target_id")
         .agg(
             F.count("*").alias("n"),
             F.count_if(F.coalesce("revision_note", F.lit("")) != "").alias("revised"),
-            F.count_if(F.col("event_date").isNull()).alias("undated"),
-            F.countDistinct("event_date").alias("dates"),
-            F.countDistinct("subject").alias("subjects"),
-            F.countDistinct(state).alias("states"),
-            F.count_if(F.col("normalized").isNull()).alias("unknown"),
-            F.countDistinct(dimension).alias("dimensions"),
-            F.countDistinct("normalized").alias("values"),
+            F.count_if(F.col("event_date").isNull() | F.col("normalized").isNull()).alias("unknown"),
+            # All equal is least = greatest: six distinct counts would expand every row sevenfold.
+            alike("event_date", "subject", state).alias("same_state"),
+            alike(dimension).alias("same_dimension"),
+            alike("normalized").alias("same_value"),
             F.countDistinct("publisher_group").alias("publisher_groups"),
             F.min("quantifier").alias("quantifier"),
             F.sort_array(F.collect_list("claim_id")).alias("claim_ids"),
         )
     )
     found = targets.join(per, targets["id"] == per["target_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    apart = (F.col("undated") > 0) | (F.col("dates") != 1) | (F.col("subjects") != 1) | (F.col("states") != 1)
     status = (
         F.when(F.col("n") == 0, "insufficient")
         .when(F.col("revised") > 0, "revision_review")
         .when(F.col("n") < 2, "insufficient")
-        .when(apart | (F.col("unknown") > 0) | (F.col("dimensions") != 1), "not_comparable")
-        .when(F.col("values") == 1, "aligned")
+        .when((F.col("unknown") > 0) | ~F.col("same_state") | ~F.col("same_dimension"), "not_comparable")
+        .when(F.col("same_value"), "aligned")
         .when(F.col("quantifier") != "exact", "not_comparable")
         .otherwise("conflict")
     )

@@ -22,6 +22,9 @@ from strandline.llm.chars import DIGIT, LETTER, MARK, classes, points
 
 BITS = 17
 SLICES = 16
+#: Log-odds a comma or semicolon adds, and the least log-odds of a sentence
+#: end without any mark, in a stretch without and with such weak marks.
+WEAK_BIAS, BARE_BIAS, MARKED_BIAS = 0.5, 0.0, 3.0
 CHUNK = 1_000_000
 
 #: Full stops of scripts that have their own, marks shared with numbers and
@@ -272,12 +275,12 @@ def _unmarked(line: str, gap: np.ndarray, a: int, b: int, marks: dict[int, float
         end = m.end()
         if end < b:
             wide_blank = line[m.start()] == "\u3000"
-            marks[m.start() if wide_blank else end] = float(np.clip(gap[end], -8, 8)) + (2.0 if wide_blank else -1.0)
+            marks[m.start() if wide_blank else end] = float(np.clip(gap[end], -8, 8)) + (2.0 if wide_blank else WEAK_BIAS)
             seen.update(range(m.start(), end + 1))
-    bare = 0.5 if not seen else 4.0  # where other marks stand, a sentence end without any is rare
+    bare = BARE_BIAS if not seen else MARKED_BIAS  # where other marks stand, a sentence end without any is rarer
     for p in (np.flatnonzero(gap[a + 1 : b] > bare) + a + 1).tolist():
         before, after = line[p - 1], line[p]
-        if p in seen or before.isspace() or before.isdigit() and after.isdigit() or not before.isalnum() or classes()[ord(after)] == MARK:
+        if p in seen or before.isspace() or before.isdigit() and after.isdigit() or not (before.isalnum() or classes()[ord(before)] == MARK) or classes()[ord(after)] == MARK:
             continue
         if gap[p] >= gap[max(a + 1, p - 3) : p + 4].max():
             marks.setdefault(p, float(min(gap[p], 8.0)) - bare)

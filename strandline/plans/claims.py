@@ -107,8 +107,8 @@ def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "snippet_docs").select("doc_id", F.col("text_snippet").alias("text"), "tier", "score").where("text is not null").distinct()
 
 
-def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return last_by(table(spark, sf_dir, "rag_document").select("doc_id", "text", "paragraphs", "source_country", "publisher_group", "language", "credibility_weight", "collected_at"), ["doc_id"], "collected_at")
+def _texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return last_by(table(spark, sf_dir, "rag_document").select("doc_id", "collected_at", *columns), ["doc_id"], "collected_at")
 
 
 def clm_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,14 +117,14 @@ def clm_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clm_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes by the reason why they are no claims, and by whether they carry substance."""
-    quotes = numbered_quotes(_texts(spark, sf_dir))
+    quotes = numbered_quotes(_texts(spark, sf_dir, "text"))
     reason = F.coalesce(text.claim_rejection(F.col("quote")), F.lit("claim"))
     return quotes.groupBy(reason.alias("reason"), text.is_substantive(F.col("quote")).alias("substantive")).agg(F.count("*").alias("quotes"))
 
 
 def clm_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in focus: some acceptable quote names the place; the rest of their quotes stay with them."""
-    quotes = numbered_quotes(_texts(spark, sf_dir))
+    quotes = numbered_quotes(_texts(spark, sf_dir, "text"))
     named = quotes.where(text.claim_rejection(F.col("quote")).isNull() & F.lower("quote").contains("strait")).select("doc_id").distinct()
     return quotes.join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("quotes"))
 
@@ -141,7 +141,7 @@ def clm_without(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clm_paragraph_of_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _texts(spark, sf_dir)
+    docs = _texts(spark, sf_dir, "paragraphs")
     quotes = numbered_quotes(_snippets(spark, sf_dir).select("doc_id", "text").distinct())
     para = docs.select("doc_id", F.posexplode("paragraphs").alias("pos", "p")).select("doc_id", (F.col("pos") + 1).alias("paragraph_no"), F.col("p.text").alias("paragraph"))
     return containment_join(quotes, para).groupBy("matches").agg(F.count("*").alias("quotes"))
@@ -149,7 +149,7 @@ def clm_paragraph_of_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clm_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 6000 characters with a stride of 4400 over whole texts."""
-    return _texts(spark, sf_dir).select("doc_id", F.explode(char_windows(F.length("text"), 6000, 1600)).alias("w")).select("doc_id", "w.start_char", "w.end_char")
+    return _texts(spark, sf_dir, "text").select("doc_id", F.explode(char_windows(F.length("text"), 6000, 1600)).alias("w")).select("doc_id", "w.start_char", "w.end_char")
 
 
 def clm_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,12 +160,12 @@ def clm_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clm_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of a document's paragraphs of at most 600 characters in order."""
-    para = _texts(spark, sf_dir).select("doc_id", F.posexplode("paragraphs").alias("pos", "p")).select("doc_id", "pos", F.length("p.text").alias("n"))
+    para = _texts(spark, sf_dir, "paragraphs").select("doc_id", F.posexplode("paragraphs").alias("pos", "p")).select("doc_id", "pos", F.length("p.text").alias("n"))
     return greedy_pack(para, "doc_id", "pos", "n", 600).groupBy("doc_id", "pack").agg(F.count("*").alias("paragraphs"), F.sum("n").alias("chars"))
 
 
 def clm_text_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, sf_dir).select("doc_id", text.text_cost(F.col("text")).alias("cost"))
+    return _texts(spark, sf_dir, "text").select("doc_id", text.text_cost(F.col("text")).alias("cost"))
 
 
 def clm_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +179,7 @@ def clm_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = lambda c: F.regexp_replace(c, r"\s+", "")
     joined = F.coalesce(F.array_join(F.transform("paragraphs", lambda p: p["text"]), ""), F.lit(""))
     state = F.when(F.col("paragraphs").isNull() | (F.size("paragraphs") == 0), "none").when(bare(F.col("text")) == bare(joined), "complete").otherwise("supplement")
-    return _texts(spark, sf_dir).groupBy(state.alias("state")).agg(F.count("*").alias("docs"))
+    return _texts(spark, sf_dir, "text", "paragraphs").groupBy(state.alias("state")).agg(F.count("*").alias("docs"))
 
 
 def clm_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,11 +206,12 @@ def clm_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
 _L = "l AS (SELECT * FROM rag_document QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY collected_at DESC) = 1)"
 _UNITS = r'''list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace({t}, '([。！？۔؟।॥][」』”"]*)', '\1' || chr(1), 'g'), '([.!?][”’"\)\]]*)\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')'''
 _SQ = f"s AS (SELECT DISTINCT doc_id, text_snippet AS text FROM snippet_docs WHERE text_snippet IS NOT NULL), q AS (SELECT doc_id, unnest({_UNITS.format(t='text')}) AS quote, generate_subscripts({_UNITS.format(t='text')}, 1) AS quote_id FROM s)"
-_TQ = f"{_L}, q AS (SELECT doc_id, unnest({_UNITS.format(t='text')}) AS quote, generate_subscripts({_UNITS.format(t='text')}, 1) AS quote_id FROM l)"
+TEXT_QUOTES = f"{_L}, q AS (SELECT doc_id, unnest({_UNITS.format(t='text')}) AS quote, generate_subscripts({_UNITS.format(t='text')}, 1) AS quote_id FROM l)"
 
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("clm_")}
 SQL = {
     "clm_quotes": f"WITH {_SQ} SELECT doc_id, CAST(quote_id AS INTEGER) AS quote_id, quote FROM q",
+    "clm_focus": f"WITH {TEXT_QUOTES}, k AS (SELECT *, NOT regexp_matches(regexp_replace(quote, '[」』”\"'']+$', ''), '[?？]$') AS ok FROM q), f AS (SELECT DISTINCT doc_id FROM k WHERE ok AND contains(lower(quote), 'strait')) SELECT doc_id, count(*) AS quotes FROM q WHERE doc_id IN (SELECT doc_id FROM f) GROUP BY 1",
     "clm_without": f"WITH {_SQ} SELECT DISTINCT doc_id FROM raw_docs WHERE doc_id NOT IN (SELECT doc_id FROM q)",
     "clm_windows": f"WITH {_L}, n AS (SELECT doc_id, length(text) AS n, unnest(range(0, CAST(greatest(ceil((length(text) - 6000) / 4400.0), 0) AS BIGINT) + 1)) AS i FROM l WHERE length(text) > 0) SELECT doc_id, CAST(i * 4400 AS INTEGER) AS start_char, CAST(least(i * 4400 + 6000, n) AS INTEGER) AS end_char FROM n",
     "clm_neighbours": f"WITH {_SQ}, p AS (SELECT doc_id, quote_id, quote_id * 10 AS a, quote_id * 10 + 9 AS b FROM q) SELECT doc_id, quote_id, coalesce(lag(a) OVER w, a) AS context_start, coalesce(lead(b) OVER w, b) AS context_end FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY quote_id)",

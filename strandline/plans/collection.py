@@ -17,9 +17,10 @@ COUNTRIES = ["CN", "TW", "HK", "JP", "KR", "PK", "IN", "US"]
 GREATER_CHINA = ["CN", "TW", "HK"]
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """raw_docs as provider rows, each document once (collected last), ordered by time and id."""
-    raw = last_by(table(spark, sf_dir, "raw_docs"), ["doc_id"], "collected_at")
+def hits(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """raw_docs as provider rows, each document once (collected last), ordered by time and id;
+    only the columns asked for are read and shuffled."""
+    raw = last_by(table(spark, sf_dir, "raw_docs").select("doc_id", "collected_at", *columns), ["doc_id"], "collected_at")
     return raw.withColumn("ord", F.concat(F.date_format("collected_at", "yyyyMMddHHmmssSSSSSS"), F.col("doc_id")))
 
 
@@ -90,13 +91,13 @@ def col_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def col_site_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hits(spark, sf_dir).select("doc_id", "url")
+    found = hits(spark, sf_dir, "url").select("doc_id", "url")
     return registered(found, table(spark, sf_dir, "source_registry")).select("doc_id", "matched_domain", "site_tier", "site_country", "site_weight")
 
 
 def col_body_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = last_by(table(spark, sf_dir, "rag_document").where("url is not null").select(urls.canonical_url(F.col("url")).alias("canonical_url"), F.col("text").alias("body"), "collected_at"), ["canonical_url"], "collected_at").drop("collected_at")
-    return with_bodies(hits(spark, sf_dir).select("doc_id", "url", "article_text"), bodies).groupBy("acquired").agg(F.count("*").alias("docs"))
+    return with_bodies(hits(spark, sf_dir, "url", "article_text").select("doc_id", "url", "article_text"), bodies).groupBy("acquired").agg(F.count("*").alias("docs"))
 
 
 def col_lenient_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,33 +107,33 @@ def col_lenient_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def col_published_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits(spark, sf_dir).select("doc_id", dates.published_date(F.col("published_date"), F.col("url"), F.coalesce("article_text", F.lit(""))).alias("published"))
+    return hits(spark, sf_dir, "published_date", "url", "article_text").select("doc_id", dates.published_date(F.col("published_date"), F.col("url"), F.coalesce("article_text", F.lit(""))).alias("published"))
 
 
 def col_gate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hits(spark, sf_dir)
+    found = hits(spark, sf_dir, "url", "article_text", "language", "published_date", "source_category")
     official = F.col("source_category") == "official_government"
     reason = gate_reason(F.col("article_text"), F.col("language"), ["en", "ko", "zh", "ja"], dates.lenient_date(F.col("published_date")).cast("string"), official, "2026-09-30", 30)
     return rejection_counts(found.select("url", "ord", F.coalesce(reason, F.lit("kept")).alias("reason")))
 
 
 def col_title_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hits(spark, sf_dir).select("doc_id", "ord", text.canonical_title(F.col("title")).alias("title_key"))
+    found = hits(spark, sf_dir, "title").select("doc_id", "ord", text.canonical_title(F.col("title")).alias("title_key"))
     return greedy_dedup(found, ["title_key"], "ord").select("doc_id")
 
 
 def col_greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hits(spark, sf_dir).select("doc_id", "ord", urls.canonical_url(F.col("url")).alias("url_key"), text.canonical_title(F.col("title")).alias("title_key"), text.fingerprint(F.col("article_text")).alias("body_key"))
+    found = hits(spark, sf_dir, "url", "title", "article_text").select("doc_id", "ord", urls.canonical_url(F.col("url")).alias("url_key"), text.canonical_title(F.col("title")).alias("title_key"), text.fingerprint(F.col("article_text")).alias("body_key"))
     return greedy_dedup(found, ["url_key", "title_key", "body_key"], "ord").select("doc_id")
 
 
 def col_adaptive_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hits(spark, sf_dir).select("doc_id", "score", country_key(F.col("country")).alias("country"))
+    found = hits(spark, sf_dir, "score", "country").select("doc_id", "score", country_key(F.col("country")).alias("country"))
     return adaptive_top_k(found, ["country"], 20, "doc_id").select("country", "doc_id", "rank", "backfilled")
 
 
 def col_quota_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hits(spark, sf_dir).select("doc_id", "score", "language", country_key(F.col("country")).alias("country"), (F.col("source_category") == "official_government").alias("official")).where("language in ('en', 'ko', 'zh', 'zh-Hant', 'ja')")
+    found = hits(spark, sf_dir, "score", "language", "country", "source_category").select("doc_id", "score", "language", country_key(F.col("country")).alias("country"), (F.col("source_category") == "official_government").alias("official")).where("language in ('en', 'ko', 'zh', 'zh-Hant', 'ja')")
     quotas = country_quotas(20, COUNTRIES, GREATER_CHINA)
     limit = F.lit(quotas["US"])
     for c in COUNTRIES:
@@ -146,24 +147,24 @@ def col_quota_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def col_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hits(spark, sf_dir).select("doc_id", source_key(F.col("source_name")).alias("source"), urls.canonical_url(F.col("url")).alias("url_key"), "ord")
+    found = hits(spark, sf_dir, "source_name", "url").select("doc_id", source_key(F.col("source_name")).alias("source"), urls.canonical_url(F.col("url")).alias("url_key"), "ord")
     return balanced(found, "source", 3, 60, "url_key", "ord").select("doc_id", "source", "place")
 
 
 def col_official_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     official = F.col("source_category") == "official_government"
-    return hits(spark, sf_dir).groupBy(country_key(F.col("country")).alias("country")).agg(F.count("*").alias("docs"), F.count_if(official).alias("official_docs"))
+    return hits(spark, sf_dir, "country", "source_category").groupBy(country_key(F.col("country")).alias("country")).agg(F.count("*").alias("docs"), F.count_if(official).alias("official_docs"))
 
 
 def col_missing_official(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hits(spark, sf_dir).withColumn("country", country_key(F.col("country")))
+    found = hits(spark, sf_dir, "country", "source_category").withColumn("country", country_key(F.col("country")))
     parties = table(spark, sf_dir, "source_registry").select("country").distinct()
     return missing_countries(found, parties, F.col("source_category") == "official_government")
 
 
 def col_official_addition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first selection with official documents added whose URL it lacks."""
-    found = hits(spark, sf_dir).select("doc_id", "source_category", "score", urls.canonical_url(F.col("url")).alias("url_key"))
+    found = hits(spark, sf_dir, "source_category", "score", "url").select("doc_id", "source_category", "score", urls.canonical_url(F.col("url")).alias("url_key"))
     base = found.where("score >= 0.7").dropDuplicates(["url_key"])
     return added_by_key(base, found.where("source_category = 'official_government'"), "url_key").select("url_key")
 
@@ -171,14 +172,14 @@ def col_official_addition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def col_language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selected languages with their documents, zeros included."""
     chosen = spark.createDataFrame([(x,) for x in ("en", "ko", "zh", "zh-Hant", "ja", "hi", "ur", "fr")], "language string")
-    counts = hits(spark, sf_dir).groupBy("language").agg(F.count("*").alias("candidates"), F.count_if(F.col("score") >= 0.7).alias("retained"))
+    counts = hits(spark, sf_dir, "language", "score").groupBy("language").agg(F.count("*").alias("candidates"), F.count_if(F.col("score") >= 0.7).alias("retained"))
     return chosen.join(F.broadcast(counts), "language", "left").select("language", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("retained", F.lit(0)).alias("retained"))
 
 
 def col_body_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length(F.trim(F.coalesce("article_text", F.lit(""))))
     band = F.when(n < 40, "unusable").when(n < 80, "short").when(n < 200, "review").otherwise("full")
-    return hits(spark, sf_dir).groupBy(band.alias("band")).agg(F.count("*").alias("docs"), F.sum(n).cast("bigint").alias("chars"))
+    return hits(spark, sf_dir, "article_text").groupBy(band.alias("band")).agg(F.count("*").alias("docs"), F.sum(n).cast("bigint").alias("chars"))
 
 
 def col_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +188,7 @@ def col_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def col_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foreign rows as retrieval documents: the best present body, clipped, and a stable id from the URL."""
-    raw, rag = hits(spark, sf_dir), last_by(table(spark, sf_dir, "rag_document").select("doc_id", "text", "raw_content", "collected_at"), ["doc_id"], "collected_at")
+    raw, rag = hits(spark, sf_dir, "url", "article_text"), last_by(table(spark, sf_dir, "rag_document").select("doc_id", "text", "raw_content", "collected_at"), ["doc_id"], "collected_at")
     some = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) != ""
     joined = raw.select("doc_id", "url", "article_text").join(rag.select("doc_id", "text", "raw_content"), "doc_id", "left")
     origin = F.when(some("article_text"), "cleaned").when(some("raw_content"), "raw").when(some("text"), "paragraphs")
@@ -221,7 +222,9 @@ m AS (SELECT doc_id, domain, tier, country, weight, row_number() OVER (PARTITION
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("col_")}
+_ATTR = ", ".join(f"CASE WHEN length(trim(regexp_extract(substr(text, 1, 1000), '{p}', 1))) BETWEEN 2 AND 40 THEN trim(regexp_extract(substr(text, 1, 1000), '{p}', 1)) END" for p in text.ATTRIBUTIONS)
 SQL = {
+    "col_attribution": f"SELECT DISTINCT doc_id, coalesce({_ATTR}) AS quoted_source FROM rag_document",
     "col_canonical_urls": f"SELECT DISTINCT doc_id, {_CANON.format(u='url')} AS canonical_url, lower({_PATH.format(u='url')}) NOT IN ('', '/index.html', '/index.htm', '/home', '/default.aspx', '/index') AND NOT regexp_matches(lower({_PATH.format(u='url')}), '/index(_\\d+)?\\.(html?|php|jsp|aspx?)$|pageindex=\\d+|/overview(\\.html?|\\.aspx?)?$|/sitemap|/wzdt_|sakuin\\.pdf$|/category/|/channel/|/tag/|/topic/') AS is_article FROM raw_docs",
     "col_safe_links": r"SELECT DISTINCT doc_id, CASE WHEN regexp_matches(url, '^https://[^/?#:@]*\.[^/?#:@]*(:443)?([/?#]|$)') AND NOT regexp_matches(url, '^https://[\d.]+([/?#:]|$)') THEN 'https://' || lower(regexp_extract(url, '^https://([^/?#:]+)', 1)) || coalesce(nullif(regexp_extract(url, '^https://[^/?#]+([^?#]*)', 1), ''), '/') || coalesce('?' || nullif(regexp_extract(url, '\?([^#]*)', 1), ''), '') END AS link FROM rag_document",
     "col_titles": f"SELECT DISTINCT doc_id, {_TITLE} AS title FROM raw_docs",

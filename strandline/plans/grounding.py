@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import passages
 from strandline.functions.keys import country_key
 from strandline.operators.dedup import last_by
-from strandline.plans.claims import numbered_quotes
+from strandline.plans.claims import TEXT_QUOTES, numbered_quotes
 from strandline.sources.tables import table
 
 #: Corrections of known mistranslations (words of the original, wrong form, right form),
@@ -93,56 +93,56 @@ def citation_problems(sentences: DataFrame, evidence: DataFrame, least: dict[str
 # --- queries ---------------------------------------------------------------
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return last_by(table(spark, sf_dir, "rag_document").select("doc_id", "event_id", "title", "text", "language", "source_country", "collected_at"), ["doc_id"], "collected_at")
+def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return last_by(table(spark, sf_dir, "rag_document").select("doc_id", "collected_at", *columns), ["doc_id"], "collected_at")
 
 
 def grd_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(passages.paragraphs_of(F.col("text"))).alias("no", "paragraph"))
+    return _docs(spark, sf_dir, "text").select("doc_id", F.posexplode(passages.paragraphs_of(F.col("text"))).alias("no", "paragraph"))
 
 
 def grd_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", passages.snippet_of(F.col("text"), F.col("title")).alias("snippet"))
+    return _docs(spark, sf_dir, "text", "title").select("doc_id", passages.snippet_of(F.col("text"), F.col("title")).alias("snippet"))
 
 
 def grd_topic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = _docs(spark, sf_dir).select(passages.topic_of(F.col("text"), F.col("title"), [["strait", "海峡", "海峽", "해협"]], True).alias("t"))
+    judged = _docs(spark, sf_dir, "text", "title").select(passages.topic_of(F.col("text"), F.col("title"), [["strait", "海峡", "海峽", "해협"]], True).alias("t"))
     return judged.groupBy(F.coalesce("t.reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("docs"))
 
 
 def grd_script_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).groupBy(script_label(F.col("language"), country_key(F.col("source_country"))).alias("script")).agg(F.count("*").alias("docs"))
+    return _docs(spark, sf_dir, "language", "source_country").groupBy(script_label(F.col("language"), country_key(F.col("source_country"))).alias("script")).agg(F.count("*").alias("docs"))
 
 
 def grd_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", route(F.col("title")).alias("route"))
+    return _docs(spark, sf_dir, "title").select("doc_id", route(F.col("title")).alias("route"))
 
 
 def grd_rebinding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).select("doc_id", "event_id")
+    docs = _docs(spark, sf_dir, "event_id").select("doc_id", "event_id")
     body = F.concat(F.lit("see "), F.col("doc_id"), F.lit(", not x"), F.col("doc_id"), F.lit("."))
     return docs.select("doc_id", rebound(body, F.col("doc_id"), F.col("event_id")).alias("body"))
 
 
 def grd_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", cooccurs(F.lower("text"), ["exercise", "ferry"]).alias("offset")).where("offset is not null")
+    return _docs(spark, sf_dir, "text").select("doc_id", cooccurs(F.lower("text"), ["exercise", "ferry"]).alias("offset")).where("offset is not null")
 
 
 def grd_missing_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per event the asked languages no document has."""
-    have = _docs(spark, sf_dir).groupBy("event_id").agg(F.collect_set("language").alias("have"))
+    have = _docs(spark, sf_dir, "event_id", "language").groupBy("event_id").agg(F.collect_set("language").alias("have"))
     asked = F.array(*[F.lit(x) for x in ("en", "ja", "ko", "fr")])
     return table(spark, sf_dir, "rag_event").join(have, "event_id", "left").select("event_id", F.array_join(F.array_sort(F.array_except(asked, F.coalesce("have", F.array().cast("array<string>")))), ",").alias("missing"))
 
 
 def grd_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).select("event_id", "doc_id", F.length("text").alias("cost"))
+    docs = _docs(spark, sf_dir, "event_id", "text").select("event_id", "doc_id", F.length("text").alias("cost"))
     return within_budget(docs.withColumn("score", -F.col("cost") % 97), "event_id", "score", "cost", "doc_id", 2200, 3).select("event_id", "doc_id", "place")
 
 
 def grd_selected_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selections of the third quote of every document against the quotes there are."""
-    docs = _docs(spark, sf_dir)
+    docs = _docs(spark, sf_dir, "text")
     picked = grounded(docs.select("doc_id", F.lit(3).alias("quote_id")), numbered_quotes(docs))
     return picked.groupBy(F.coalesce("problem", F.lit("ok")).alias("problem")).agg(F.count("*").alias("selections"))
 
@@ -163,6 +163,7 @@ QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("grd_")}
 SQL = {
     "grd_script_labels": f"WITH {_L} SELECT CASE WHEN language IN ('zh', 'zh-Hant', 'zh-TW', 'zh-HK', 'zh-CN') AND {_CK} IN ('TW', 'HK') THEN 'Traditional Chinese' WHEN language IN ('zh', 'zh-Hant', 'zh-TW', 'zh-HK', 'zh-CN') THEN 'Simplified Chinese' WHEN language = 'ja' THEN 'Japanese' WHEN language = 'ko' THEN 'Korean' WHEN language = 'hi' THEN 'Hindi' WHEN language = 'ur' THEN 'Urdu' WHEN language IS NULL OR language IN ('', 'und', 'unknown') THEN 'unknown' ELSE 'English' END AS script, count(*) AS docs FROM l GROUP BY 1",
     "grd_routes": f"WITH {_L} SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(title, '{p}') THEN '{n}'" for n, p in ROUTES) + " ELSE 'general' END AS route FROM l",
+    "grd_selected_quotes": f"WITH {TEXT_QUOTES}, n AS (SELECT l.doc_id, count(quote) AS n FROM l LEFT JOIN q ON q.doc_id = l.doc_id GROUP BY 1) SELECT CASE WHEN n >= 3 THEN 'ok' ELSE 'unknown' END AS problem, count(*) AS selections FROM n GROUP BY 1",
     "grd_rebinding": f"WITH {_L} SELECT doc_id, 'see ' || event_id || ', not x' || doc_id || '.' AS body FROM l",
     "grd_cooccurrence": f"WITH {_L}, w AS (SELECT doc_id, lower(text) AS t, unnest(range(0, length(text), 750)) AS i FROM l) SELECT doc_id, CAST(min(i) AS INTEGER) AS \"offset\" FROM w WHERE contains(substr(t, CAST(i + 1 AS BIGINT), 1500), 'exercise') AND contains(substr(t, CAST(i + 1 AS BIGINT), 1500), 'ferry') GROUP BY 1",
     "grd_missing_languages": f"WITH {_L}, a AS (SELECT event_id, x FROM rag_event, (VALUES ('en'), ('ja'), ('ko'), ('fr')) v(x)) SELECT e.event_id, coalesce(string_agg(a.x, ',' ORDER BY a.x), '') AS missing FROM rag_event e LEFT JOIN a ON a.event_id = e.event_id AND NOT EXISTS (SELECT 1 FROM l WHERE l.event_id = a.event_id AND l.language = a.x) GROUP BY 1",

@@ -71,13 +71,14 @@ def invariants(docs: DataFrame) -> DataFrame:
 # --- queries ---------------------------------------------------------------
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return last_by(table(spark, sf_dir, "rag_document").drop("paragraphs"), ["doc_id"], "collected_at")
+def _docs(spark: SparkSession, sf_dir: str, *columns: str | Column) -> DataFrame:
+    """The latest copy of each document; only the columns asked for are read and shuffled."""
+    return last_by(table(spark, sf_dir, "rag_document").select("doc_id", "collected_at", *columns), ["doc_id"], "collected_at")
 
 
 def rep_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table after an upsert by key: the copy collected last."""
-    return _docs(spark, sf_dir).select("doc_id", "event_id", "language", F.length("text").alias("n_chars"), "source_tier")
+    return _docs(spark, sf_dir, "event_id", "language", F.length("text").alias("n_chars"), "source_tier").drop("collected_at")
 
 
 def rep_tamper_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,28 +89,28 @@ def rep_tamper_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rep_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).select(country_key(F.col("source_country")).alias("country"))
+    docs = _docs(spark, sf_dir, country_key(F.col("source_country")).alias("country"))
     return ranked_countries(docs)
 
 
 def rep_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).groupBy(country_key(F.col("source_country")).alias("country"), "language").agg(F.count("*").alias("docs"), F.countDistinct(source_key(F.col("publisher_group"))).alias("publishers"), F.count_if(~F.col("is_reprint_likely")).alias("originals"))
+    return _docs(spark, sf_dir, "source_country", "language", "publisher_group", "is_reprint_likely").groupBy(country_key(F.col("source_country")).alias("country"), "language").agg(F.count("*").alias("docs"), F.countDistinct(source_key(F.col("publisher_group"))).alias("publishers"), F.count_if(~F.col("is_reprint_likely")).alias("originals"))
 
 
 def rep_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.coalesce("credibility_weight", F.lit(0.5))
-    return _docs(spark, sf_dir).groupBy("source_tier", grade(w).alias("grade")).agg(F.count("*").alias("docs"), F.round(F.avg(w), 4).alias("mean_weight"), F.min(w).alias("least"), F.max(w).alias("most"))
+    return _docs(spark, sf_dir, "source_tier", "credibility_weight").groupBy("source_tier", grade(w).alias("grade")).agg(F.count("*").alias("docs"), F.round(F.avg(w), 4).alias("mean_weight"), F.min(w).alias("least"), F.max(w).alias("most"))
 
 
 def rep_reprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).select("doc_id", "is_reprint_likely", source_key(F.col("publisher_group")).alias("publisher"), source_key(F.col("quoted_source")).alias("quoted"), "collected_at")
+    docs = _docs(spark, sf_dir, "is_reprint_likely", source_key(F.col("publisher_group")).alias("publisher"), source_key(F.col("quoted_source")).alias("quoted"))
     edges = reprint_edges(docs)
     return edges.groupBy(F.col("origin_id").isNotNull().alias("resolved")).agg(F.count("*").alias("reprints"))
 
 
 def rep_cross_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reprints that crossed a border, by pair of countries."""
-    base = _docs(spark, sf_dir)
+    base = _docs(spark, sf_dir, "is_reprint_likely", "publisher_group", "quoted_source", "source_country")
     docs = base.select("doc_id", "is_reprint_likely", source_key(F.col("publisher_group")).alias("publisher"), source_key(F.col("quoted_source")).alias("quoted"), "collected_at")
     place = base.select("doc_id", country_key(F.col("source_country")).alias("country"))
     edges = reprint_edges(docs).where("origin_id is not null").join(place.withColumnRenamed("country", "to_country"), "doc_id").join(place.select(F.col("doc_id").alias("origin_id"), F.col("country").alias("from_country")), "origin_id")
@@ -123,19 +124,19 @@ def rep_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rep_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_report(_docs(spark, sf_dir).select("event_id", "title", "doc_id"), "event_id")
+    return text_report(_docs(spark, sf_dir, "event_id", "title"), "event_id")
 
 
 def rep_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The export projection, one row a document, with the source's registry weight."""
-    docs = _docs(spark, sf_dir).select("doc_id", "title", "url", "language", source_key(F.col("publisher_group")).alias("publisher"), "source_tier")
+    docs = _docs(spark, sf_dir, "title", "url", "language", source_key(F.col("publisher_group")).alias("publisher"), "source_tier")
     reg = table(spark, sf_dir, "source_registry").where("source_name is not null").groupBy(source_key(F.col("source_name")).alias("publisher")).agg(F.max("weight").alias("weight"))
     return docs.join(F.broadcast(reg), "publisher", "left").select("doc_id", "title", "url", "language", "publisher", "source_tier", F.coalesce("weight", F.lit(0.5)).alias("weight"))
 
 
 def rep_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per event its documents as nested rows of a map export, as counts of what was nested."""
-    docs = _docs(spark, sf_dir).select("event_id", F.struct("doc_id", "source_tier", "language").alias("d"))
+    docs = _docs(spark, sf_dir, "event_id", "source_tier", "language").select("event_id", F.struct("doc_id", "source_tier", "language").alias("d"))
     nested = docs.groupBy("event_id").agg(F.sort_array(F.collect_set("d")).alias("docs"))
     return table(spark, sf_dir, "rag_event").join(nested, "event_id", "left").select("event_id", "label", F.coalesce(F.size("docs"), F.lit(0)).alias("docs"), F.element_at("docs", 1)["doc_id"].alias("first_doc"))
 
@@ -145,17 +146,17 @@ def rep_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rep_body_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.length(body_display(F.col("text"))).alias("shown"))
+    return _docs(spark, sf_dir, "text").select("doc_id", F.length(body_display(F.col("text"))).alias("shown"))
 
 
 def rep_plain_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw pages as plain text by the simple mark-up strip."""
-    return _docs(spark, sf_dir).where("raw_content is not null").select("doc_id", F.length(strip_markup(F.col("raw_content"))).alias("n_chars"))
+    return _docs(spark, sf_dir, "raw_content").where("raw_content is not null").select("doc_id", F.length(strip_markup(F.col("raw_content"))).alias("n_chars"))
 
 
 def rep_pending_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose content has no cached result yet; results are keyed by a content digest."""
-    docs = _docs(spark, sf_dir).select("doc_id", F.sha2(F.to_json(F.struct("language", "text")), 256).alias("digest"), "source_tier")
+    docs = _docs(spark, sf_dir, F.sha2(F.to_json(F.struct("language", "text")), 256).alias("digest"), "source_tier")
     cached = docs.where("source_tier = 1").select("digest").distinct()
     return docs.join(cached, "digest", "left_anti").select("doc_id")
 

@@ -25,6 +25,8 @@ SLICES = 16
 #: Log-odds a comma or semicolon adds, and the least log-odds of a sentence
 #: end without any mark, in a stretch without and with such weak marks.
 WEAK_BIAS, BARE_BIAS, MARKED_BIAS = 0.5, 0.0, 3.0
+#: What speaks against a sentence end right after a quotation that began the sentence.
+GOES_ON = 9.0
 CHUNK = 1_000_000
 
 #: Full stops of scripts that have their own, marks shared with numbers and
@@ -49,7 +51,7 @@ class Edges:
     how often the n-gram of the short or long length occurs, and how often at a sentence end."""
 
     counts: np.ndarray
-    prior: float
+    priors: tuple[float, float]
 
 
 def _stream(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,10 +106,12 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at = points(text)
             stream, place = _stream(at)
             ends = place[_clear_ends(text)]
-            for side, lengths in enumerate(_hashes(stream)):
+            # A line begins with an opening too; its end proves nothing, as it may be cut or a heading's.
+            begins = np.union1d(ends, np.flatnonzero(stream == 10) + 1)
+            for side, (lengths, at_edge) in enumerate(zip(_hashes(stream), (ends, begins))):
                 for k, ids in enumerate(lengths):
                     tables[side, k, 0] += np.bincount(ids, minlength=size)
-                    tables[side, k, 1] += np.bincount(ids[ends], minlength=size)
+                    tables[side, k, 1] += np.bincount(ids[at_edge], minlength=size)
     cut = size // SLICES
     yield pd.DataFrame({"slice": range(SLICES), "counts": [tables[..., i * cut : (i + 1) * cut].tobytes() for i in range(SLICES)]})
 
@@ -145,17 +149,18 @@ def learn_edges(texts: DataFrame) -> Edges:
 def edges_of(slices: list[bytes]) -> Edges:
     """The tables put together again from their slices; without any, gaps have no opinion."""
     if not slices:
-        return Edges(np.zeros((2, 2, 2, 1 << BITS), np.float32), 0.5)
+        return Edges(np.zeros((2, 2, 2, 1 << BITS), np.float32), (0.5, 0.5))
     table = np.concatenate([np.frombuffer(c, np.int64).reshape(2, 2, 2, -1) for c in slices], axis=-1)
-    return Edges(table.astype(np.float32), float(max(table[0, 0, 1].sum(), 1) / max(table[0, 0, 0].sum(), 2)))
+    close, open_ = (float(max(t[0, 1].sum(), 1) / max(t[0, 0].sum(), 2)) for t in table)
+    return Edges(table.astype(np.float32), (close, open_))
 
 
 def _gap_scores(text: str, edges: Edges) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of every gap 0..len(text) to lie between two sentences, by its words alone, and by what follows alone."""
     stream, place = _stream(points(text))
-    total = np.full(len(stream) + 1, -np.log(edges.prior / (1 - edges.prior)), np.float32)
-    for counts, (short, long) in zip(edges.counts, _hashes(stream)):
-        p = (counts[0, 1, short] + 4 * edges.prior) / (counts[0, 0, short] + 4)
+    total = np.full(len(stream) + 1, -np.log(edges.priors[1] / (1 - edges.priors[1])), np.float32)
+    for counts, prior, (short, long) in zip(edges.counts, edges.priors, _hashes(stream)):
+        p = (counts[0, 1, short] + 4 * prior) / (counts[0, 0, short] + 4)
         p = np.clip((counts[1, 1, long] + 2 * p) / (counts[1, 0, long] + 2), 1e-5, 1 - 1e-5)
         side = np.log(p / (1 - p))
         total += side
@@ -174,7 +179,7 @@ def _line_ends(line: str, gap: np.ndarray, opens: np.ndarray, longest: int) -> l
     for m in CANDIDATE.finditer(line):
         end = m.end()
         if end < quiet:
-            marks[end] = _mark_score(line, m, gap, opens)
+            marks[end] = _mark_score(line, m, gap, opens) - (GOES_ON if _opens_sentence(line, end, quoted) else 0)
     stops = [0, *marks, last]
     if any(b - a > longest for a, b in zip(stops, stops[1:])):
         for a, b in zip(stops, stops[1:]):
@@ -218,10 +223,19 @@ def _span(line: str, a: int, b: int, last: int, quoted: list[tuple[int, int]]) -
         start = a + len(body) - len(body.lstrip())
         for x, y in quoted:
             if x == start and y >= b - 1 and line[x] not in BRACKETS and line[y:b].strip() == "":
-                score -= 9  # a bare quotation goes on with its attribution or the rest of its sentence
+                score -= 0 if _opens_sentence(line, b, quoted) else GOES_ON  # a bare quotation goes on with its attribution or the rest of its sentence
     return score
 
 
+def _opens_sentence(line: str, end: int, quoted: list[tuple[int, int]]) -> bool:
+    """Whether a quotation that begins a sentence ends here: it goes on with its attribution or its rest."""
+    for x, y in quoted:
+        if y <= end and not line[y:end].strip() and line[x] not in BRACKETS:
+            before = line[:x].rstrip()
+            return not before.strip("*•»—- ") or before[-1] in FULL_STOPS or before[-1] in ".!?" and before.rsplit(None, 1)[-1].lower() not in NEVER_LAST
+    return False
+
+
 def _mark_score(line: str, m: re.Match, gap: np.ndarray, opens: np.ndarray) -> float:
     """How far a mark with its closers, as it stands, ends a sentence."""
     end, marks = m.end(), m.group()
@@ -260,7 +274,7 @@ def _mark_score(line: str, m: re.Match, gap: np.ndarray, opens: np.ndarray) -> f
     if word in NEVER_LAST:
         return -8.0
     if word in MAYBE_LAST:
-        return float(opens[end]) + 1.0
+        return float(opens[end]) + 2.5
     if re.fullmatch(r"(?:[^\W\d_]\.)+", word):
         return -4.0 if len(word) == 2 else float(opens[end])
     if re.fullmatch(r"\d{1,3}\.", word) and not line[: m.start()].strip("0123456789. "):

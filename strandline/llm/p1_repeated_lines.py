@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.keys import source_key
+from strandline.operators.joins import sized
 from strandline.session import settled
 
 BROADCAST_ROWS = 200_000
@@ -91,7 +92,7 @@ def _confirmed(docs: DataFrame, sources: DataFrame, min_docs: int, min_percent:
     candidates = heavy.where("line <> 0").join(total, "source").join(error, "source", "left").where("n + coalesce(short, 0) >= least").select("source", "line")
     exact = (
         lines.select("source", F.explode(F.array_distinct("lines")).alias("line"))
-        .join(candidates, ["source", "line"], "left_semi")
+        .join(sized(settled(candidates), BROADCAST_ROWS), ["source", "line"], "left_semi")
         .groupBy("source", "line")
         .agg(F.count("*").alias("n"))
         .join(total, "source")
@@ -99,7 +100,7 @@ def _confirmed(docs: DataFrame, sources: DataFrame, min_docs: int, min_percent:
         .select("source", "line", "n", "docs")
     )
     exact = settled(exact)
-    small = F.broadcast(exact) if exact.count() <= BROADCAST_ROWS else exact
+    small = sized(exact, BROADCAST_ROWS)
     every = lines.select("source", "doc_id", F.posexplode("lines").alias("pos", "line")).where("line <> 0")
     found = every.join(small, ["source", "line"], "left_semi").select("doc_id", (F.col("pos") + 1).alias("line_no")).distinct()
     return found, exact

@@ -10,7 +10,7 @@ balance.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,7 +130,7 @@ def _joined(texts: list[str]) -> Iterator[str]:
 
 def _sum(rows: pd.DataFrame) -> pd.DataFrame:
     total = sum(np.frombuffer(c, np.int64) for c in rows["counts"])
-    return pd.DataFrame({"slice": [int(rows["slice"].iloc[0])], "counts": [total.tobytes()]})
+    return pd.DataFrame({"slice": [int(rows["slice"].iloc[0])], "counts": [total.tobytes()], "part": [int(rows["part"].iloc[0])]})
 
 
 def few_tasks(df: DataFrame) -> DataFrame:
@@ -139,10 +139,21 @@ def few_tasks(df: DataFrame) -> DataFrame:
     return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
 
 
+def merged(counted: DataFrame, merge: Callable[[pd.DataFrame], pd.DataFrame], schema: str, fan: int = 16) -> DataFrame:
+    """The count tables of all tasks as one, slice by slice, in rounds that add ``fan`` tables at a time:
+    on a cluster of any size a merging task reads ``fan`` slices."""
+    tasks = 2 * counted.sparkSession.sparkContext.defaultParallelism
+    rows = counted.withColumn("part", F.spark_partition_id())
+    while tasks > fan:
+        rows = rows.withColumn("part", F.floor(F.col("part") / fan).cast("int")).groupBy("slice", "part").applyInPandas(merge, f"{schema}, part int")
+        tasks = -(-tasks // fan)
+    return rows.groupBy("slice").applyInPandas(merge, f"{schema}, part int")
+
+
 def learn_edges(texts: DataFrame) -> Edges:
     """Counts over all of ``texts`` (text); what comes to the driver has a fixed size of a few megabytes."""
     counted = few_tasks(texts.select("text").where("text is not null")).mapInPandas(_count, "slice int, counts binary")
-    rows = counted.groupBy("slice").applyInPandas(_sum, "slice int, counts binary").collect()
+    rows = merged(counted, _sum, "slice int, counts binary").collect()
     return edges_of([r["counts"] for r in sorted(rows, key=lambda r: r["slice"])])
 
 

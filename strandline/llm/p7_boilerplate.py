@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.keys import source_key
+from strandline.operators.joins import sized
 from strandline.session import settled
 
 BLOCK_PAGES = 400
@@ -269,7 +270,7 @@ def page_lines(docs: DataFrame, sources: DataFrame) -> DataFrame:
     pages = once.join(named, "doc_id", "left").withColumn("source", F.coalesce("source", F.lit("")))
     pages = settled(pages)
     blocks = pages.groupBy("source").agg(F.greatest(F.lit(1), F.round(F.count("*") / BLOCK_PAGES)).cast("int").alias("blocks"))
-    placed = pages.join(blocks, "source").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    placed = pages.join(sized(blocks, BROADCAST_ROWS), "source").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     known = settled(host_runs(placed.select("source", "block", "text", "raw_content")))
     schema = "doc_id string, field string, line_no int, main boolean"
 

@@ -115,16 +115,14 @@ def _buckets(at: np.ndarray, n: int, bits: int) -> np.ndarray:
 def fit(texts: list[tuple[str, str]], bits: int = 17, alpha: float = 0.05) -> Model:
     """Multinomial naive Bayes with uniform priors over (language, text) rows."""
     counts = np.zeros((1 << bits, len(LANGUAGES)))
-    for lang, text in texts:
-        if lang not in LANGUAGES or not text:
-            continue
-        at = points(words_only(text).lower())
+    for c, lang in enumerate(LANGUAGES):
+        at = points("\n".join(words_only(t).lower() for k, t in texts if k == lang and t))
         kind = classes()[at]
         word = (kind == LETTER) | (kind == MARK)
         folded = np.where(word, at, 32).astype(np.uint64)
-        for n in (1, 2, 3):
+        for n in (1, 2, 3) if len(at) >= 3 else ():
             ids = _buckets(folded, n, bits)
-            counts[:, LANGUAGES.index(lang)] += np.bincount(ids[(word if n == 1 else _any_word(word, n))[: len(ids)]], minlength=1 << bits)
+            counts[:, c] += np.bincount(ids[(word if n == 1 else _any_word(word, n))[: len(ids)]], minlength=1 << bits)
     logp = np.log((counts + alpha) / (counts.sum(0) + alpha * len(counts)))
     return Model(bits, logp.astype(np.float32))
 

@@ -29,12 +29,20 @@ def country_quotas(request: int, countries: list[str], shared: list[str], shared
     return {c: max(request, 0) for c in countries} | split_quota(min(max(request, 0), shared_cap), shared)
 
 
-def round_robin_fill(df: DataFrame, outer: str, inner: str, limit: Column, order: str, reserve: Column | None = None) -> DataFrame:
+def round_robin_fill(df: DataFrame, outer: str, inner: str, limit: Column, most: int, order: str, reserve: Column | None = None) -> DataFrame:
     """Rows of each ``outer`` group taken in turns from its ``inner`` groups, these ordered by
     their best score; with ``reserve`` (a condition) the best such row comes first. ``limit``
-    rows stay a group; ``turn`` is the final place."""
+    rows, nowhere more than ``most``, stay a group; ``turn`` is the final place.
+
+    Only the first ``most`` + 1 rows of an inner group and the reserved row can have a turn;
+    they are found with limits applied before the shuffle, so a hot group is no hot task.
+    """
+    df = df.withColumn("_s", F.coalesce("score", F.lit(0.0)))
+    first = lambda rows, keys, n: rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_s"), order))).where(F.col("_k") <= n).drop("_k")
+    top = first(df, [outer, inner], most + 1)
+    df = top if reserve is None else top.unionByName(first(df.where(reserve), [outer], 1)).dropDuplicates([outer, order])
     best = Window.partitionBy(outer, inner)
-    df = df.withColumn("_s", F.coalesce("score", F.lit(0.0))).withColumn("_best", F.max("_s").over(best))
+    df = df.withColumn("_best", F.max("_s").over(best))
     df = df.withColumn("_first", F.min(F.when(F.col("_s") == F.col("_best"), F.col(order))).over(best))
     if reserve is None:
         df = df.withColumn("_kept", F.lit(False))

@@ -139,7 +139,7 @@ def col_quota_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     for c in COUNTRIES:
         limit = F.when(F.col("country") == c, quotas[c]).otherwise(limit)
     grouped = found.withColumn("country", F.when(F.col("country").isin(*COUNTRIES), F.col("country")).otherwise("US"))
-    return round_robin_fill(grouped, "country", "language", limit, "doc_id", F.col("official")).select("country", "doc_id", "turn")
+    return round_robin_fill(grouped, "country", "language", limit, max(quotas.values()), "doc_id", F.col("official")).select("country", "doc_id", "turn")
 
 
 def col_quota_table(spark: SparkSession, sf_dir: str) -> DataFrame:

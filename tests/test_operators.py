@@ -54,8 +54,9 @@ def test_ranking(spark):
 
 def test_round_robin_with_reserve(spark):
     df = spark.createDataFrame([("c", "x", 1, 0.9, False), ("c", "x", 2, 0.8, False), ("c", "y", 3, 0.7, True), ("c", "y", 4, 0.95, False)], "country string, lang string, o int, score double, official boolean")
-    got = [r.o for r in ranking.round_robin_fill(df, "country", "lang", F.lit(4), "o", F.col("official")).orderBy("turn").collect()]
+    got = [r.o for r in ranking.round_robin_fill(df, "country", "lang", F.lit(4), 4, "o", F.col("official")).orderBy("turn").collect()]
     assert got == [3, 4, 1, 2]
+    assert [r.o for r in ranking.round_robin_fill(df, "country", "lang", F.lit(2), 2, "o").orderBy("turn").collect()] == [4, 1]
     assert ranking.upper_median(df.select("country", F.expr("array(0, 3, 5, 9, 40)").alias("v")).limit(1).select("country", F.explode("v").alias("v")), ["country"], "v").first().median == 9
 
 

@@ -196,7 +196,7 @@ def clm_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7), "revised").alias("revision_note"),
         F.lit("count").alias("unit"),
         F.lit(None).cast("string").alias("time_local"),
-        numbers.comparable_value(F.floor(F.col("l_quantity") / 25), F.lit("count")).alias("normalized"),
+        F.concat(F.floor(F.col("l_quantity") / 25).cast("string"), F.lit(" count")).alias("normalized"),
     )
     groups = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.col("s_nationkey").alias("publisher_group"))
     targets = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))

@@ -167,6 +167,11 @@ def rep_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.count("*").alias("version"), F.max_by("event_type", F.struct("ts", "event_id")).alias("state"))
 
 
+def rep_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 30 rows collected last; each partition sends 30 at most."""
+    return table(spark, sf_dir, "raw_docs").select("doc_id", "collected_at", "tier").distinct().orderBy(F.desc("collected_at"), "doc_id").limit(30).select("doc_id", "tier")
+
+
 def rep_nation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue by region and nation with subtotals and a total."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -197,5 +202,6 @@ SQL = {
     "rep_invariants": "SELECT count(*) FILTER (doc_id IS NULL) AS without_id, count(*) FILTER (source_tier NOT BETWEEN 1 AND 3) AS bad_tier, count(*) FILTER (isnan(credibility_weight) OR credibility_weight NOT BETWEEN 0 AND 1) AS bad_weight, count(*) FILTER (length(text) > 60000) AS too_long, count(*) - count(DISTINCT doc_id) AS repeated FROM rag_document",
     "rep_pending_cache": f"WITH {_L} SELECT doc_id FROM l WHERE NOT EXISTS (SELECT 1 FROM l c WHERE c.source_tier = 1 AND c.language = l.language AND c.text = l.text)",
     "rep_versions": "SELECT user_id, count(*) AS version, arg_max(event_type, (ts, event_id)) AS state FROM events GROUP BY 1",
+    "rep_recent": "SELECT doc_id, tier FROM (SELECT DISTINCT doc_id, collected_at, tier FROM raw_docs) ORDER BY collected_at DESC, doc_id LIMIT 30",
     "rep_nation_rollup": "SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS lines FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ROLLUP (r_name, n_name)",
 }

@@ -64,3 +64,14 @@ def daily_series(spark: SparkSession, path: str) -> DataFrame:
     """(date, views) of a headed CSV; of repeated dates the last line counts."""
     rows = spark.read.option("header", True).schema("date string, views bigint").csv(path).withColumn("line", F.monotonically_increasing_id())
     return rows.groupBy(F.try_to_timestamp("date", F.lit("yyyy-MM-dd")).cast("date").alias("date")).agg(F.max_by("views", "line").alias("views")).where("date is not null")
+
+
+def validated_json(rows: DataFrame, body: str, schema: T.StructType | str, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(good, bad): rows with ``parsed`` where ``body`` has the schema and every check holds, and the
+    others with their first ``problem``: ``unreadable`` or the name of a check. A null check fails."""
+    parsed = rows.withColumn("parsed", F.from_json(body, schema, {"mode": "PERMISSIVE"}))
+    problem = F.when(F.col("parsed").isNull() | F.to_json("parsed").isin("{}"), "unreadable")
+    for name, check in checks.items():
+        problem = problem.when(~F.coalesce(check, F.lit(False)), name)
+    judged = parsed.withColumn("problem", problem)
+    return judged.where("problem is null").drop("problem"), judged.where("problem is not null").drop("parsed")

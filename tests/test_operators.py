@@ -181,6 +181,12 @@ def test_readers_and_sinks(spark, tmp_path):
     assert md.first().markdown == "## A\n\nx\n\n[S1] [S2]\n\n## B\n\ny"
 
 
+def test_validated_json(spark):
+    rows = spark.createDataFrame([(1, '{"n": 3, "kind": "a"}'), (2, "not json"), (3, '{"n": -1, "kind": "a"}'), (4, '{"kind": "a"}'), (5, '{"n": 1, "kind": "z"}'), (6, None)], "id int, body string")
+    good, bad = readers.validated_json(rows, "body", "n int, kind string", {"count": F.col("parsed.n") >= 0, "kind": F.col("parsed.kind").isin("a", "b")})
+    assert [r.id for r in good.collect()] == [1] and {r.id: r.problem for r in bad.collect()} == {2: "unreadable", 3: "count", 4: "count", 5: "kind", 6: "unreadable"}
+
+
 def test_stream_upsert_and_windows(spark, tmp_path):
     rows = spark.sql("select * from values ('a', timestamp'2026-01-01 00:00:00', 1), ('a', timestamp'2026-01-01 01:00:00', 2), ('b', timestamp'2026-01-02 00:00:00', 3) t(doc_id, at, v)")
     rows.write.parquet(str(tmp_path / "in"))

@@ -1,7 +1,8 @@
 """Sentence units with exact positions, across scripts and with or without punctuation.
 
-Counts of what stands before and after clear sentence ends, taken over the whole corpus and
-merged by addition, give every gap of a text a log-odds of closing and opening a sentence.
+Counts of what stands before and after clear sentence ends, taken over the whole corpus,
+kept by 64-bit key and joined back to the texts that ask for them, give every gap of a text
+a log-odds of closing and opening a sentence.
 Each line is then cut by semi-Markov dynamic programming over whole candidate spans: the
 score of a span joins its length, how it opens, how it closes and whether its quotations
 balance.
@@ -10,7 +11,7 @@ balance.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.chars import DIGIT, LETTER, MARK, classes, points
+from strandline.session import settled
 
-BITS = 17
-SLICES = 16
+#: Least number of ranges the keys are counted in, and the characters of a part of the texts; both ranges and parts grow with the corpus.
+SLICES, PART = 16, 4_000_000
+COUNTED = "slice int, counts binary"
 #: Log-odds a comma or semicolon adds, and the least log-odds of a sentence
 #: end without any mark, in a stretch without and with such weak marks.
 WEAK_BIAS, BARE_BIAS, MARKED_BIAS = 0.5, 0.0, 3.0
@@ -47,13 +50,24 @@ ALNUM = re.compile(r"[^\W_]")
 
 @dataclass
 class Edges:
-    """Counts over hashed n-grams before (0) and after (1) a gap, as float32 of shape (side, length, 2, buckets):
-    how often the n-gram of the short or long length occurs, and how often at a sentence end."""
+    """Counts over n-grams before (0) and after (1) a gap, as float32 of shape (side, length, 2, keys):
+    how often the n-gram of the short or long length occurs, and how often at a sentence end. ``keys`` are
+    sorted 64-bit hashes, their last bit tells the length."""
 
+    keys: np.ndarray
     counts: np.ndarray
     priors: tuple[float, float]
 
 
+@dataclass
+class CountedEdges:
+    """The counts of a whole corpus as rows (slice, counts), a range of keys in each of ``slices``."""
+
+    rows: DataFrame
+    slices: int
+    priors: tuple[float, float]
+
+
 def _stream(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The letters, numbers (as one 0) and line breaks of a text, and for each gap its place among them."""
     kind = classes()[at]
@@ -71,7 +85,7 @@ def _wide(stream: np.ndarray) -> np.ndarray:
 
 
 def _hashes(stream: np.ndarray) -> list[list[np.ndarray]]:
-    """[side][length]: for each gap 0..n of the stream the bucket of the short and the long text before and after it."""
+    """[side][length]: for each gap 0..n of the stream the key of the short and the long text before and after it."""
     n = len(stream)
     pad = np.concatenate((np.full(12, 10, np.uint64), stream, np.full(12, 10, np.uint64)))
 
@@ -83,40 +97,114 @@ def _hashes(stream: np.ndarray) -> list[list[np.ndarray]]:
     h3 = (join(h1, 1)[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ h1[2:]
     h6 = join(h3, 3)
     h12 = join(h6, 6)
-    by = {k: ((h * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - BITS)).astype(np.int32) for k, h in ((3, h3), (6, h6), (12, h12))}
+    by = {k: mixed(h) for k, h in ((3, h3), (6, h6), (12, h12))}
     wide = np.concatenate(([False], _wide(stream), [False]))
     out = []
     for flag, place in ((wide[:-1], lambda k: 12 - k), (wide[1:], lambda k: 12)):
         at = lambda k: by[k][place(k) : place(k) + n + 1]  # noqa: B023, E731
-        out.append([np.where(flag, at(3), at(6)), np.where(flag, at(6), at(12))])
+        short, long = np.where(flag, at(3), at(6)), np.where(flag, at(6), at(12))
+        out.append([short & ~np.uint64(1), long | np.uint64(1)])
     return out
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes spread evenly over 64 bits."""
+    h = h * np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(32)
+    return h * np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The keys sorted, each once."""
+    keys = np.sort(keys)
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+
+
+def places(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where each of ``asked`` stands in the sorted, evenly spread ``keys``, or -1: by its top bits, then step by step."""
+    if not len(keys):
+        return np.full(len(asked), -1)
+    bits = max(1, len(keys).bit_length())
+    first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    at = first[(asked >> np.uint64(64 - bits)).astype(np.int64)]
+    at[at == len(keys)] = len(keys) - 1
+    todo = np.flatnonzero(keys[at] < asked)
+    while len(todo):
+        at[todo] += 1
+        todo = todo[at[todo] < len(keys)]
+        todo = todo[keys[at[todo]] < asked[todo]]
+    at[at == len(keys)] = len(keys) - 1
+    at[keys[at] != asked] = -1
+    return at
+
+
 def _clear_ends(text: str) -> np.ndarray:
     """Positions after marks that end a sentence beyond doubt and are followed by more of the line."""
     found = [m.end() for m in re.finditer(r"[。！？｡۔؟।॥](?=[^\s。！？”’」』）)\"'])|[。！？۔؟।॥] (?=\w)|(?<=[^\W\d_]{3})[.!?] (?=[^\Wa-z_])|(?<=\d)[.!?] (?=[^\W\da-z_])", text)]
     return np.array(found, np.int64)
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    size = 1 << BITS
-    tables = np.zeros((2, 2, 2, size), np.int64)
-    for batch in batches:
-        for text in _joined(list(batch["text"])):
-            at = points(text)
-            stream, place = _stream(at)
-            ends = place[_clear_ends(text)]
-            # A line begins with an opening too; its end proves nothing, as it may be cut or a heading's.
-            begins = np.union1d(ends, np.flatnonzero(stream == 10) + 1)
-            for side, (lengths, at_edge) in enumerate(zip(_hashes(stream), (ends, begins))):
-                for k, ids in enumerate(lengths):
-                    tables[side, k, 0] += np.bincount(ids, minlength=size)
-                    tables[side, k, 1] += np.bincount(ids[at_edge], minlength=size)
-    cut = size // SLICES
-    yield pd.DataFrame({"slice": range(SLICES), "counts": [tables[..., i * cut : (i + 1) * cut].tobytes() for i in range(SLICES)]})
-
-
-def _joined(texts: list[str]) -> Iterator[str]:
+def _tally(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of a text and their counts of shape (side, 2, keys)."""
+    stream, place = _stream(points(text))
+    ends = place[_clear_ends(text)]
+    # A line begins with an opening too; its end proves nothing, as it may be cut or a heading's.
+    begins = np.union1d(ends, np.flatnonzero(stream == 10) + 1)
+    hashes = _hashes(stream)
+    keys = distinct(np.concatenate([ids for lengths in hashes for ids in lengths]))
+    counts = np.zeros((2, 2, len(keys)), np.int64)
+    for side, (lengths, at_edge) in enumerate(zip(hashes, (ends, begins))):
+        for ids in lengths:
+            at = places(keys, ids)
+            counts[side, 0] += np.bincount(at, minlength=len(keys))
+            counts[side, 1] += np.bincount(at[at_edge], minlength=len(keys))
+    return keys, counts
+
+
+def _added(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of keys and counts as one."""
+    if len(tables) == 1:
+        return tables[0]
+    keys = distinct(np.concatenate([k for k, _ in tables]))
+    counts = np.zeros((2, 2, len(keys)), np.int64)
+    for k, c in tables:
+        counts[:, :, np.searchsorted(keys, k)] += c
+    return keys, counts
+
+
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    return keys.tobytes() + np.ascontiguousarray(counts, np.int64).tobytes()
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.frombuffer(blob, np.int64).reshape(5, -1)
+    return flat[0].view(np.uint64), flat[1:].reshape(2, 2, -1)
+
+
+def _cuts(keys: np.ndarray, slices: int) -> np.ndarray:
+    """Where each of equal ranges of the key space begins among sorted keys, and the end."""
+    inner = np.array([(i << 64) // slices for i in range(1, slices)], np.uint64)
+    return np.concatenate(([0], np.searchsorted(keys, inner), [len(keys)]))
+
+
+def _count(batches: Iterator[pd.DataFrame], slices: int = SLICES) -> Iterator[pd.DataFrame]:
+    def sliced(tables: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        keys, counts = _added(tables)
+        at = _cuts(keys, slices)
+        rows = [(i, _packed(keys[a:b], counts[:, :, a:b])) for i, (a, b) in enumerate(zip(at, at[1:])) if a < b]
+        return pd.DataFrame(rows, columns=["slice", "counts"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for text in _joined(x for batch in batches for x in batch["text"]):
+        held.append(_tally(text))
+        if sum(len(k) for k, _ in held) > PART:  # keys that many texts share are sent once
+            yield sliced(held)
+            held = []
+    if held:
+        yield sliced(held)
+
+
+def _joined(texts: Iterable[str]) -> Iterator[str]:
     part, size = [], 0
     for text in texts:
         part.append(text)
@@ -129,8 +217,8 @@ def _joined(texts: list[str]) -> Iterator[str]:
 
 
 def _sum(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(c, np.int64) for c in rows["counts"])
-    return pd.DataFrame({"slice": [int(rows["slice"].iloc[0])], "counts": [total.tobytes()], "part": [int(rows["part"].iloc[0])]})
+    total = _added([_unpacked(c) for c in rows["counts"]])
+    return pd.DataFrame({"slice": [int(rows["slice"].iloc[0])], "counts": [_packed(*total)], "part": [int(rows["part"].iloc[0])]})
 
 
 def few_tasks(df: DataFrame) -> DataFrame:
@@ -150,34 +238,64 @@ def merged(counted: DataFrame, merge: Callable[[pd.DataFrame], pd.DataFrame], sc
     return rows.groupBy("slice").applyInPandas(merge, f"{schema}, part int")
 
 
-def learn_edges(texts: DataFrame) -> Edges:
-    """Counts over all of ``texts`` (text); what comes to the driver has a fixed size of a few megabytes."""
-    counted = few_tasks(texts.select("text").where("text is not null")).mapInPandas(_count, "slice int, counts binary")
-    rows = merged(counted, _sum, "slice int, counts binary").collect()
-    return edges_of([r["counts"] for r in sorted(rows, key=lambda r: r["slice"])])
+def _characters(texts: DataFrame) -> int:
+    return texts.agg(F.sum(F.length("text"))).first()[0] or 0
 
 
-def edges_of(slices: list[bytes]) -> Edges:
-    """The tables put together again from their slices; without any, gaps have no opinion."""
+def _totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for keys, counts in map(_unpacked, batch["counts"]):
+            yield pd.DataFrame([counts[..., keys & np.uint64(1) == 0].sum(axis=2).reshape(-1)], columns=["n0", "e0", "n1", "e1"])
+
+
+def _priors(n0: int, e0: int, n1: int, e1: int) -> tuple[float, float]:
+    return max(e0, 1) / max(n0, 2), max(e1, 1) / max(n1, 2)
+
+
+def learn_edges(texts: DataFrame) -> CountedEdges:
+    """Exact counts over all of ``texts`` (text). They stay in ranges of keys, as many as the corpus needs
+    for one to fit a task; only their totals come to the driver."""
+    slices = max(SLICES, _characters(texts) // PART)
+    counted = texts.select("text").where("text is not null").mapInPandas(lambda batches: _count(batches, slices), COUNTED)
+    rows = settled(counted.withColumn("part", F.lit(0)).groupBy("slice").applyInPandas(_sum, f"{COUNTED}, part int").drop("part"))
+    totals = rows.mapInPandas(_totals, "n0 long, e0 long, n1 long, e1 long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n0", "e0", "n1", "e1"))).first()
+    return CountedEdges(rows, slices, _priors(*totals))
+
+
+def edges_of(slices: list[bytes], priors: tuple[float, float] | None = None) -> Edges:
+    """The table put together again from its slices, in order; without any, gaps have no opinion."""
     if not slices:
-        return Edges(np.zeros((2, 2, 2, 1 << BITS), np.float32), (0.5, 0.5))
-    table = np.concatenate([np.frombuffer(c, np.int64).reshape(2, 2, 2, -1) for c in slices], axis=-1)
-    close, open_ = (float(max(t[0, 1].sum(), 1) / max(t[0, 0].sum(), 2)) for t in table)
-    return Edges(table.astype(np.float32), (close, open_))
+        return Edges(np.zeros(0, np.uint64), np.zeros((2, 2, 2, 0), np.float32), priors or (0.5, 0.5))
+    tables = [_unpacked(c) for c in slices]
+    keys, both = np.concatenate([k for k, _ in tables]), np.concatenate([c for _, c in tables], axis=-1)
+    long = keys & np.uint64(1) == 1
+    counts = np.stack([np.where(long, 0, both), np.where(long, both, 0)], axis=1).astype(np.float32)
+    return Edges(keys, counts, priors or _priors(*counts[:, 0].sum(axis=-1, dtype=np.float64).reshape(-1)))
 
 
 def _gap_scores(text: str, edges: Edges) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of every gap 0..len(text) to lie between two sentences, by its words alone, and by what follows alone."""
     stream, place = _stream(points(text))
     total = np.full(len(stream) + 1, -np.log(edges.priors[1] / (1 - edges.priors[1])), np.float32)
-    for counts, prior, (short, long) in zip(edges.counts, edges.priors, _hashes(stream)):
-        p = (counts[0, 1, short] + 4 * prior) / (counts[0, 0, short] + 4)
-        p = np.clip((counts[1, 1, long] + 2 * p) / (counts[1, 0, long] + 2), 1e-5, 1 - 1e-5)
+    for counts, prior, hashes in zip(edges.counts, edges.priors, _hashes(stream)):
+        p = prior
+        for table, ids, weight in zip(counts, hashes, (4, 2)):
+            n, ends = _seen(edges.keys, table, ids)
+            p = (ends + weight * p) / (n + weight)
+        p = np.clip(p, 1e-5, 1 - 1e-5)
         side = np.log(p / (1 - p))
         total += side
     return total[place], side[place]
 
 
+def _seen(keys: np.ndarray, table: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two counts of each key, 0 for one that occurs nowhere."""
+    if not len(keys):
+        return np.zeros((2, len(ids)), np.float32)
+    at = places(keys, ids)
+    return tuple(np.where(at < 0, 0, c[at]) for c in table)
+
+
 def _line_ends(line: str, gap: np.ndarray, opens: np.ndarray, longest: int) -> list[int]:
     """Offsets just after each sentence of one line; ``gap`` and ``opens`` hold the scores of its gaps."""
     last = len(line.rstrip())
@@ -346,27 +464,59 @@ def sentence_ends(texts: list[str], edges: Edges) -> list[list[tuple[int, int]]]
     return out
 
 
-def sentences(texts: DataFrame, edges: Edges) -> DataFrame:
+def _asked(texts: list[str]) -> np.ndarray:
+    """Sorted keys of all gaps of ``texts``."""
+    held = [distinct(np.concatenate([ids for lengths in _hashes(_stream(points(t))[0]) for ids in lengths])) for t in _joined(texts)]
+    return distinct(np.concatenate(held))
+
+
+def _answered(asks: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
+    """For each ask (slice, part, keys) the counts of its keys that occur."""
+    rows = []
+    if len(asks) and len(counted):
+        keys, counts = _unpacked(counted["counts"].iloc[0])
+        for part, asked in zip(asks["part"], asks["keys"]):
+            at = places(keys, np.frombuffer(asked, np.uint64))
+            at = at[at >= 0]
+            rows.append((part, int(asks["slice"].iloc[0]), _packed(keys[at], counts[:, :, at])))
+    return pd.DataFrame(rows, columns=["part", "slice", "counts"])
+
+
+def sentences(texts: DataFrame, edges: CountedEdges) -> DataFrame:
     """(tbl, doc_id, sent_no, start_char, end_char, sentence) of ``texts`` (tbl, doc_id, text).
 
     Null, empty and blank texts give no rows, lines without letters and digits neither; a
     repeated document counts once; offsets are code points from 0; other columns are ignored.
+    The texts are dealt into parts, and each part asks the ranges of keys for its own.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(edges)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        edges = shared.value
-        for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for tbl, doc_id, text, spans in zip(batch["tbl"], batch["doc_id"], batch["text"], sentence_ends(list(batch["text"]), edges)):
-                n = len(spans)
-                cols[0] += [tbl] * n
-                cols[1] += [doc_id] * n
-                cols[2] += range(1, n + 1)
-                cols[3] += [a for a, _ in spans]
-                cols[4] += [b for _, b in spans]
-                cols[5] += [text[a:b] for a, b in spans]
-            yield pd.DataFrame(dict(zip(("tbl", "doc_id", "sent_no", "start_char", "end_char", "sentence"), cols)))
-
-    once = texts.select("tbl", "doc_id", "text").where("doc_id is not null and text is not null").dropDuplicates(["tbl", "doc_id"])
-    return once.mapInPandas(run, "tbl string, doc_id string, sent_no int, start_char int, end_char int, sentence string")
+    slices, priors = edges.slices, edges.priors
+    size = _characters(texts)
+    parts = 1 + max(size // PART, min(texts.sparkSession.sparkContext.defaultParallelism, size // (PART // 16)))
+
+    def once(part: pd.DataFrame) -> pd.DataFrame:
+        return part.sort_values(["tbl", "doc_id", "text"]).drop_duplicates(["tbl", "doc_id"])
+
+    def ask(part: pd.DataFrame) -> pd.DataFrame:
+        keys = _asked(list(once(part)["text"]))
+        at = _cuts(keys, slices)
+        rows = [(i, int(part["part"].iloc[0]), keys[a:b].tobytes()) for i, (a, b) in enumerate(zip(at, at[1:])) if a < b]
+        return pd.DataFrame(rows, columns=["slice", "part", "keys"])
+
+    def run(part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        edges = edges_of(list(answers.sort_values("slice")["counts"]), priors)
+        part = once(part)
+        cols: list[list] = [[], [], [], [], [], []]
+        for tbl, doc_id, text, spans in zip(part["tbl"], part["doc_id"], part["text"], sentence_ends(list(part["text"]), edges)):
+            n = len(spans)
+            cols[0] += [tbl] * n
+            cols[1] += [doc_id] * n
+            cols[2] += range(1, n + 1)
+            cols[3] += [a for a, _ in spans]
+            cols[4] += [b for _, b in spans]
+            cols[5] += [text[a:b] for a, b in spans]
+        return pd.DataFrame(dict(zip(("tbl", "doc_id", "sent_no", "start_char", "end_char", "sentence"), cols)))
+
+    dealt = texts.select("tbl", "doc_id", "text").where("doc_id is not null and text is not null").withColumn("part", F.pmod(F.xxhash64("tbl", "doc_id"), F.lit(parts)).cast("int"))
+    asks = dealt.groupBy("part").applyInPandas(ask, "slice int, part int, keys binary")
+    answers = asks.groupBy("slice").cogroup(edges.rows.groupBy("slice")).applyInPandas(_answered, "part int, slice int, counts binary")
+    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(run, "tbl string, doc_id string, sent_no int, start_char int, end_char int, sentence string")

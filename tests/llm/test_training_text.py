@@ -4,6 +4,7 @@ import random
 import re
 import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +159,15 @@ def test_p4_table(spark):
     assert {tuple(r) for r in got} == {("a", 4), ("a", 9)}
 
 
+def test_p4_evidence_does_not_fade_with_the_corpus():
+    rng = random.Random(4)
+    known = ["Nobody answered from the northern pier. Later reports named another captain."] * 5
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnoprstuvw", k=7)) for _ in range(5_000)) for _ in range(30)]
+    (counted,) = p4._count(iter([pd.DataFrame({"text": known + noise})]))
+    scores, _ = p4._gap_scores("from the northern pier Later reports named", p4.edges_of(list(counted["counts"])))
+    assert scores[22] == scores.max() > 12
+
+
 # --- problem 5
 
 

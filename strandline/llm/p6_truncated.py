@@ -2,8 +2,8 @@
 
 The corpus vocabulary is laid out as the nodes of a prefix trie (word prefixes with what
 they lead to), joined to the final tokens of the documents. The ends that words, word
-sequences and whole sentence openings have elsewhere in the corpus, kept in hashed count
-tables of fixed size, say whether the last words of a text ever end a unit; a length shared
+sequences and whole sentence openings have elsewhere in the corpus, counted exactly for
+those that last lines ask for, say whether the last words of a text ever end a unit; a length shared
 by suspiciously many unfinished texts adds to the evidence.
 """
 
@@ -19,12 +19,11 @@ from pyspark.sql import functions as F
 
 from strandline.functions.keys import source_key
 from strandline.llm.chars import LETTER, MARK, classes, points
-from strandline.llm.p4_sentences import NEVER_LAST, _clear_ends, _joined, _stream, _wide, few_tasks, merged
+from strandline.llm.p4_sentences import NEVER_LAST, _clear_ends, _joined, _stream, _wide, mixed
 from strandline.session import settled
 
-BITS = 20
-SLICES = 32
-CONTEXTS = 4
+#: Bits of the filter that spares the counting of most keys no last line asks for; what it lets through is joined by the whole key.
+FILTER, CONTEXTS = 26, 4
 #: Marks that close a sentence, the marks a cut leaves behind, and opening and closing quotation marks.
 FINAL = re.compile(r"[.!?。！？｡．۔؟।॥][\"'”’」』）)\]】》〉»*_\s]*\|?\s*$|[\u0900-\u097f]\|\s*$")
 CUT_MARKS = re.compile(r"(\[\+\d+ chars\]|…|\.\.\.|�|&#?\w{0,6})\s*$")
@@ -33,7 +32,7 @@ PAIRS = (("“", "”"), ("「", "」"), ("『", "』"), ("«", "»"), ("（", "
 
 
 def _contexts(stream: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """Buckets of what precedes each gap 0..n: three lengths of text and the whole unit so far."""
+    """Keys of what precedes each gap 0..n: three lengths of text and the whole unit so far."""
     n = len(stream)
     pad = np.concatenate((np.full(24, 10, np.uint64), stream))
 
@@ -57,8 +56,8 @@ def _contexts(stream: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h1[24:] * up[:n])))
         whole = (sums - sums[starts]) * down[starts]
         whole ^= whole >> np.uint64(29)
-    fold = lambda h: ((h * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - BITS)).astype(np.int32)
-    return [fold(pick(h3, 3, h6, 6)), fold(pick(h6, 6, h12, 12)), fold(pick(h12, 12, h24, 24)), fold(whole)]
+    hashes = (pick(h3, 3, h6, 6), pick(h6, 6, h12, 12), pick(h12, 12, h24, 24), whole)
+    return [mixed(h) & ~np.uint64(CONTEXTS - 1) | np.uint64(k) for k, h in enumerate(hashes)]
 
 
 def _fold(text: str) -> str:
@@ -80,57 +79,60 @@ def _unit_starts(text: str, place: np.ndarray, stream: np.ndarray) -> tuple[np.n
     return run, np.concatenate((ends, breaks))
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    size = 1 << BITS
-    tables = np.zeros((CONTEXTS, 2, size), np.int32)
+def _count(batches: Iterator[pd.DataFrame], asked: np.ndarray) -> Iterator[pd.DataFrame]:
+    """(key, n, ends) of the gaps whose keys the filter ``asked`` lets through: how often each occurs, and at an end."""
     for batch in batches:
         # Last lines count as endings too, cut or not: a reader of the counts takes its own away.
-        for text in _joined([t.rstrip() + "\n" for t in batch["text"]]):
+        for text in _joined(t.rstrip() + "\n" for t in batch["text"]):
             stream, place = _stream(points(_fold(text)))
             starts, ends = _unit_starts(text, place, stream)
-            for k, ids in enumerate(_contexts(stream, starts)):
-                tables[k, 0] += np.bincount(ids, minlength=size).astype(np.int32)
-                tables[k, 1] += np.bincount(ids[ends], minlength=size).astype(np.int32)
-    flat = tables.reshape(-1)
-    cut = len(flat) // SLICES
-    rows = []
-    for i in range(SLICES):
-        part = flat[i * cut : (i + 1) * cut]
-        at = np.flatnonzero(part)
-        rows.append((i, at.astype(np.int32).tobytes(), part[at].tobytes()))
-    yield pd.DataFrame(rows, columns=["slice", "at", "n"])
-
-
-def _sum(rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(CONTEXTS * 2 * (1 << BITS) // SLICES, np.int64)
-    for at, n in zip(rows["at"], rows["n"]):
-        total[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int32)
-    at = np.flatnonzero(total)
-    return pd.DataFrame({"slice": [int(rows["slice"].iloc[0])], "at": [at.astype(np.int32).tobytes()], "n": [np.minimum(total[at], 2**31 - 1).astype(np.int32).tobytes()], "part": [int(rows["part"].iloc[0])]})
-
-
-def learn_endings(docs: DataFrame) -> np.ndarray:
-    """Counts (context, all or at an end, bucket) over all of ``docs`` (text): 32 MB whatever the corpus."""
-    counted = few_tasks(docs.select("text")).mapInPandas(_count, "slice int, at binary, n binary")
-    out = np.zeros((SLICES, CONTEXTS * 2 * (1 << BITS) // SLICES), np.int32)
-    for r in merged(counted, _sum, "slice int, at binary, n binary").collect():
-        out[r["slice"], np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.int32)
-    return out.reshape(CONTEXTS, 2, -1)
-
-
-def _ending_odds(texts: list[str], table: np.ndarray) -> np.ndarray:
-    """Log-odds that each of these last lines is a whole unit, from the longest context seen elsewhere."""
+            at_end = np.bincount(ends, minlength=len(stream) + 1)
+            for ids in _contexts(stream, starts):
+                found = np.flatnonzero(asked[(ids >> np.uint64(64 - FILTER)).astype(np.int64)])
+                keys, inverse, n = np.unique(ids[found], return_inverse=True, return_counts=True)
+                at = np.bincount(inverse, weights=at_end[found], minlength=len(keys))
+                yield pd.DataFrame({"key": keys.view(np.int64), "n": n, "ends": at.astype(np.int64)})
+
+
+def _filter(asked: DataFrame) -> np.ndarray:
+    """Which prefixes of keys are asked for, as one byte each: whatever the corpus, at most 2^20 words of 64 come to the driver."""
+    prefix = F.shiftrightunsigned("key", 64 - FILTER)
+    words = asked.select(prefix.alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 AS int))").alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    table = np.zeros(1 << (FILTER - 6), np.int64)
+    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return table
+
+
+def ending_counts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(key, n, ends) of the keys of ``asked`` (key) over all of ``docs`` (text): exact, and nothing for other keys."""
+    keys = asked.select("key").distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(keys))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _count(batches, np.unpackbits(shared.value.view(np.uint8), bitorder="little").view(bool))
+
+    counted = docs.select("text").mapInPandas(run, "key long, n long, ends long")
+    return counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).join(keys, "key", "left_semi")
+
+
+def _line_keys(texts: list[str]) -> np.ndarray:
+    """The keys of these last lines as wholes, of shape (context, lines)."""
     text = "".join(x.strip().replace("\n", " ") + "\n" for x in texts)
     stream, place = _stream(points(_fold(text)))
     starts, _ = _unit_starts(text, place, stream)
     at = np.flatnonzero(stream == 10)
-    p = np.full(len(at), 0.05)
-    for ids, counts in zip(_contexts(stream, starts), table):
-        n, ends = np.maximum(counts[:, ids[at]].astype(np.int64) - 1, 0)
+    return np.stack([ids[at] for ids in _contexts(stream, starts)]).view(np.int64)
+
+
+def _ending_odds(counts: list[tuple[F.Column, F.Column]]) -> F.Column:
+    """Log-odds that a last line is a whole unit, from the longest context seen elsewhere; counts of its contexts, its own taken away."""
+    p = F.lit(0.05)
+    for n, ends in counts:
         p = (ends + 2 * p) / (n + 2)
     # ``n`` and ``ends`` are now those of the whole unit: one that stands complete elsewhere is complete, though longer ones begin like it.
-    p = np.where((ends >= 3) & (10 * ends >= n), np.maximum(p, 0.9), p)
-    return np.log(p / (1 - p))
+    p = F.when((ends >= 3) & (10 * ends >= n), F.greatest(p, F.lit(0.9))).otherwise(p)
+    return F.log(p / (1 - p))
 
 
 def last_unit(text: str) -> tuple[str, str, bool, bool, bool, bool]:
@@ -174,19 +176,24 @@ def truncated(docs: DataFrame) -> DataFrame:
     blank texts are not cut; a repeated document counts once; other columns are ignored.
     """
     once = docs.select("doc_id", "text").where("doc_id is not null and text is not null").dropDuplicates(["doc_id"])
-    shared = docs.sparkSession.sparkContext.broadcast(learn_endings(once))
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(d, len(t), *last_unit(t)) for d, t in zip(batch["doc_id"], batch["text"])]
             out = pd.DataFrame(rows, columns=["doc_id", "n", "bare", "token", "mark", "final", "quote", "abbreviation"])
             out = out[out["bare"] != ""].reset_index(drop=True)
-            odds = np.zeros(len(out))
-            ask = ~(out["mark"] | out["final"]).to_numpy(bool)
-            odds[ask] = _ending_odds(list(out["bare"][ask]), shared.value)
-            yield out.drop(columns="bare").assign(odds=odds)
-
-    judged = settled(once.mapInPandas(run, "doc_id string, n int, token string, mark boolean, final boolean, quote boolean, abbreviation boolean, odds double"))
+            ask = np.flatnonzero(~(out["mark"] | out["final"]).to_numpy(bool))
+            keys: list = [None] * len(out)
+            for i, row in zip(ask, _line_keys(list(out["bare"].iloc[ask])).T.tolist()):
+                keys[i] = row
+            yield out.drop(columns="bare").assign(keys=keys)
+
+    lines = settled(once.mapInPandas(run, "doc_id string, n int, token string, mark boolean, final boolean, quote boolean, abbreviation boolean, keys array<long>"))
+    asked = lines.select("doc_id", F.posexplode("keys").alias("k", "key"))
+    seen = asked.join(ending_counts(once, asked), "key").groupBy("doc_id")
+    seen = seen.agg(*(F.max(F.when(F.col("k") == k, F.greatest(F.col(c) - 1, F.lit(0)))).alias(f"{c}{k}") for k in range(CONTEXTS) for c in ("n", "ends")))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    odds = _ending_odds([(zero(f"n{k}"), zero(f"ends{k}")) for k in range(CONTEXTS)])
+    judged = settled(lines.join(seen, "doc_id", "left").withColumn("odds", F.when(F.col("keys").isNull(), 0.0).otherwise(odds)).select("doc_id", "n", "token", "mark", "final", "quote", "abbreviation", "odds"))
     # Length evidence: a length at which many more texts stop unfinished than at its neighbours.
     open_ended = judged.where("not final and not mark and odds < 0").groupBy("n").agg(F.count("*").alias("here"))
     near = open_ended.select(F.explode(F.expr("sequence(n - 10, n + 10)")).alias("n"), "here").groupBy("n").agg((F.sum("here") / 21).alias("usual"))

@@ -204,6 +204,16 @@ def test_p6_cuts(spark):
     assert rates == {"s": (2, 1)}
 
 
+def test_p6_whole_units_are_counted_by_their_own_key(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnoprstuvw", k=7))
+    heads = [f"{word()} {word()} {word()}" for _ in range(40)]
+    rows = [(f"h{i}-{j}", f"Noted.\n{h}") for i, h in enumerate(heads) for j in range(2)]
+    rows += [(f"n{i}", " ".join(word() for _ in range(20_000)) + ".") for i in range(30)]
+    cut = p6.truncated(docs(spark, rows)).where("cut")
+    assert [r.doc_id for r in cut.collect()] == []
+
+
 # --- problem 7
 
 

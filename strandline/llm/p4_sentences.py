@@ -2,7 +2,8 @@
 
 Counts of what stands before and after clear sentence ends, taken over the whole corpus,
 kept by 64-bit key and joined back to the texts that ask for them, give every gap of a text
-a log-odds of closing and opening a sentence.
+a log-odds of closing and opening a sentence. Counts of how often a word with its full stop
+ends a line tell abbreviations from closing words in any language.
 Each line is then cut by semi-Markov dynamic programming over whole candidate spans: the
 score of a span joins its length, how it opens, how it closes and whether its quotations
 balance.
@@ -10,8 +11,11 @@ balance.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Callable, Iterable, Iterator
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,19 +35,31 @@ WEAK_BIAS, BARE_BIAS, MARKED_BIAS = 0.5, 0.0, 3.0
 #: What speaks against a sentence end right after a quotation that began the sentence.
 GOES_ON = 9.0
 CHUNK = 1_000_000
-
-#: Full stops of scripts that have their own, marks shared with numbers and
-#: abbreviations, closing marks, abbreviations that never end a sentence inside a line, and
-#: those that may.
+#: How far back the start of a span is sought, in characters; the nearest admissible start counts however far it is.
+REACH = 4_000
+#: Weight of the words around a mark next to the mark itself, and of what the counts say about a word with a full stop.
+WORDS, STOPPED = 0.25, 2.0
+#: What a word shaped like an abbreviation, or listed below, counts as before the corpus speaks: occurrences with a full stop inside a line.
+LISTED, MAYBE, INITIAL = 60, 6, 30
+#: Kinds of keys, in their last two bits.
+SHORT, LONG, STOP = range(3)
+
+#: Full stops of scripts that have their own, closing marks, and abbreviations the
+#: counts start from, such as rarely end a sentence and such as may.
 FULL_STOPS = "。！？｡．！？۔؟।॥"
 CLOSERS = "\"'”’」』）)]】》〉»"
 NEVER_LAST = frozenset("no. nos. lt. dr. mr. mrs. ms. prof. gen. col. capt. cmdr. sgt. maj. adm. gov. sen. rep. st. mt. vs. incl. approx. i.e. e.g. al. cf. fig. vol. pp. jan. feb. mar. apr. jun. jul. aug. sept. sep. oct. nov. dec. pct. क्र. डॉ. श्री.".split())
 MAYBE_LAST = frozenset("u.s. u.k. u.n. p.m. a.m. etc. inc. ltd. co. corp. jr. sr.".split())
 
-QUOTED = re.compile(r"“[^”]*”|‘[^’]*’|「[^」]*」|『[^』]*』|«[^»]*»|《[^》]*》|\"[^\"]{0,300}\"|（[^）]*）|\([^)]*\)|【[^】]*】|\[[^\]]*\]")
+QUOTED = re.compile(r"“[^”]*”|‘[^’]*’|「[^」]*」|『[^』]*』|«[^»]*»|《[^》]*》|\"[^\"]*\"|（[^）]*）|\([^)]*\)|【[^】]*】|\[[^\]]*\]")
 BRACKETS = "（(【["
 CANDIDATE = re.compile(r"(?:[。！？｡．۔؟।॥]|[.!?…]|(?<=[ऀ-ॿ])\|)+[\"'”’」』）)\]】》〉»]*")
+FOLLOWING = re.compile(r"\s*(\S?)")
+LIST_MARKS = re.compile(r"[*•»—\-\s]*")
+COLON = re.compile(r"[:：][\s“\"「『‘«]*[^“\"「『‘«]*$")
+ITEM_NUMBER = re.compile(r"[\d. ]*\d{1,3}\.")
 WEAK = re.compile(r"[,，、،;；؛:：]+|　+")
+STOPPED_WORD = re.compile(r"(?<!\S)[(“\"'‘\[「『]*(\S+\.)(?=\s|$)")
 CUT_MARK = re.compile(r"\s*(?:\[\+\d+ chars\]|\.{3,}|…+)\s*$")
 ALNUM = re.compile(r"[^\W_]")
 
@@ -52,11 +68,14 @@ ALNUM = re.compile(r"[^\W_]")
 class Edges:
     """Counts over n-grams before (0) and after (1) a gap, as float32 of shape (side, length, 2, keys):
     how often the n-gram of the short or long length occurs, and how often at a sentence end. ``keys`` are
-    sorted 64-bit hashes, their last bit tells the length."""
+    sorted 64-bit hashes, their last two bits tell the kind. ``stops`` holds for each key of a word with
+    its full stop how often it occurs, and how often at the end of a line. ``priors`` are the shares of
+    closing gaps, opening gaps and full stops at the end of a line."""
 
     keys: np.ndarray
     counts: np.ndarray
-    priors: tuple[float, float]
+    stops: np.ndarray
+    priors: tuple[float, float, float]
 
 
 @dataclass
@@ -65,7 +84,7 @@ class CountedEdges:
 
     rows: DataFrame
     slices: int
-    priors: tuple[float, float]
+    priors: tuple[float, float, float]
 
 
 def _stream(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +122,7 @@ def _hashes(stream: np.ndarray) -> list[list[np.ndarray]]:
     for flag, place in ((wide[:-1], lambda k: 12 - k), (wide[1:], lambda k: 12)):
         at = lambda k: by[k][place(k) : place(k) + n + 1]  # noqa: B023, E731
         short, long = np.where(flag, at(3), at(6)), np.where(flag, at(6), at(12))
-        out.append([short & ~np.uint64(1), long | np.uint64(1)])
+        out.append([short & ~np.uint64(3) | np.uint64(SHORT), long & ~np.uint64(3) | np.uint64(LONG)])
     return out
 
 
@@ -144,15 +163,32 @@ def _clear_ends(text: str) -> np.ndarray:
     return np.array(found, np.int64)
 
 
+def _stopped(word: str) -> str:
+    """A word with its full stop, in the form it is counted in: lower case, numbers as one 0."""
+    return re.sub(r"\d+", "0", word.lower())
+
+
+def _stop_key(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") & ~3 | STOP
+
+
 def _tally(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of a text and their counts of shape (side, 2, keys)."""
+    """Sorted keys of a text and their counts of shape (side, 2, keys); those of words with a full stop are on side 0."""
     stream, place = _stream(points(text))
     ends = place[_clear_ends(text)]
     # A line begins with an opening too; its end proves nothing, as it may be cut or a heading's.
     begins = np.union1d(ends, np.flatnonzero(stream == 10) + 1)
     hashes = _hashes(stream)
-    keys = distinct(np.concatenate([ids for lengths in hashes for ids in lengths]))
+    stops: Counter[str] = Counter()
+    last: Counter[str] = Counter()
+    for m in STOPPED_WORD.finditer(text):
+        word = _stopped(m.group(1))
+        stops[word] += 1
+        last[word] += text[m.end() : m.end() + 1] in ("", "\n")
+    words = np.array([_stop_key(w) for w in stops], np.uint64)
+    keys = distinct(np.concatenate([words, *(ids for lengths in hashes for ids in lengths)]))
     counts = np.zeros((2, 2, len(keys)), np.int64)
+    counts[0, :, np.searchsorted(keys, words)] = np.array([(n, last[w]) for w, n in stops.items()], np.int64).reshape(-1, 2)
     for side, (lengths, at_edge) in enumerate(zip(hashes, (ends, begins))):
         for ids in lengths:
             at = places(keys, ids)
@@ -221,23 +257,6 @@ def _sum(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": [int(rows["slice"].iloc[0])], "counts": [_packed(*total)], "part": [int(rows["part"].iloc[0])]})
 
 
-def few_tasks(df: DataFrame) -> DataFrame:
-    """``df`` in at most two partitions per core: each sends one table of counts, so what the
-    merge reads is bounded by the cluster, not by the corpus."""
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
-
-
-def merged(counted: DataFrame, merge: Callable[[pd.DataFrame], pd.DataFrame], schema: str, fan: int = 16) -> DataFrame:
-    """The count tables of all tasks as one, slice by slice, in rounds that add ``fan`` tables at a time:
-    on a cluster of any size a merging task reads ``fan`` slices."""
-    tasks = 2 * counted.sparkSession.sparkContext.defaultParallelism
-    rows = counted.withColumn("part", F.spark_partition_id())
-    while tasks > fan:
-        rows = rows.withColumn("part", F.floor(F.col("part") / fan).cast("int")).groupBy("slice", "part").applyInPandas(merge, f"{schema}, part int")
-        tasks = -(-tasks // fan)
-    return rows.groupBy("slice").applyInPandas(merge, f"{schema}, part int")
-
-
 def _characters(texts: DataFrame) -> int:
     return texts.agg(F.sum(F.length("text"))).first()[0] or 0
 
@@ -245,11 +264,15 @@ def _characters(texts: DataFrame) -> int:
 def _totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for keys, counts in map(_unpacked, batch["counts"]):
-            yield pd.DataFrame([counts[..., keys & np.uint64(1) == 0].sum(axis=2).reshape(-1)], columns=["n0", "e0", "n1", "e1"])
+            kind = keys & np.uint64(3)
+            yield pd.DataFrame([[*counts[..., kind == SHORT].sum(axis=2).reshape(-1), *counts[0][:, kind == STOP].sum(axis=1)]], columns=TOTALS)
+
+
+TOTALS = ["n0", "e0", "n1", "e1", "n2", "e2"]
 
 
-def _priors(n0: int, e0: int, n1: int, e1: int) -> tuple[float, float]:
-    return max(e0, 1) / max(n0, 2), max(e1, 1) / max(n1, 2)
+def _priors(n0: int, e0: int, n1: int, e1: int, n2: int, e2: int) -> tuple[float, float, float]:
+    return max(e0, 1) / max(n0, 2), max(e1, 1) / max(n1, 2), (e2 + 1) / (n2 + 4)
 
 
 def learn_edges(texts: DataFrame) -> CountedEdges:
@@ -258,19 +281,20 @@ def learn_edges(texts: DataFrame) -> CountedEdges:
     slices = max(SLICES, _characters(texts) // PART)
     counted = texts.select("text").where("text is not null").mapInPandas(lambda batches: _count(batches, slices), COUNTED)
     rows = settled(counted.withColumn("part", F.lit(0)).groupBy("slice").applyInPandas(_sum, f"{COUNTED}, part int").drop("part"))
-    totals = rows.mapInPandas(_totals, "n0 long, e0 long, n1 long, e1 long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n0", "e0", "n1", "e1"))).first()
+    totals = rows.mapInPandas(_totals, ", ".join(f"{c} long" for c in TOTALS)).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in TOTALS)).first()
     return CountedEdges(rows, slices, _priors(*totals))
 
 
-def edges_of(slices: list[bytes], priors: tuple[float, float] | None = None) -> Edges:
+def edges_of(slices: list[bytes], priors: tuple[float, float, float] | None = None) -> Edges:
     """The table put together again from its slices, in order; without any, gaps have no opinion."""
     if not slices:
-        return Edges(np.zeros(0, np.uint64), np.zeros((2, 2, 2, 0), np.float32), priors or (0.5, 0.5))
+        return Edges(np.zeros(0, np.uint64), np.zeros((2, 2, 2, 0), np.float32), np.zeros((2, 0), np.float32), priors or (0.5, 0.5, 0.25))
     tables = [_unpacked(c) for c in slices]
     keys, both = np.concatenate([k for k, _ in tables]), np.concatenate([c for _, c in tables], axis=-1)
-    long = keys & np.uint64(1) == 1
-    counts = np.stack([np.where(long, 0, both), np.where(long, both, 0)], axis=1).astype(np.float32)
-    return Edges(keys, counts, priors or _priors(*counts[:, 0].sum(axis=-1, dtype=np.float64).reshape(-1)))
+    kind = keys & np.uint64(3)
+    counts = np.stack([np.where(kind == k, both, 0) for k in (SHORT, LONG)], axis=1).astype(np.float32)
+    stops = np.where(kind == STOP, both[0], 0).astype(np.float32)
+    return Edges(keys, counts, stops, priors or _priors(*counts[:, 0].sum(axis=-1, dtype=np.float64).reshape(-1), *stops.sum(axis=-1, dtype=np.float64)))
 
 
 def _gap_scores(text: str, edges: Edges) -> tuple[np.ndarray, np.ndarray]:
@@ -288,46 +312,59 @@ def _gap_scores(text: str, edges: Edges) -> tuple[np.ndarray, np.ndarray]:
     return total[place], side[place]
 
 
-def _seen(keys: np.ndarray, table: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _stop_evidence(text: str, edges: Edges) -> dict[str, float]:
+    """For each word with a full stop in ``text`` the log of how much rarer it ends a line than full stops do,
+    0 at most: strongly negative for abbreviations, whatever the language."""
+    words = list({_stopped(m.group(1)) for m in STOPPED_WORD.finditer(text)})
+    n, last = _seen(edges.keys, edges.stops, np.array([_stop_key(w) for w in words], np.uint64)).astype(float) if words else ((), ())
+    share = edges.priors[2]
+    out = {}
+    for word, all_, at_end in zip(words, n, last):
+        if word in NEVER_LAST:
+            all_ += LISTED
+        elif re.fullmatch(r"[^\W\d_]\.", word):
+            all_ += INITIAL
+        elif word in MAYBE_LAST or re.fullmatch(r"(?:[^\W\d_]\.)+", word):
+            all_ += MAYBE
+        out[word] = min(0.0, float(np.log((at_end + 2 * share) / ((all_ + 2) * share))))
+    return out
+
+
+def _seen(keys: np.ndarray, table: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The two counts of each key, 0 for one that occurs nowhere."""
     if not len(keys):
         return np.zeros((2, len(ids)), np.float32)
     at = places(keys, ids)
-    return tuple(np.where(at < 0, 0, c[at]) for c in table)
+    return np.stack([np.where(at < 0, 0, c[at]) for c in table])
 
 
-def _line_ends(line: str, gap: np.ndarray, opens: np.ndarray, longest: int) -> list[int]:
-    """Offsets just after each sentence of one line; ``gap`` and ``opens`` hold the scores of its gaps."""
+def _line_ends(line: str, gap: np.ndarray, opens: np.ndarray, stops: dict[str, float], longest: int) -> list[int]:
+    """Offsets just after each sentence of one line; ``gap`` and ``opens`` hold the scores of its gaps, ``stops`` those of its stopped words."""
     last = len(line.rstrip())
     if not ALNUM.search(line):
         return []
     mark = CUT_MARK.search(line, 0, last)
     quiet = mark.start() if mark else last  # a cut mark is no sentence of its own
-    quoted = [(m.start(), m.end()) for m in QUOTED.finditer(line)]
+    quotes = _Quotes(line)
     marks: dict[int, float] = {}
+    taken: set[int] = set()  # gaps right before a mark: the sentence ends after it
     for m in CANDIDATE.finditer(line):
         end = m.end()
+        taken.update(range(_trimmed(line, m.start()), m.start() + 1))
         if end < quiet:
-            marks[end] = _mark_score(line, m, gap, opens) - (GOES_ON if _opens_sentence(line, end, quoted) else 0)
-    stops = [0, *marks, last]
-    if any(b - a > longest for a, b in zip(stops, stops[1:])):
-        for a, b in zip(stops, stops[1:]):
-            if b - a > longest:
-                _unmarked(line, gap, a, min(b, quiet), marks)
-    if not marks:
-        return [last]
-    spots = sorted(marks)
-    spots = [0, *spots, last]
+            marks[end] = _mark_score(line, m, gap, opens, stops, quotes)
+    edges = [0, *marks, last]
+    for a, b in zip(edges, edges[1:]):
+        if b - a > longest:
+            _unmarked(line, gap, a, min(b, quiet), taken, marks)
+    spots = [0, *sorted(p for p, v in marks.items() if v >= -6 and not quotes.inside(p)), last]
     value = [0.0, *(marks[p] for p in spots[1:-1]), 0.0]
-    best, back = [0.0] + [-1e9] * (len(spots) - 1), [0] * len(spots)
-    inner = [next(((a, b) for a, b in quoted if a < p < b), None) for p in spots]
+    best, back = [0.0] + [-np.inf] * (len(spots) - 1), [0] * len(spots)
     for j in range(1, len(spots)):
-        if j < len(spots) - 1 and (inner[j] or value[j] < -6):
-            continue
-        for i in range(j - 1, max(-1, j - 40), -1):
-            if best[i] <= -1e8:
-                continue
-            score = best[i] + value[j] + _span(line, spots[i], spots[j], last, quoted)
+        for i in range(j - 1, -1, -1):
+            if i < j - 1 and spots[j] - spots[i] > REACH:
+                break
+            score = best[i] + value[j] + _span(line, spots[i], spots[j], last, quotes)
             if score > best[j]:
                 best[j], back[j] = score, i
     out, j = [], len(spots) - 1
@@ -337,7 +374,52 @@ def _line_ends(line: str, gap: np.ndarray, opens: np.ndarray, longest: int) -> l
     return out[::-1]
 
 
-def _span(line: str, a: int, b: int, last: int, quoted: list[tuple[int, int]]) -> float:
+def _trimmed(line: str, end: int) -> int:
+    """Where ``line[:end]`` ends without its last blanks."""
+    while end and line[end - 1].isspace():
+        end -= 1
+    return end
+
+
+def _word_at(line: str, end: int) -> str:
+    """The blank-free stretch of ``line`` that ends at ``end``."""
+    start = max(line.rfind(" ", 0, end), line.rfind("\t", 0, end), line.rfind("\u3000", 0, end), line.rfind("\u00a0", 0, end)) + 1
+    return line[start:end]
+
+
+class _Quotes:
+    """The quoted and bracketed stretches of a line."""
+
+    def __init__(self, line: str):
+        self.line = line
+        self.pairs = [(m.start(), m.end()) for m in QUOTED.finditer(line)]
+        self.starts = [a for a, _ in self.pairs]
+        self.closing: dict[int, int] = {}
+        for a, b in self.pairs:
+            self.closing[b] = a
+
+    def inside(self, p: int) -> bool:
+        """Whether a gap lies inside one; they never overlap."""
+        k = bisect_left(self.starts, p) - 1
+        return k >= 0 and p < self.pairs[k][1]
+
+    def ending(self, end: int) -> int | None:
+        """Where the stretch begins that ends at ``end``, blanks aside."""
+        while end and end not in self.closing and self.line[end - 1].isspace():
+            end -= 1
+        return self.closing.get(end)
+
+    def opens_sentence(self, end: int) -> bool:
+        """Whether a quotation that begins a sentence ends here: it goes on with its attribution or its rest."""
+        x = self.ending(end)
+        if x is None or self.line[x] in BRACKETS:
+            return False
+        at = _trimmed(self.line, x)
+        before = self.line[at - 1 : at]
+        return LIST_MARKS.match(self.line).end() >= at or before in FULL_STOPS or before in ".!?" and _word_at(self.line, at).lower() not in NEVER_LAST
+
+
+def _span(line: str, a: int, b: int, last: int, quotes: _Quotes) -> float:
     """Length and balance of a span as one sentence."""
     body = line[a:b]
     if not ALNUM.search(body):
@@ -348,70 +430,59 @@ def _span(line: str, a: int, b: int, last: int, quoted: list[tuple[int, int]]) -
         score -= 2
     if len(inside) > 400:
         score -= (len(inside) - 400) / 100
-    if b < last and quoted:
+    if b < last and quotes.pairs:
+        x = quotes.ending(b)
         start = a + len(body) - len(body.lstrip())
-        for x, y in quoted:
-            if x == start and y >= b - 1 and line[x] not in BRACKETS and line[y:b].strip() == "":
-                score -= 0 if _opens_sentence(line, b, quoted) else GOES_ON  # a bare quotation goes on with its attribution or the rest of its sentence
+        if x == start and line[x] not in BRACKETS and not quotes.opens_sentence(b):
+            score -= GOES_ON  # a bare quotation goes on with its attribution or the rest of its sentence
     return score
 
 
-def _opens_sentence(line: str, end: int, quoted: list[tuple[int, int]]) -> bool:
-    """Whether a quotation that begins a sentence ends here: it goes on with its attribution or its rest."""
-    for x, y in quoted:
-        if y <= end and not line[y:end].strip() and line[x] not in BRACKETS:
-            before = line[:x].rstrip()
-            return not before.strip("*•»—- ") or before[-1] in FULL_STOPS or before[-1] in ".!?" and before.rsplit(None, 1)[-1].lower() not in NEVER_LAST
-    return False
+def _mark_score(line: str, m: re.Match, gap: np.ndarray, opens: np.ndarray, stops: dict[str, float], quotes: _Quotes) -> float:
+    """How far a mark with its closers ends a sentence: what the mark itself says, plus the words before and after it."""
+    end, marks = m.end(), m.group()
+    words = float(np.clip(gap[end], -6, 6))
+    own = _shape_score(line, m, words, float(opens[end]), stops)
+    return own + WORDS * words - (GOES_ON if quotes.opens_sentence(end) else 0)
 
 
-def _mark_score(line: str, m: re.Match, gap: np.ndarray, opens: np.ndarray) -> float:
-    """How far a mark with its closers, as it stands, ends a sentence."""
+def _shape_score(line: str, m: re.Match, words: float, opening: float, stops: dict[str, float]) -> float:
     end, marks = m.end(), m.group()
     core = marks.rstrip(CLOSERS)
     closed = len(core) < len(marks)
     after = line[end : end + 1]
-    rest = line[end:].lstrip()
-    following = rest[:1]
-    learned = float(np.clip(gap[end], -6, 6))
+    following = FOLLOWING.match(line, end).group(1)
     if any(c in FULL_STOPS or c == "|" for c in core):
         if closed and after and not after.isspace():
             # The quotation ends and the line goes on: with an opening known from sentence starts, or with the rest of its sentence.
             if marks[len(core)] in "）)】]":
                 return 5.0
-            colon = re.search(r"[:：][\s“\"「『‘«]*[^“\"「『‘«]*$", line[: m.start()])
-            return 4.0 if colon else min(3.0, learned - 3)
+            said = max(line.rfind(c, 0, m.start()) for c in ":：")
+            colon = said >= 0 and COLON.match(line[said : m.start()])
+            return 4.0 if colon else min(3.0, words - 3)
         return 6.0
     if core.endswith("…") or core.endswith("..."):
-        if not after or following.islower():
-            return -4.0
-        return learned - 2.0
+        return -4.0 if not after or following.islower() else words - 2.0
     if not after:
         return 6.0
     if not after.isspace():
         wide = bool(_wide(np.array([ord(after)], np.uint64))[0])
-        if closed or not wide or "." in core:
-            return -8.0
-        return 3.0 + 0.5 * learned
+        return -8.0 if closed or not wide or "." in core else 3.0 + words / 4
     if following.islower():
         return -8.0
-    if "!" in core or "?" in core:
-        return 5.0
-    word = line[: m.start() + 1].rsplit(None, 1)[-1].lstrip("(“\"'‘[").lower()
-    if closed:
+    if "!" in core or "?" in core or closed:
         return 5.0
-    if word in NEVER_LAST:
-        return -8.0
-    if word in MAYBE_LAST:
-        return float(opens[end]) + 2.5
-    if re.fullmatch(r"(?:[^\W\d_]\.)+", word):
-        return -4.0 if len(word) == 2 else float(opens[end])
-    if re.fullmatch(r"\d{1,3}\.", word) and not line[: m.start()].strip("0123456789. "):
+    if m.start() < 12 and ITEM_NUMBER.fullmatch(line, 0, m.start() + 1):
         return -8.0  # a number that opens a list item
-    return 5.0
+    word = _word_at(line, m.start() + 1).lstrip("(“\"'‘[「『")
+    against = STOPPED * stops.get(_stopped(word), 0.0)
+    if against < -4 and word.islower() and word.count(".") == 1 and following.isupper() and word not in NEVER_LAST:
+        return 2.0 + max(0.0, min(opening, 4.0))  # a small word before a capital more likely closes a phrase that always goes on
+    # The less the word is known to close sentences, the more the words after it decide.
+    return 5.0 + against + (float(np.clip(opening, -4, 4)) if against < -2 else 0.0)
 
 
-def _unmarked(line: str, gap: np.ndarray, a: int, b: int, marks: dict[int, float]) -> None:
+def _unmarked(line: str, gap: np.ndarray, a: int, b: int, taken: set[int], marks: dict[int, float]) -> None:
     """Candidates inside a stretch without full stops: weak marks, wide blanks, and bare gaps whose words say so."""
     seen = set()
     for m in WEAK.finditer(line, a, b):
@@ -423,7 +494,7 @@ def _unmarked(line: str, gap: np.ndarray, a: int, b: int, marks: dict[int, float
     bare = BARE_BIAS if not seen else MARKED_BIAS  # where other marks stand, a sentence end without any is rarer
     for p in (np.flatnonzero(gap[a + 1 : b] > bare) + a + 1).tolist():
         before, after = line[p - 1], line[p]
-        if p in seen or before.isspace() or before.isdigit() and after.isdigit() or not (before.isalnum() or classes()[ord(before)] == MARK) or classes()[ord(after)] == MARK:
+        if p in seen or p in taken or before.isspace() or before.isdigit() and after.isdigit() or not (before.isalnum() or classes()[ord(before)] == MARK) or classes()[ord(after)] == MARK:
             continue
         if gap[p] >= gap[max(a + 1, p - 3) : p + 4].max():
             marks.setdefault(p, float(min(gap[p], 8.0)) - bare)
@@ -444,7 +515,9 @@ def sentence_ends(texts: list[str], edges: Edges) -> list[list[tuple[int, int]]]
         while j < len(texts) and (j == i or size < CHUNK):
             size += len(texts[j]) + 1
             j += 1
-        gaps, opens = _gap_scores("\n".join(texts[i:j]), edges)
+        joined = "\n".join(texts[i:j])
+        gaps, opens = _gap_scores(joined, edges)
+        stops = _stop_evidence(joined, edges)
         base = 0
         for text in texts[i:j]:
             spans, at = [], 0
@@ -452,7 +525,7 @@ def sentence_ends(texts: list[str], edges: Edges) -> list[list[tuple[int, int]]]
                 if line and not line.isspace():
                     start = 0
                     here = slice(base + at, base + at + len(line) + 1)
-                    for end in _line_ends(line, gaps[here], opens[here], _longest(line)):
+                    for end in _line_ends(line, gaps[here], opens[here], stops, _longest(line)):
                         body = line[start:end]
                         first = start + len(body) - len(body.lstrip())
                         spans.append((at + first, at + start + len(body.rstrip())))
@@ -465,8 +538,11 @@ def sentence_ends(texts: list[str], edges: Edges) -> list[list[tuple[int, int]]]
 
 
 def _asked(texts: list[str]) -> np.ndarray:
-    """Sorted keys of all gaps of ``texts``."""
-    held = [distinct(np.concatenate([ids for lengths in _hashes(_stream(points(t))[0]) for ids in lengths])) for t in _joined(texts)]
+    """Sorted keys of all gaps and stopped words of ``texts``."""
+    held = []
+    for t in _joined(texts):
+        words = np.array([_stop_key(w) for w in {_stopped(m.group(1)) for m in STOPPED_WORD.finditer(t)}], np.uint64)
+        held.append(distinct(np.concatenate([words, *(ids for lengths in _hashes(_stream(points(t))[0]) for ids in lengths)])))
     return distinct(np.concatenate(held))
 
 

@@ -338,11 +338,3 @@ def test_very_long_texts(spark):
     assert p4.sentences(texts, p4.learn_edges(texts)).where("doc_id = 'a'").count() == 20_000
     assert p3.languages(docs(spark, rows), p3.fit(list(SAMPLES.items()))).where("seg_no = 0").count() == 2
     assert p6.truncated(docs(spark, rows)).count() == 2
-
-
-def test_count_tables_merge_in_rounds(spark):
-    texts = spark.createDataFrame([(f"The ship {i} left. It came back. We saw it.",) for i in range(60)], "text string").repartition(40)
-    counted = texts.mapInPandas(p4._count, "slice int, counts binary")
-    whole = p4.edges_of([r["counts"] for r in p4.merged(counted, p4._sum, "slice int, counts binary", fan=100).orderBy("slice").collect()])
-    rounds = p4.edges_of([r["counts"] for r in p4.merged(counted, p4._sum, "slice int, counts binary", fan=2).orderBy("slice").collect()])
-    assert (whole.counts == rounds.counts).all() and whole.counts[0, 0, 0].sum() > 1000

@@ -16,7 +16,8 @@ def classes() -> np.ndarray:
     """uint8 class of every code point; built once per Python worker."""
     kind = {"L": LETTER, "M": MARK, "N": DIGIT, "P": PUNCT, "S": SYMBOL, "Z": SPACE}
     out = np.zeros(sys.maxunicode + 1, np.uint8)
-    for i in range(sys.maxunicode + 1):
+    # Planes 4 to 13 hold no characters, 15 and 16 only private ones.
+    for i in (*range(0x40000), *range(0xE0000, 0xE1000)):
         cat = unicodedata.category(chr(i))
         out[i] = FORMAT if cat == "Cf" else kind.get(cat[0], OTHER)
     for c in "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85":

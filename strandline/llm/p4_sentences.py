@@ -35,8 +35,8 @@ WEAK_BIAS, BARE_BIAS, MARKED_BIAS = 0.5, 0.0, 3.0
 #: What speaks against a sentence end right after a quotation that began the sentence.
 GOES_ON = 9.0
 CHUNK = 1_000_000
-#: How far back the start of a span is sought, in characters; the nearest admissible start counts however far it is.
-REACH = 4_000
+#: Characters beyond which length speaks against a span.
+USUAL = 400
 #: Weight of the words around a mark next to the mark itself, and of what the counts say about a word with a full stop.
 WORDS, STOPPED = 0.25, 2.0
 #: What a word shaped like an abbreviation, or listed below, counts as before the corpus speaks: occurrences with a full stop inside a line.
@@ -68,11 +68,11 @@ ALNUM = re.compile(r"[^\W_]")
 class Edges:
     """Counts over n-grams before (0) and after (1) a gap, as float32 of shape (side, length, 2, keys):
     how often the n-gram of the short or long length occurs, and how often at a sentence end. ``keys`` are
-    sorted 64-bit hashes, their last two bits tell the kind. ``stops`` holds for each key of a word with
+    the index of 64-bit hashes, their last two bits tell the kind. ``stops`` holds for each key of a word with
     its full stop how often it occurs, and how often at the end of a line. ``priors`` are the shares of
     closing gaps, opening gaps and full stops at the end of a line."""
 
-    keys: np.ndarray
+    keys: Index
     counts: np.ndarray
     stops: np.ndarray
     priors: tuple[float, float, float]
@@ -139,22 +139,28 @@ def distinct(keys: np.ndarray) -> np.ndarray:
     return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
 
 
-def places(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Where each of ``asked`` stands in the sorted, evenly spread ``keys``, or -1: by its top bits, then step by step."""
-    if not len(keys):
-        return np.full(len(asked), -1)
-    bits = max(1, len(keys).bit_length())
-    first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-    at = first[(asked >> np.uint64(64 - bits)).astype(np.int64)]
-    at[at == len(keys)] = len(keys) - 1
-    todo = np.flatnonzero(keys[at] < asked)
-    while len(todo):
-        at[todo] += 1
-        todo = todo[at[todo] < len(keys)]
-        todo = todo[keys[at[todo]] < asked[todo]]
-    at[at == len(keys)] = len(keys) - 1
-    at[keys[at] != asked] = -1
-    return at
+class Index:
+    """Sorted, evenly spread keys, found by their top bits and then step by step."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, max(1, len(keys).bit_length())
+        self.first = np.searchsorted(keys, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)) if len(keys) else keys
+
+    def places(self, asked: np.ndarray) -> np.ndarray:
+        """Where each of ``asked`` stands among the keys, or -1."""
+        keys = self.keys
+        if not len(keys):
+            return np.full(len(asked), -1)
+        at = self.first[(asked >> np.uint64(64 - self.bits)).astype(np.int64)]
+        at[at == len(keys)] = len(keys) - 1
+        todo = np.flatnonzero(keys[at] < asked)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[at[todo] < len(keys)]
+            todo = todo[keys[at[todo]] < asked[todo]]
+        at[at == len(keys)] = len(keys) - 1
+        at[keys[at] != asked] = -1
+        return at
 
 
 def _clear_ends(text: str) -> np.ndarray:
@@ -187,11 +193,12 @@ def _tally(text: str) -> tuple[np.ndarray, np.ndarray]:
         last[word] += text[m.end() : m.end() + 1] in ("", "\n")
     words = np.array([_stop_key(w) for w in stops], np.uint64)
     keys = distinct(np.concatenate([words, *(ids for lengths in hashes for ids in lengths)]))
+    index = Index(keys)
     counts = np.zeros((2, 2, len(keys)), np.int64)
     counts[0, :, np.searchsorted(keys, words)] = np.array([(n, last[w]) for w, n in stops.items()], np.int64).reshape(-1, 2)
     for side, (lengths, at_edge) in enumerate(zip(hashes, (ends, begins))):
         for ids in lengths:
-            at = places(keys, ids)
+            at = index.places(ids)
             counts[side, 0] += np.bincount(at, minlength=len(keys))
             counts[side, 1] += np.bincount(at[at_edge], minlength=len(keys))
     return keys, counts
@@ -288,13 +295,13 @@ def learn_edges(texts: DataFrame) -> CountedEdges:
 def edges_of(slices: list[bytes], priors: tuple[float, float, float] | None = None) -> Edges:
     """The table put together again from its slices, in order; without any, gaps have no opinion."""
     if not slices:
-        return Edges(np.zeros(0, np.uint64), np.zeros((2, 2, 2, 0), np.float32), np.zeros((2, 0), np.float32), priors or (0.5, 0.5, 0.25))
+        return Edges(Index(np.zeros(0, np.uint64)), np.zeros((2, 2, 2, 0), np.float32), np.zeros((2, 0), np.float32), priors or (0.5, 0.5, 0.25))
     tables = [_unpacked(c) for c in slices]
     keys, both = np.concatenate([k for k, _ in tables]), np.concatenate([c for _, c in tables], axis=-1)
     kind = keys & np.uint64(3)
     counts = np.stack([np.where(kind == k, both, 0) for k in (SHORT, LONG)], axis=1).astype(np.float32)
     stops = np.where(kind == STOP, both[0], 0).astype(np.float32)
-    return Edges(keys, counts, stops, priors or _priors(*counts[:, 0].sum(axis=-1, dtype=np.float64).reshape(-1), *stops.sum(axis=-1, dtype=np.float64)))
+    return Edges(Index(keys), counts, stops, priors or _priors(*counts[:, 0].sum(axis=-1, dtype=np.float64).reshape(-1), *stops.sum(axis=-1, dtype=np.float64)))
 
 
 def _gap_scores(text: str, edges: Edges) -> tuple[np.ndarray, np.ndarray]:
@@ -330,11 +337,11 @@ def _stop_evidence(text: str, edges: Edges) -> dict[str, float]:
     return out
 
 
-def _seen(keys: np.ndarray, table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def _seen(keys: Index, table: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The two counts of each key, 0 for one that occurs nowhere."""
-    if not len(keys):
+    if not len(keys.keys):
         return np.zeros((2, len(ids)), np.float32)
-    at = places(keys, ids)
+    at = keys.places(ids)
     return np.stack([np.where(at < 0, 0, c[at]) for c in table])
 
 
@@ -357,16 +364,22 @@ def _line_ends(line: str, gap: np.ndarray, opens: np.ndarray, stops: dict[str, f
     for a, b in zip(edges, edges[1:]):
         if b - a > longest:
             _unmarked(line, gap, a, min(b, quiet), taken, marks)
+    if not marks:
+        return [last]
     spots = [0, *sorted(p for p, v in marks.items() if v >= -6 and not quotes.inside(p)), last]
     value = [0.0, *(marks[p] for p in spots[1:-1]), 0.0]
-    best, back = [0.0] + [-np.inf] * (len(spots) - 1), [0] * len(spots)
+    best, most, back = [0.0] * len(spots), [0.0] * len(spots), [0] * len(spots)
     for j in range(1, len(spots)):
+        end, top, came = spots[j], -1e9, 0
         for i in range(j - 1, -1, -1):
-            if i < j - 1 and spots[j] - spots[i] > REACH:
+            # No earlier start can win: none had a better score, and the span only grows.
+            if most[i] - max(0, end - spots[i] - USUAL) / 100 <= top:
                 break
-            score = best[i] + value[j] + _span(line, spots[i], spots[j], last, quotes)
-            if score > best[j]:
-                best[j], back[j] = score, i
+            score = best[i] + _span(line, spots[i], end, last, quotes)
+            if score > top:
+                top, came = score, i
+        best[j], back[j] = top + value[j], came
+        most[j] = max(most[j - 1], best[j])
     out, j = [], len(spots) - 1
     while j:
         out.append(spots[j])
@@ -428,8 +441,8 @@ def _span(line: str, a: int, b: int, last: int, quotes: _Quotes) -> float:
     inside = body.strip()
     if len(inside) < 4:
         score -= 2
-    if len(inside) > 400:
-        score -= (len(inside) - 400) / 100
+    if b - a > USUAL:
+        score -= (b - a - USUAL) / 100
     if b < last and quotes.pairs:
         x = quotes.ending(b)
         start = a + len(body) - len(body.lstrip())
@@ -441,7 +454,7 @@ def _span(line: str, a: int, b: int, last: int, quotes: _Quotes) -> float:
 def _mark_score(line: str, m: re.Match, gap: np.ndarray, opens: np.ndarray, stops: dict[str, float], quotes: _Quotes) -> float:
     """How far a mark with its closers ends a sentence: what the mark itself says, plus the words before and after it."""
     end, marks = m.end(), m.group()
-    words = float(np.clip(gap[end], -6, 6))
+    words = min(max(float(gap[end]), -6.0), 6.0)
     own = _shape_score(line, m, words, float(opens[end]), stops)
     return own + WORDS * words - (GOES_ON if quotes.opens_sentence(end) else 0)
 
@@ -479,7 +492,7 @@ def _shape_score(line: str, m: re.Match, words: float, opening: float, stops: di
     if against < -4 and word.islower() and word.count(".") == 1 and following.isupper() and word not in NEVER_LAST:
         return 2.0 + max(0.0, min(opening, 4.0))  # a small word before a capital more likely closes a phrase that always goes on
     # The less the word is known to close sentences, the more the words after it decide.
-    return 5.0 + against + (float(np.clip(opening, -4, 4)) if against < -2 else 0.0)
+    return 5.0 + against + (min(max(opening, -4.0), 4.0) if against < -2 else 0.0)
 
 
 def _unmarked(line: str, gap: np.ndarray, a: int, b: int, taken: set[int], marks: dict[int, float]) -> None:
@@ -489,7 +502,7 @@ def _unmarked(line: str, gap: np.ndarray, a: int, b: int, taken: set[int], marks
         end = m.end()
         if end < b:
             wide_blank = line[m.start()] == "\u3000"
-            marks[m.start() if wide_blank else end] = float(np.clip(gap[end], -8, 8)) + (2.0 if wide_blank else WEAK_BIAS)
+            marks[m.start() if wide_blank else end] = min(max(float(gap[end]), -8.0), 8.0) + (2.0 if wide_blank else WEAK_BIAS)
             seen.update(range(m.start(), end + 1))
     bare = BARE_BIAS if not seen else MARKED_BIAS  # where other marks stand, a sentence end without any is rarer
     for p in (np.flatnonzero(gap[a + 1 : b] > bare) + a + 1).tolist():
@@ -551,8 +564,9 @@ def _answered(asks: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
     rows = []
     if len(asks) and len(counted):
         keys, counts = _unpacked(counted["counts"].iloc[0])
+        index = Index(keys)
         for part, asked in zip(asks["part"], asks["keys"]):
-            at = places(keys, np.frombuffer(asked, np.uint64))
+            at = index.places(np.frombuffer(asked, np.uint64))
             at = at[at >= 0]
             rows.append((part, int(asks["slice"].iloc[0]), _packed(keys[at], counts[:, :, at])))
     return pd.DataFrame(rows, columns=["part", "slice", "counts"])

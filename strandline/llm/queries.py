@@ -100,7 +100,7 @@ def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p9_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+    return p9_leaks(spark, sf_dir).where("kind <> 'near'").select("doc_id", "item_id").distinct()
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """The main body of web pages, freed from what a host prints around it.
 
 The token streams of the pages of one host are concatenated, in blocks of bounded size, and
-indexed by a suffix array; its sorted suffixes show which lines, and which line openings up
-to a colon, stand on several distinct pages. Their page counts add up over the blocks of a
-host and tell boilerplate that cleaning usually leaves in a text (bylines, share prompts)
-from boilerplate it strips (menus, cookie notices, teaser headings). Covered lines go; of
-the unique runs those are kept that lie in the article's place on their page.
+indexed by a suffix array. Its sorted suffixes show the long substrings that stand on several
+distinct pages: whole lines, line openings up to a colon, and runs of tokens inside longer
+lines. These candidates are then counted exactly over all pages of the host. The counts tell
+boilerplate that cleaning usually leaves in a text (bylines, share prompts) from boilerplate
+it strips (menus, cookie notices, teaser headings). Lines that boilerplate covers go; of the
+unique runs those are kept that lie in the article's place on their page.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +26,17 @@ from strandline.functions.keys import source_key
 from strandline.operators.joins import sized
 from strandline.session import settled
 
+#: Pages of a block; at least 200 then, so that what reaches a threshold on a larger host stands on several pages of one block.
 BLOCK_PAGES = 400
-LONGEST_RUN = 64
 BROADCAST_ROWS = 300_000
 SALTS = 32
+#: Least tokens of a run inside a line, and the share of a line's tokens that such runs must cover.
+LEAST_RUN, COVERED = 8, 0.6
 
 TAG = re.compile(r"<[^>]*>")
 LINK = re.compile(r"!?\[([^\]]*)\]\([^)\s]*\)")
-WORD = re.compile(r"[^\W\d_]+|[:：]")
+WIDE = "぀-ヿ㐀-䶿一-鿿豈-﫿"
+WORD = re.compile(rf"[{WIDE}]|[^\W\d_{WIDE}]+|[:：]")
 KEEP = re.compile(r"[\W_]+")
 LETTERS = re.compile(r"[\W\d_]+")
 CUT_MARK = re.compile(r"\s*(?:\[\+\d+ chars\]|…|\.\.\.|�|&#?\w{0,6})\s*$")
@@ -64,32 +69,46 @@ def line_key(words: list[str]) -> int:
 
 
 def label_of(words: list[str]) -> list[str] | None:
-    """The opening of a line up to its first colon, if that is short and more follows."""
-    for i, w in enumerate(words[:8]):
-        if w in ":：":
-            return words[: i + 1] if 0 < i < len(words) - 1 else None
-    return None
+    """The opening of a line up to its first colon, if more follows."""
+    i = next((i for i, w in enumerate(words) if w in ":："), 0)
+    return words[: i + 1] if 0 < i < len(words) - 1 else None
 
 
-def suffix_array(ids: np.ndarray, longest: int = LONGEST_RUN) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes by their first ``longest`` ids, and the common prefix of each with the one before."""
+def suffix_array(ids: np.ndarray, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes by their first ``longest`` ids at least (all if not given), and the common prefix of each with the one before.
+
+    Ranks are refined by doubling; only suffixes that still share their rank are sorted again.
+    """
     n = len(ids)
-    rank, k, levels = np.unique(ids, return_inverse=True)[1].astype(np.int64), 1, []
+    longest = n if longest is None else longest
+    ids = np.unique(ids, return_inverse=True)[1].astype(np.int64)
+    rank, k, levels = _dense(ids), 1, []
     while True:
         levels.append((k, rank))
-        if k >= longest or rank.max(initial=0) == n - 1:
+        if k >= longest:
+            break
+        shared = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
+        if not len(shared):
             break
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - k] = rank[k:] + 1
-        both = rank * (n + 1) + ahead
-        rank = np.unique(both, return_inverse=True)[1].astype(np.int64)
+        ahead = np.zeros(len(shared), np.int64)
+        inside = shared + k < n
+        ahead[inside] = rank[shared[inside] + k] + 1
+        key = rank[shared] * (n + 1) + ahead
+        by = np.argsort(key, kind="stable")
+        key, at = key[by], shared[by]
+        old = rank[at]
+        place = np.arange(len(at))
+        begins = np.concatenate(([True], key[1:] != key[:-1]))
+        groups = np.concatenate(([True], old[1:] != old[:-1]))
+        rank = rank.copy()
+        rank[at] = old + np.maximum.accumulate(np.where(begins, place, 0)) - np.maximum.accumulate(np.where(groups, place, 0))
         k *= 2
     order = np.argsort(rank, kind="stable")
     a, b = order[:-1].copy(), order[1:].copy()
     common = np.zeros(n, np.int64)
     for k, rank in reversed(levels):
         inside = (a < n) & (b < n)
-        same = np.zeros(n - 1, bool)
+        same = np.zeros(max(n - 1, 0), bool)
         same[inside] = rank[a[inside]] == rank[b[inside]]
         common[1:][same] += k
         a[same] += k
@@ -97,98 +116,310 @@ def suffix_array(ids: np.ndarray, longest: int = LONGEST_RUN) -> tuple[np.ndarra
     return order, common
 
 
-def repeated_runs(streams: list[list[list[str]]]) -> list[tuple[str, list[str], list[int]]]:
-    """(kind, tokens, pages) of the lines and labels that stand on two or more of the pages.
+def _dense(ids: np.ndarray) -> np.ndarray:
+    """Each id as the place of its first in sorted order."""
+    counts = np.bincount(ids)
+    return (np.cumsum(counts) - counts)[ids]
 
-    ``streams`` holds for each page its lines as tokens. A line is repeated if the suffixes
-    from its start share it to its break; a label if they share it to its colon.
-    """
-    flat, page, begin, sizes, labels = [], [], [], [], []
+
+def _sliding(values: np.ndarray, width: int, best: Callable) -> np.ndarray:
+    """``best`` of each ``width`` consecutive values."""
+    out, have = values, 1
+    while have < width:
+        step = min(have, width - have)
+        out = best(out[:-step], out[step:])
+        have += step
+    return out
+
+
+def repeats(order: np.ndarray, common: np.ndarray, times: int) -> np.ndarray:
+    """For each suffix the longest prefix of it that occurs ``times`` times or more."""
+    n = len(order)
+    out = np.zeros(n, np.int64)
+    if n >= times > 1:
+        least = _sliding(common[1:], times - 1, np.minimum)  # of ``times`` neighbours in the order
+        pad = np.zeros(times - 1, np.int64)
+        out[order] = _sliding(np.concatenate((pad, least, pad)), times, np.maximum)
+    return out
+
+
+class Hashes:
+    """Keys of any stretch of a token stream, from running sums."""
+
+    BASE = 0x9E3779B97F4A7C15
+    INVERSE = pow(BASE, -1, 1 << 64)
+    known: dict[str, int] = {}
+
+    def __init__(self, flat: list[str]):
+        if len(Hashes.known) > 1_000_000:
+            Hashes.known.clear()
+        h = np.fromiter((self.of_word(w) for w in flat), np.uint64, len(flat))
+        powers = lambda b: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(flat), b, np.uint64))))
+        with np.errstate(over="ignore"):
+            self.down = powers(self.INVERSE)
+            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers(self.BASE)[:-1])))
+
+    @classmethod
+    def of_word(cls, word: str) -> int:
+        got = cls.known.get(word)
+        if got is None:
+            got = cls.known[word] = xxhash.xxh64_intdigest(word)
+        return got
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (self.sums[stop] - self.sums[start]) * self.down[start]
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def _flat(streams: list[list[list[str]]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """All pages in one stream, with the page of each token, and the beginning and size of each line."""
+    flat: list[str] = []
+    page, begin, sizes = [], [], []
     for p, lines in enumerate(streams):
         for words in lines:
             begin.append(len(flat))
             sizes.append(len(words))
-            label = label_of(words)
-            labels.append(len(label) if label else 0)
             flat += words
             flat.append("\n")
-            page += [p] * (len(words) + 1)
         flat.append(f"\x00{p}")  # unique, so that no run crosses pages
-        page.append(p)
-    if not begin:
+        page.append(len(flat))
+    of = np.repeat(np.arange(len(streams)), np.diff([0, *page]))
+    return flat, of, np.array(begin, np.int64), np.array(sizes, np.int64)
+
+
+def repeated_runs(streams: list[list[list[str]]], times: int = 2) -> list[tuple[str, list[str], list[int]]]:
+    """(kind, tokens, pages) of the substrings that stand on two or more of the pages.
+
+    ``streams`` holds for each page its lines as tokens. A ``line`` is repeated if the suffixes
+    from its start share it to its break; a ``label`` if they share it to its colon; a ``run``
+    is a stretch of ``LEAST_RUN`` tokens or more inside a line that occurs ``times`` times and
+    cannot be extended.
+    """
+    flat, page, begin, sizes = _flat(streams)
+    if not len(begin):
         return []
     ids = pd.factorize(np.array(flat, object))[0]
-    order, common = suffix_array(ids)
+    order, common = suffix_array(ids, int(sizes.max()) + 1)
     spot = np.full(len(ids), -1)
-    spot[np.array(begin)] = np.arange(len(begin))
+    spot[begin] = np.arange(len(begin))
     # Among the suffixes that begin a line, the common prefix with the line before is the least in between.
     at = np.flatnonzero(spot[order] >= 0)
     line = spot[order[at]]
-    share = np.minimum.reduceat(common, np.concatenate(([0], at[:-1] + 1))) if len(at) else common[:0]
+    share = np.minimum.reduceat(common, np.concatenate(([0], at[:-1] + 1)))
     share[0] = 0
-    page, begin, sizes, labels = np.array(page), np.array(begin), np.array(sizes), np.array(labels)
-    out = []
-    for kind, need in (("line", np.minimum(sizes[line] + 1, LONGEST_RUN)), ("label", labels[line])):
-        use = need > 0 if kind == "label" else sizes[line] > 0
-        if kind == "label":
-            # Labels of several lengths interleave; a group is one label text.
-            group = pd.factorize(np.array([" ".join(flat[begin[i] : begin[i] + labels[i]]) if u else "" for i, u in zip(line, use)], object))[0]
-        else:
-            group = np.cumsum(share < need)
-        pairs = pd.DataFrame({"g": group[use], "p": page[begin[line[use]]], "i": line[use]}).drop_duplicates(["g", "p"])
-        for _, part in pairs.groupby("g", sort=False):
-            if len(part) > 1:
-                i = part["i"].iloc[0]
-                size = sizes[i] if kind == "line" else labels[i]
-                out.append((kind, flat[begin[i] : begin[i] + size], sorted(part["p"].tolist())))
+    out = _grouped("line", np.cumsum(share < sizes[line] + 1), begin[line], sizes[line], page, flat)
+    labels = [label_of(flat[b : b + n]) for b, n in zip(begin, sizes)]
+    has = np.array([i for i, label in enumerate(labels) if label], np.int64)
+    if len(has):
+        text = pd.factorize(np.array([" ".join(labels[i]) for i in has], object))[0]
+        out += _grouped("label", text, begin[has], np.array([len(labels[i]) for i in has]), page, flat)
+    # Inside lines: how far the text from each token on is repeated, up to the line's end.
+    number = np.repeat(np.arange(len(begin)), sizes)
+    inside = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    where = begin[number] + inside
+    far = np.minimum(repeats(order, common, times)[where], sizes[number] - inside)
+    extends = np.concatenate(([False], (far[:-1] == far[1:] + 1) & (inside[1:] > 0)))
+    use = (far >= LEAST_RUN) & ~extends & ((inside > 0) | (far < sizes[number]))
+    start, size = where[use], far[use]
+    if len(start):
+        keys = Hashes(flat).of(start, start + size)
+        out += _grouped("run", pd.factorize(keys)[0], start, size, page, flat)
     return out
 
 
-def _runs_of_block(block: pd.DataFrame) -> pd.DataFrame:
-    """Page counts of one block: (source, kind, key, pages, raw_pages, text_pages of those with both fields, loose)."""
-    both = [isinstance(r, str) for r in block["raw_content"]]
-    raw = [[w for x in r.split("\n") if (w := tokens(visible(x)))] if b else [] for r, b in zip(block["raw_content"], both)]
-    text = [[w for x in t.split("\n") if (w := tokens(visible(x)))] for t in block["text"]]
-    n = len(block)
-    found: dict[tuple[str, int], list[int]] = {}
-    for kind, words, pages in repeated_runs(raw + text):
-        hit_raw, hit_text = {p for p in pages if p < n}, {p - n for p in pages if p >= n}
-        row = found.setdefault((kind, line_key(words)), [0, 0, 0, 0])
-        row[0] += len(hit_raw | hit_text)
-        row[1] += len(hit_raw)
-        row[2] += sum(both[p] for p in hit_text)
-        row[3] += len(hit_text)
-    rows = [(block["source"].iloc[0], kind, key, *row) for (kind, key), row in found.items()]
-    rows.append((block["source"].iloc[0], "all", 0, n, sum(both), sum(both), n))
-    return pd.DataFrame(rows, columns=["source", "kind", "key", "pages", "raw_pages", "both_pages", "text_pages"])
+def _grouped(kind: str, group: np.ndarray, start: np.ndarray, size: np.ndarray, page: np.ndarray, flat: list[str]) -> list[tuple[str, list[str], list[int]]]:
+    pairs = pd.DataFrame({"g": group, "p": page[start], "a": start, "n": size})
+    pairs = pairs[pairs["n"] > 0].drop_duplicates(["g", "p"])
+    pairs = pairs[pairs.groupby("g")["p"].transform("size") > 1].sort_values(["g", "p"])
+    edges = np.flatnonzero(np.diff(pairs["g"].to_numpy(), prepend=-1, append=-1))
+    p, a, n = (pairs[c].to_numpy() for c in ("p", "a", "n"))
+    return [(kind, flat[a[i] : a[i] + n[i]], p[i:j].tolist()) for i, j in zip(edges, edges[1:])]
+
+
+CANDIDATE = "source string, kind string, key bigint, anchor bigint, size int"
+
+
+def _lines(text: str | None) -> list[list[str]]:
+    return [w for x in (text or "").split("\n") if (w := tokens(visible(x)))]
+
+
+def _candidates(note_percent: float, strip_percent: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        """The repeated substrings of one block that may reach a threshold: what reaches it on a host reaches half of it in a block."""
+        n, raw = len(block), int(block["raw_content"].notna().sum())
+        least_raw, least_text = max(2.0, raw * strip_percent / 200), max(2.0, n * note_percent / 200)
+        streams = [_lines(r) for r in block["raw_content"]] + [_lines(t) for t in block["text"]]
+        rows, source = set(), block["source"].iloc[0]
+        for kind, words, pages in repeated_runs(streams, int(np.ceil(least_raw))):
+            in_raw = int(np.searchsorted(pages, n))
+            if in_raw < least_raw and (kind != "line" or len(pages) - in_raw < least_text):
+                continue
+            if kind == "run":
+                keys = Hashes(words)
+                zero, end = np.zeros(1, np.int64), np.array([len(words)])
+                rows.add((source, kind, int(keys.of(zero, end)[0]), int(keys.of(zero, zero + LEAST_RUN)[0]), len(words)))
+            else:
+                rows.add((source, kind, line_key(words), 0, 0))
+        return pd.DataFrame(sorted(rows), columns=["source", "kind", "key", "anchor", "size"])
+
+    return run
+
+
+class Runs:
+    """Runs of tokens of one host, found in any line through their first tokens."""
+
+    def __init__(self, rows: list[tuple[int, int, int]]):
+        rows = sorted(rows)
+        self.anchor = np.array([a for a, _, _ in rows], np.int64)
+        self.size = np.array([n for _, n, _ in rows], np.int64)
+        self.key = np.array([k for _, _, k in rows], np.int64)
+
+    def found(self, lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the run, line, place in it) of all that stand in the lines."""
+        none = np.zeros(0, np.int64)
+        if not len(self.key):
+            return none, none, none
+        sizes = np.array([len(w) for w in lines], np.int64)
+        flat = [w for words in lines for w in words]
+        line = np.repeat(np.arange(len(lines)), sizes)
+        end = np.repeat(np.cumsum(sizes), sizes)
+        start = np.flatnonzero(np.arange(len(flat)) + LEAST_RUN <= end)
+        if not len(start):
+            return none, none, none
+        hashes = Hashes(flat)
+        gram = hashes.of(start, start + LEAST_RUN)
+        low, high = np.searchsorted(self.anchor, gram, "left"), np.searchsorted(self.anchor, gram, "right")
+        times = high - low
+        at = np.repeat(start, times)
+        run = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        fits = at + self.size[run] <= end[at]
+        at, run = at[fits], run[fits]
+        same = hashes.of(at, at + self.size[run]) == self.key[run]
+        at, run = at[same], run[same]
+        return run, line[at], at - (end[at] - sizes[line[at]])
+
+    def covered(self, lines: list[list[str]]) -> np.ndarray:
+        """The share of each line's tokens that runs cover."""
+        run, line, at = self.found(lines)
+        out = np.zeros(len(lines))
+        for i in np.unique(line):
+            mask = np.zeros(len(lines[i]), bool)
+            for r, a in zip(run[line == i], at[line == i]):
+                mask[a : a + self.size[r]] = True
+            out[i] = mask.mean()
+        return out
+
+
+class Wanted:
+    """Candidates of one host, by kind."""
+
+    def __init__(self, rows: list[tuple]):
+        self.line = {r[1] for r in rows if r[0] == "line"}
+        self.label = {r[1] for r in rows if r[0] == "label"}
+        self.runs = Runs([(r[2], r[3], r[1]) for r in rows if r[0] == "run"])
+
+    def standing(self, lines: list[list[str]]) -> set[tuple[str, int]]:
+        """The candidates that stand in the lines."""
+        out = {("line", k) for k in map(line_key, lines) if k in self.line}
+        for words in lines if self.label else ():
+            label = label_of(words)
+            if label and (key := line_key(label)) in self.label:
+                out.add(("label", key))
+        return out | {("run", int(k)) for k in self.runs.key[np.unique(self.runs.found(lines)[0])]}
+
+
+def _count(batch: pd.DataFrame, host: dict[str, Wanted]) -> pd.DataFrame:
+    """Pages of a batch on which each candidate stands: in raw content, in the text of pages with raw content, in any text."""
+    found: dict[tuple, list[int]] = {}
+    for text, raw, source in zip(batch["text"], batch["raw_content"], batch["source"]):
+        wanted = host.get(source)
+        if wanted is None:
+            continue
+        in_raw = wanted.standing(_lines(raw)) if raw is not None else set()
+        in_text = wanted.standing(_lines(text))
+        for hit in in_raw | in_text:
+            row = found.setdefault((source, *hit), [0, 0, 0])
+            row[0] += hit in in_raw
+            row[1] += raw is not None and hit in in_text
+            row[2] += hit in in_text
+    return pd.DataFrame([(*k, *v) for k, v in found.items()], columns=["source", "kind", "key", "raw_pages", "both_pages", "text_pages"])
+
+
+def by_host(pages: DataFrame, table: DataFrame, columns: list[str], build: Callable[[list[tuple]], object], run: Callable[[pd.DataFrame, dict], pd.DataFrame], schema: str) -> DataFrame:
+    """``run(batch, {source: build(rows of the host)})`` over all pages; ``table`` holds the rows (source, *columns), settled."""
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        rows: dict[str, list[tuple]] = {}
+        for r in table.select("source", *columns).collect():
+            rows.setdefault(r[0], []).append(tuple(r[1:]))
+        shared = pages.sparkSession.sparkContext.broadcast(rows)
+
+        def run_shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            hosts = {source: build(x) for source, x in shared.value.items()}
+            for batch in batches:
+                yield run(batch, hosts)
+
+        return pages.mapInPandas(run_shared, schema)
+    # Too many hosts to broadcast: each host's rows, bounded by its lines per page over the least share, travel to its salted pages.
+    packed = table.groupBy("source").agg(F.collect_list(F.struct(*columns)).alias("rows")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = pages.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(packed, ["source", "salt"], "left").drop("salt")
+
+    def run_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for source, part in batch.groupby("source", sort=False):
+                rows = part["rows"].iloc[0]
+                yield run(part, {source: build([tuple(r[c] for c in columns) for r in (rows if rows is not None else [])])})
+
+    return salted.mapInPandas(run_joined, schema)
 
 
 def host_runs(pages: DataFrame, note_percent: float = 4.0, strip_percent: float = 3.0, least: int = 4) -> DataFrame:
-    """(source, kind, key): per host the runs judged boilerplate.
+    """(source, kind, key, anchor, size): per host the substrings judged boilerplate, of ``pages`` (source, doc_id, text, raw_content).
 
     ``note``: a line on ``note_percent`` of the host's texts; ``strip``: a line, ``label``: a
     line opening, that ``strip_percent`` of the raw pages show but the cleaned texts of the same
-    pages lack.
+    pages lack; ``run``: a stretch inside lines that the raw pages show as often, but hardly any text.
     """
-    runs = pages.groupBy("source", "block").applyInPandas(_runs_of_block, "source string, kind string, key bigint, pages bigint, raw_pages bigint, both_pages bigint, text_pages bigint")
-    runs = runs.groupBy("source", "kind", "key").agg(*[F.sum(c).alias(c) for c in ("pages", "raw_pages", "both_pages", "text_pages")])
-    whole = runs.where("kind = 'all'").select("source", F.col("text_pages").alias("n"), F.col("raw_pages").alias("n_raw"))
-    judged = runs.where("kind <> 'all'").join(whole, "source")
+    # Pages with raw content have blocks of their own, so that few of them never spread over many blocks.
+    placed = pages.select("source", "doc_id", "text", "raw_content", F.col("raw_content").isNotNull().alias("has_raw"))
+    sizes = placed.groupBy("source", "has_raw").agg(F.count("*").alias("n"))
+    sizes = settled(sizes)
+    blocks = sizes.withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("n") / BLOCK_PAGES)).cast("int")).drop("n")
+    placed = placed.join(sized(blocks, BROADCAST_ROWS), ["source", "has_raw"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    found = placed.groupBy("source", "has_raw", "block").applyInPandas(_candidates(note_percent, strip_percent), CANDIDATE)
+    candidates = settled(found.distinct())
+    counted = by_host(pages.select("source", "doc_id", "text", "raw_content"), candidates, ["kind", "key", "anchor", "size"], Wanted, _count, "source string, kind string, key bigint, raw_pages bigint, both_pages bigint, text_pages bigint")
+    counted = counted.groupBy("source", "kind", "key").agg(*[F.sum(c).alias(c) for c in ("raw_pages", "both_pages", "text_pages")])
+    whole = sizes.groupBy("source").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("has_raw"), F.col("n")).otherwise(0)).alias("n_raw"))
     strip = (F.col("raw_pages") >= least) & (F.col("raw_pages") * 100 >= F.col("n_raw") * strip_percent) & (F.col("both_pages") < 0.2 * F.col("raw_pages"))
     note = (F.col("text_pages") >= least) & (F.col("text_pages") * 100 >= F.col("n") * note_percent)
-    kind = F.when((F.col("kind") == "line") & strip, "strip").when((F.col("kind") == "label") & strip, "label").when((F.col("kind") == "line") & note, "note")
-    return judged.select("source", kind.alias("kind"), "key").where("kind is not null")
+    run = strip & (F.col("raw_pages") >= 2 * least) & (F.col("text_pages") < 0.05 * F.col("raw_pages"))
+    kind = F.when((F.col("kind") == "line") & strip, "strip").when((F.col("kind") == "label") & strip, "label").when((F.col("kind") == "run") & run, "run").when((F.col("kind") == "line") & note, "note")
+    judged = counted.join(sized(whole, BROADCAST_ROWS), "source").join(candidates, ["source", "kind", "key"])
+    return judged.select("source", kind.alias("kind"), "key", "anchor", "size").where("kind is not null")
 
 
 class Known:
     """The boilerplate of one host, by key."""
 
-    def __init__(self, rows: list[tuple[str, int]]):
-        self.strip = {k for kind, k in rows if kind == "strip"}
-        self.label = {k for kind, k in rows if kind == "label"}
-        self.note = {k for kind, k in rows if kind == "note"}
-
-    def of(self, shown: str, words: list[str]) -> str:
+    def __init__(self, rows: list[tuple]):
+        self.strip = {r[1] for r in rows if r[0] == "strip"}
+        self.label = {r[1] for r in rows if r[0] == "label"}
+        self.note = {r[1] for r in rows if r[0] == "note"}
+        self.runs = Runs([(r[2], r[3], r[1]) for r in rows if r[0] == "run"])
+
+    def kinds(self, shown: list[str]) -> list[str]:
+        """For each line as shown what it is: strip, note, label, run, or nothing known."""
+        words = [tokens(s) for s in shown]
+        out = [self._of(s, w) if w else "" for s, w in zip(shown, words)]
+        left = [i for i, k in enumerate(out) if not k]
+        for i, share in zip(left, self.runs.covered([words[i] for i in left])):
+            if share >= COVERED:
+                out[i] = "run"
+        return out
+
+    def _of(self, shown: str, words: list[str]) -> str:
         key = line_key(words)
         if key in self.strip:
             return "strip"
@@ -225,11 +456,10 @@ def verdicts(text: str, raw: str | None, title: str | None, known: Known) -> lis
     name = KEEP.sub("", html.unescape(title or "")).lower()
     lines = text.split("\n")
     shown = [visible(x) for x in lines]
-    words = [tokens(s) for s in shown]
-    kinds = [known.of(s, w) if w else "" for s, w in zip(shown, words)]
+    kinds = known.kinds(shown)
     carries = [bool(KEEP.sub("", s)) for s in shown]
     last = max((i for i, c in enumerate(carries) if c), default=-1)
-    page = sum(k in ("strip", "label") for k in kinds) >= 2  # the text is the raw page still
+    page = sum(k in ("strip", "label", "run") for k in kinds) >= 2  # the text is the raw page still
     if page:
         main = _place(lines, shown, kinds, name)
     else:
@@ -240,7 +470,7 @@ def verdicts(text: str, raw: str | None, title: str | None, known: Known) -> lis
     raw_lines = raw.split("\n")
     raw_shown = [visible(x) for x in raw_lines]
     raw_keys = [KEEP.sub("", s).lower() for s in raw_shown]
-    raw_kinds = [known.of(s, tokens(s)) if k else "" for s, k in zip(raw_shown, raw_keys)]
+    raw_kinds = [kind if k else "" for kind, k in zip(known.kinds(raw_shown), raw_keys)]
     keys = {KEEP.sub("", s).lower() for s, c in zip(shown, carries) if c}
     stub = KEEP.sub("", CUT_MARK.sub("", shown[last])).lower() if last >= 0 else ""
     matched = [bool(k) and k in keys for k in raw_keys]
@@ -269,9 +499,7 @@ def page_lines(docs: DataFrame, sources: DataFrame) -> DataFrame:
     named = sources.select("doc_id", source_key(F.col("source_name")).alias("source")).where("doc_id is not null").groupBy("doc_id").agg(F.min("source").alias("source"))
     pages = once.join(named, "doc_id", "left").withColumn("source", F.coalesce("source", F.lit("")))
     pages = settled(pages)
-    blocks = pages.groupBy("source").agg(F.greatest(F.lit(1), F.round(F.count("*") / BLOCK_PAGES)).cast("int").alias("blocks"))
-    placed = pages.join(sized(blocks, BROADCAST_ROWS), "source").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    known = settled(host_runs(placed.select("source", "block", "text", "raw_content")))
+    known = settled(host_runs(pages))
     schema = "doc_id string, field string, line_no int, main boolean"
 
     def judge(batch: pd.DataFrame, host: dict[str, Known]) -> pd.DataFrame:
@@ -285,29 +513,7 @@ def page_lines(docs: DataFrame, sources: DataFrame) -> DataFrame:
                 mains.append(main)
         return pd.DataFrame({"doc_id": ids, "field": fields, "line_no": nos, "main": mains})
 
-    cols = ["doc_id", "text", "raw_content", "title", "source"]
-    if known.count() <= BROADCAST_ROWS:
-        rows: dict[str, list[tuple[str, int]]] = {}
-        for r in known.collect():
-            rows.setdefault(r.source, []).append((r.kind, r.key))
-        shared = docs.sparkSession.sparkContext.broadcast({s: Known(x) for s, x in rows.items()})
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield judge(batch, shared.value)
-
-        return pages.select(*cols).mapInPandas(run, schema)
-    # Too many hosts to broadcast: each host's runs, bounded by its lines per page over the least share, travel to its salted pages.
-    packed = known.groupBy("source").agg(F.collect_list(F.struct("kind", "key")).alias("runs")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = pages.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(packed, ["source", "salt"], "left")
-
-    def run_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for source, part in batch.groupby("source", sort=False):
-                runs = part["runs"].iloc[0]
-                yield judge(part, {source: Known([(r["kind"], r["key"]) for r in (runs if runs is not None else [])])})
-
-    return salted.select(*cols, "runs").mapInPandas(run_joined, schema)
+    return by_host(pages.select("doc_id", "text", "raw_content", "title", "source"), known, ["kind", "key", "anchor", "size"], Known, judge, schema)
 
 
 def main_bodies(docs: DataFrame, lines: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ unique runs those are kept that lie in the article's place on their page.
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 from collections.abc import Callable, Iterator
@@ -65,7 +64,8 @@ def tokens(line: str) -> list[str]:
 
 def line_key(words: list[str]) -> int:
     """64-bit key of a line by its letters alone."""
-    return int.from_bytes(hashlib.blake2b("".join(w for w in words if w not in ":：").encode(), digest_size=8).digest(), "little", signed=True)
+    key = xxhash.xxh64_intdigest("".join(words).replace(":", "").replace("：", ""))
+    return key - (1 << 64) if key >> 63 else key
 
 
 def label_of(words: list[str]) -> list[str] | None:
@@ -83,6 +83,11 @@ def suffix_array(ids: np.ndarray, longest: int | None = None) -> tuple[np.ndarra
     longest = n if longest is None else longest
     ids = np.unique(ids, return_inverse=True)[1].astype(np.int64)
     rank, k, levels = _dense(ids), 1, []
+    if n and ids.max() < (1 << 15) - 1:  # four ids fit one key, which is sorted at once
+        pad = np.concatenate((ids + 1, np.zeros(3, np.int64)))
+        pair = pad[:-1] << 15 | pad[1:]
+        levels += [(1, ids), (2, pair[:n])]
+        rank, k = _dense(np.unique(pair[:-2] << 30 | pair[2:], return_inverse=True)[1]), 4
     while True:
         levels.append((k, rank))
         if k >= longest:
@@ -94,7 +99,7 @@ def suffix_array(ids: np.ndarray, longest: int | None = None) -> tuple[np.ndarra
         inside = shared + k < n
         ahead[inside] = rank[shared[inside] + k] + 1
         key = rank[shared] * (n + 1) + ahead
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         key, at = key[by], shared[by]
         old = rank[at]
         place = np.arange(len(at))
@@ -103,7 +108,7 @@ def suffix_array(ids: np.ndarray, longest: int | None = None) -> tuple[np.ndarra
         rank = rank.copy()
         rank[at] = old + np.maximum.accumulate(np.where(begins, place, 0)) - np.maximum.accumulate(np.where(groups, place, 0))
         k *= 2
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     a, b = order[:-1].copy(), order[1:].copy()
     common = np.zeros(n, np.int64)
     for k, rank in reversed(levels):
@@ -148,24 +153,15 @@ class Hashes:
 
     BASE = 0x9E3779B97F4A7C15
     INVERSE = pow(BASE, -1, 1 << 64)
-    known: dict[str, int] = {}
 
     def __init__(self, flat: list[str]):
-        if len(Hashes.known) > 1_000_000:
-            Hashes.known.clear()
-        h = np.fromiter((self.of_word(w) for w in flat), np.uint64, len(flat))
+        code, words = pd.factorize(np.array(flat, object))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))[code]
         powers = lambda b: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(flat), b, np.uint64))))
         with np.errstate(over="ignore"):
             self.down = powers(self.INVERSE)
             self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers(self.BASE)[:-1])))
 
-    @classmethod
-    def of_word(cls, word: str) -> int:
-        got = cls.known.get(word)
-        if got is None:
-            got = cls.known[word] = xxhash.xxh64_intdigest(word)
-        return got
-
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             h = (self.sums[stop] - self.sums[start]) * self.down[start]
@@ -247,14 +243,17 @@ def _lines(text: str | None) -> list[list[str]]:
 
 def _candidates(note_percent: float, strip_percent: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        """The repeated substrings of one block that may reach a threshold: what reaches it on a host reaches half of it in a block."""
+        """The repeated substrings of one block that may be judged boilerplate: what reaches a threshold on a host reaches
+        half of it in a block, and what cleaning strips is stripped from most pages of such a block."""
         n, raw = len(block), int(block["raw_content"].notna().sum())
         least_raw, least_text = max(2.0, raw * strip_percent / 200), max(2.0, n * note_percent / 200)
         streams = [_lines(r) for r in block["raw_content"]] + [_lines(t) for t in block["text"]]
         rows, source = set(), block["source"].iloc[0]
         for kind, words, pages in repeated_runs(streams, int(np.ceil(least_raw))):
             in_raw = int(np.searchsorted(pages, n))
-            if in_raw < least_raw and (kind != "line" or len(pages) - in_raw < least_text):
+            in_text = len(pages) - in_raw
+            strip = in_raw >= least_raw and in_text <= (0.5 if kind == "run" else 0.8) * in_raw
+            if not strip and (kind != "line" or in_text < least_text):
                 continue
             if kind == "run":
                 keys = Hashes(words)
@@ -320,30 +319,35 @@ class Wanted:
         self.label = {r[1] for r in rows if r[0] == "label"}
         self.runs = Runs([(r[2], r[3], r[1]) for r in rows if r[0] == "run"])
 
-    def standing(self, lines: list[list[str]]) -> set[tuple[str, int]]:
-        """The candidates that stand in the lines."""
-        out = {("line", k) for k in map(line_key, lines) if k in self.line}
-        for words in lines if self.label else ():
-            label = label_of(words)
-            if label and (key := line_key(label)) in self.label:
-                out.add(("label", key))
-        return out | {("run", int(k)) for k in self.runs.key[np.unique(self.runs.found(lines)[0])]}
+    def standing(self, pages: list[list[list[str]]]) -> set[tuple[int, str, int]]:
+        """(page, kind, key) of the candidates that stand in each of the pages."""
+        out = set()
+        for p, lines in enumerate(pages):
+            for words in lines:
+                if (key := line_key(words)) in self.line:
+                    out.add((p, "line", key))
+                label = label_of(words) if self.label else None
+                if label and (key := line_key(label)) in self.label:
+                    out.add((p, "label", key))
+        run, line, _ = self.runs.found([words for lines in pages for words in lines])
+        page = np.repeat(np.arange(len(pages)), [len(lines) for lines in pages])[line]
+        return out | {(p, "run", k) for p, k in zip(page.tolist(), self.runs.key[run].tolist())}
 
 
 def _count(batch: pd.DataFrame, host: dict[str, Wanted]) -> pd.DataFrame:
     """Pages of a batch on which each candidate stands: in raw content, in the text of pages with raw content, in any text."""
     found: dict[tuple, list[int]] = {}
-    for text, raw, source in zip(batch["text"], batch["raw_content"], batch["source"]):
+    for source, part in batch.groupby("source", sort=False):
         wanted = host.get(source)
         if wanted is None:
             continue
-        in_raw = wanted.standing(_lines(raw)) if raw is not None else set()
-        in_text = wanted.standing(_lines(text))
-        for hit in in_raw | in_text:
-            row = found.setdefault((source, *hit), [0, 0, 0])
-            row[0] += hit in in_raw
-            row[1] += raw is not None and hit in in_text
-            row[2] += hit in in_text
+        has = part["raw_content"].notna().tolist()
+        for p, kind, key in wanted.standing([_lines(r) if h else [] for r, h in zip(part["raw_content"], has)]):
+            found.setdefault((source, kind, key), [0, 0, 0])[0] += 1
+        for p, kind, key in wanted.standing([_lines(t) for t in part["text"]]):
+            row = found.setdefault((source, kind, key), [0, 0, 0])
+            row[1] += has[p]
+            row[2] += 1
     return pd.DataFrame([(*k, *v) for k, v in found.items()], columns=["source", "kind", "key", "raw_pages", "both_pages", "text_pages"])
 
 

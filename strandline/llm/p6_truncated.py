@@ -1,10 +1,13 @@
 """Texts that stop before their end, and how often each source lets that happen.
 
-The corpus vocabulary is laid out as the nodes of a prefix trie (word prefixes with what
-they lead to), joined to the final tokens of the documents. The ends that words, word
-sequences and whole sentence openings have elsewhere in the corpus, counted exactly for
-those that last lines ask for, say whether the last words of a text ever end a unit; a length shared
-by suspiciously many unfinished texts adds to the evidence.
+The corpus vocabulary is laid out as two prefix tries, joined to how the documents end. The
+nodes of the first are prefixes of words: a final token that is no word, but that words begin
+with, is a fragment. The nodes of the second are what precedes each gap of the corpus: its
+last words in three lengths and its whole unit so far, counted exactly for the nodes that
+last lines ask for, with how often a unit ends there. It serves scripts without spaces and
+cuts after whole words: a final phrase that elsewhere only leads on is cut, one that units
+end with is complete. A length shared by suspiciously many unfinished texts adds its
+likelihood to the evidence.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ FILTER, CONTEXTS = 26, 4
 #: Marks that close a sentence, the marks a cut leaves behind, and opening and closing quotation marks.
 FINAL = re.compile(r"[.!?。！？｡．۔؟।॥][\"'”’」』）)\]】》〉»*_\s]*\|?\s*$|[\u0900-\u097f]\|\s*$")
 CUT_MARKS = re.compile(r"(\[\+\d+ chars\]|…|\.\.\.|�|&#?\w{0,6})\s*$")
-BULLETS, TAIL = re.compile(r"^[\s*•»—\-|>]+"), 120
+BULLETS = re.compile(r"^[\s*•»—\-|>]+")
 PAIRS = (("“", "”"), ("「", "」"), ("『", "』"), ("«", "»"), ("（", "）"))
 
 
@@ -127,7 +130,7 @@ def _line_keys(texts: list[str]) -> np.ndarray:
 
 def _ending_odds(counts: list[tuple[F.Column, F.Column]]) -> F.Column:
     """Log-odds that a last line is a whole unit, from the longest context seen elsewhere; counts of its contexts, its own taken away."""
-    p = F.lit(0.05)
+    p = F.lit(0.5)
     for n, ends in counts:
         p = (ends + 2 * p) / (n + 2)
     # ``n`` and ``ends`` are now those of the whole unit: one that stands complete elsewhere is complete, though longer ones begin like it.
@@ -149,33 +152,43 @@ def last_unit(text: str) -> tuple[str, str, bool, bool, bool, bool]:
     start, kinds = len(bare), classes()
     while start and kinds[ord(bare[start - 1])] in (LETTER, MARK):
         start -= 1
-    tail = line[-TAIL:]
     opened = any(line.count(a) > line.count(b) for a, b in PAIRS)
-    final = bool(FINAL.search(tail))
-    return bare, bare[start:].lower(), bool(CUT_MARKS.search(tail)), final, opened, final and line.rsplit(None, 1)[-1].lower() in NEVER_LAST
+    final = bool(FINAL.search(line))
+    return bare, bare[start:].lower(), bool(CUT_MARKS.search(line)), final, opened, final and line.rsplit(None, 1)[-1].lower() in NEVER_LAST
 
 
-def _trie(docs: DataFrame, finals: DataFrame) -> DataFrame:
+def _word_trie(docs: DataFrame, finals: DataFrame) -> DataFrame:
     """(token, known, leads_on): for each final token whether it is a word and whether longer words begin with it.
 
     The trie's nodes are the prefixes of the corpus words (seen twice at least other than as a last
-    token), joined to the tokens by key; only words as long as scripts with spaces have them.
+    token), as long as the tokens are, joined to the tokens by key.
     """
-    words = docs.select(F.explode(F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{M}]+', 0)")).alias("token")).where("length(token) <= 24").groupBy("token").agg(F.count("*").alias("n"))
+    words = docs.select(F.explode(F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{M}]+', 0)")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     last = finals.groupBy("token").agg(F.count("*").alias("last"))
     words = words.join(last, "token", "left").where("n - coalesce(last, 0) >= 2").select(F.col("token").alias("word"))
-    nodes = words.select(F.explode(F.expr("transform(sequence(1, length(word)), i -> struct(substring(word, 1, i) AS token, i = length(word) AS whole))")).alias("n")).select("n.*")
-    nodes = nodes.join(finals.select("token").distinct(), "token", "left_semi")
+    lengths = last.agg(F.collect_set(F.length("token")).alias("lengths"))  # one row
+    nodes = words.crossJoin(F.broadcast(lengths)).select(F.explode(F.expr("transform(filter(lengths, i -> i <= length(word)), i -> struct(substring(word, 1, i) AS token, i = length(word) AS whole))")).alias("n")).select("n.*")
+    nodes = nodes.join(last.select("token"), "token", "left_semi")
     return nodes.groupBy("token").agg(F.bool_or("whole").alias("known"), F.bool_or(~F.col("whole")).alias("leads_on"))
 
 
+def _leads_on(counts: list[tuple[F.Column, F.Column]]) -> F.Column:
+    """Whether the longest phrase seen elsewhere is an inner node of the trie only: units go on after it, none ends."""
+    only = F.lit(False)
+    for n, ends in counts:
+        only = F.when(n > 0, ends == 0).otherwise(only)
+    return only
+
+
 def truncated(docs: DataFrame) -> DataFrame:
     """(doc_id, cut, evidence, score): every document with the verdict on its text.
 
-    ``evidence`` is one of mark, quote, abbreviation, prefix, ending, none. Null, empty and
-    blank texts are not cut; a repeated document counts once; other columns are ignored.
+    ``evidence`` is one of mark, quote, abbreviation, prefix (a fragment of a word), phrase (a phrase
+    that only leads on), ending (one that seldom ends a unit), none. Null, empty and blank texts are
+    not cut; a repeated document counts once; other columns are ignored.
     """
-    once = docs.select("doc_id", "text").where("doc_id is not null and text is not null").dropDuplicates(["doc_id"])
+    once = settled(docs.select("doc_id", "text").where("doc_id is not null and text is not null").dropDuplicates(["doc_id"]))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(d, len(t), *last_unit(t)) for d, t in zip(batch["doc_id"], batch["text"])]
@@ -192,20 +205,26 @@ def truncated(docs: DataFrame) -> DataFrame:
     seen = asked.join(ending_counts(once, asked), "key").groupBy("doc_id")
     seen = seen.agg(*(F.max(F.when(F.col("k") == k, F.greatest(F.col(c) - 1, F.lit(0)))).alias(f"{c}{k}") for k in range(CONTEXTS) for c in ("n", "ends")))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    odds = _ending_odds([(zero(f"n{k}"), zero(f"ends{k}")) for k in range(CONTEXTS)])
-    judged = settled(lines.join(seen, "doc_id", "left").withColumn("odds", F.when(F.col("keys").isNull(), 0.0).otherwise(odds)).select("doc_id", "n", "token", "mark", "final", "quote", "abbreviation", "odds"))
-    # Length evidence: a length at which many more texts stop unfinished than at its neighbours.
-    open_ended = judged.where("not final and not mark and odds < 0").groupBy("n").agg(F.count("*").alias("here"))
-    near = open_ended.select(F.explode(F.expr("sequence(n - 10, n + 10)")).alias("n"), "here").groupBy("n").agg((F.sum("here") / 21).alias("usual"))
-    spikes = open_ended.join(near, "n").where("here >= 4 and here > 4 * usual").select("n", F.lit(1.5).alias("spike"))
-    trie = _trie(once, judged.where("not final and not mark and token <> ''"))
-    out = judged.join(trie, "token", "left").join(spikes, "n", "left")
+    nodes = [(zero(f"n{k}"), zero(f"ends{k}")) for k in range(CONTEXTS)]
+    open_ended = F.col("keys").isNotNull()
+    lines = lines.join(seen, "doc_id", "left").withColumn("odds", F.when(open_ended, _ending_odds(nodes)).otherwise(0.0)).withColumn("phrase", open_ended & _leads_on(nodes))
+    judged = settled(lines.select("doc_id", "n", "token", "mark", "final", "quote", "abbreviation", "odds", "phrase"))
+    trie = _word_trie(once, judged.where("not final and not mark and token <> ''"))
+    out = judged.join(trie, "token", "left").join(_length_evidence(judged), "n", "left")
     fragment = (F.length("token") > 0) & ~F.coalesce("known", F.lit(False)) & F.coalesce("leads_on", F.lit(False))
-    score = F.when(F.col("mark"), 9.0).when(F.col("final"), F.when(F.col("quote"), 2.0).when(F.col("abbreviation"), 2.0).otherwise(-9.0)).otherwise(-F.col("odds") + F.when(fragment, 3.0).otherwise(0.0) + F.coalesce("spike", F.lit(0.0)))
-    why = F.when(F.col("score") <= 0, "none").when(F.col("mark"), "mark").when(F.col("final") & F.col("quote"), "quote").when(F.col("final"), "abbreviation").when(fragment, "prefix").otherwise("ending")
+    unfinished = -F.col("odds") + F.when(fragment, 3.0).otherwise(0.0) + F.coalesce("likelihood", F.lit(0.0))
+    score = F.when(F.col("mark"), 9.0).when(F.col("final"), F.when(F.col("quote"), 2.0).when(F.col("abbreviation"), 2.0).otherwise(-9.0)).otherwise(unfinished)
+    why = F.when(F.col("score") <= 0, "none").when(F.col("mark"), "mark").when(F.col("final") & F.col("quote"), "quote").when(F.col("final"), "abbreviation").when(fragment, "prefix").when(F.col("phrase"), "phrase").otherwise("ending")
     return out.withColumn("score", score).select("doc_id", (F.col("score") > 0).alias("cut"), why.alias("evidence"), "score")
 
 
+def _length_evidence(judged: DataFrame) -> DataFrame:
+    """(n, likelihood): the lengths at which many more texts stop unfinished than at their neighbours, with the log of how many more."""
+    stops = judged.where("not final and not mark and odds < 0").groupBy("n").agg(F.count("*").alias("here"))
+    near = stops.select(F.explode(F.expr("sequence(n - 10, n + 10)")).alias("n"), "here").groupBy("n").agg((F.sum("here") / 21).alias("usual"))
+    return stops.join(near, "n").where("here >= 4 and here > 4 * usual").select("n", F.log(F.col("here") / F.col("usual")).alias("likelihood"))
+
+
 def truncation_rates(verdicts: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, docs, cut_docs, rate) per source name, ignoring case and surplus spaces."""
     named = sources.select("doc_id", source_key(F.col("source_name")).alias("source")).where("doc_id is not null and source is not null").distinct()

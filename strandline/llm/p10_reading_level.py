@@ -1,8 +1,8 @@
 """Reading level of documents by gradient-boosted regression trees.
 
 Features are distributions over a document's sentences: lengths, word lengths, clause marks
-and numbers (syntax), vocabulary evidence for each level from hashed character n-grams, and
-overlap of neighbouring sentences (cohesion). The trees are fitted on the small labelled
+and numbers (syntax), vocabulary evidence for each level from hashed character n-grams, and how
+alike neighbouring sentences are in it (cohesion). The trees are fitted on the small labelled
 table; their cross-validated predictions give the calibrated thresholds between levels.
 """
 
@@ -36,14 +36,19 @@ class Vocabulary:
     logp: np.ndarray
 
     @staticmethod
-    def fit(texts: list[str], levels: list[int], alpha: float = 0.3) -> Vocabulary:
-        counts = np.zeros((1 << BITS, len(LEVELS)))
-        for text, level in zip(texts, levels):
-            for ids, _ in _text_grams(*_folded(points(text.lower()))):
-                counts[:, LEVELS.index(level)] += np.bincount(ids, minlength=1 << BITS)
+    def of(counts: np.ndarray, alpha: float = 0.3) -> Vocabulary:
+        """From the counts of buckets by level."""
         return Vocabulary(np.log((counts + alpha) / (counts.sum(0) + alpha * len(counts))).astype(np.float32))
 
 
+def _bucket_counts(texts: list[str], levels: np.ndarray) -> np.ndarray:
+    counts = np.zeros((1 << BITS, len(LEVELS)))
+    for text, level in zip(texts, levels):
+        for ids, _ in _text_grams(*_folded(points(text.lower()))):
+            counts[:, LEVELS.index(level)] += np.bincount(ids, minlength=1 << BITS)
+    return counts
+
+
 def _folded(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     kind = classes()[at]
     word = (kind == LETTER) | (kind == MARK)
@@ -220,26 +225,35 @@ def train(items: DataFrame) -> Grader:
     """Fit on ``items`` (lang, reading_level, text), a small labelled table held by the driver.
 
     Folds take every fifth item of each language and level, so each language stands in every
-    fold; vocabulary evidence of an item always comes from the other folds.
+    fold. Vocabulary evidence of an item always comes from other folds, and for the predictions
+    that calibrate the thresholds also without the fold held out, whose labels thus play no part.
     """
     rows = items.select("item_id", "lang", "reading_level", "text").where("text is not null and reading_level in (1, 2, 3)").orderBy("lang", "reading_level", "item_id").collect()
     texts, y = [r.text for r in rows], np.array([r.reading_level for r in rows], float)
     fold = np.arange(len(rows)) % FOLDS
-    x = None
-    for f in range(FOLDS):
-        v = Vocabulary.fit([t for t, k in zip(texts, fold) if k != f], [int(a) for a, k in zip(y, fold) if k != f])
-        part = features([t for t, k in zip(texts, fold) if k == f], v)
-        x = np.zeros((len(rows), part.shape[1])) if x is None else x
-        x[fold == f] = part
+    of_fold = [[t for t, k in zip(texts, fold) if k == f] for f in range(FOLDS)]
+    counts = [_bucket_counts(of_fold[f], y[fold == f].astype(int)) for f in range(FOLDS)]
+    without = lambda *folds: Vocabulary.of(sum(c for f, c in enumerate(counts) if f not in folds))
+
+    def evidence(held: int | None) -> np.ndarray:
+        """Features of all items, each fold's from the vocabulary of the others, never that of ``held``."""
+        parts = [features(of_fold[f], without(f, held)) for f in range(FOLDS)]
+        x = np.zeros((len(rows), max(p.shape[1] for p in parts)))
+        for f, part in enumerate(parts):
+            x[fold == f] = part if len(part) else 0
+        return x
+
     held = np.zeros(len(rows))
     for f in range(FOLDS):
-        held[fold == f] = Boosted().fit(x[fold != f], y[fold != f]).predict(x[fold == f])
+        nested = evidence(f)
+        held[fold == f] = Boosted().fit(nested[fold != f], y[fold != f]).predict(nested[fold == f])
+    x = evidence(None)
     grid = np.linspace(1, 3, 201)
     low = grid[np.array([((held >= c) == (y >= 2)).mean() for c in grid]).round(9) == max(((held >= c) == (y >= 2)).mean() for c in grid).round(9)]
     high = grid[np.array([((held >= c) == (y >= 3)).mean() for c in grid]).round(9) == max(((held >= c) == (y >= 3)).mean() for c in grid).round(9)]
     cuts = (float(np.median(low)), float(np.median(high)))
     accuracy = float((np.searchsorted(cuts, held, side="right") + 1 == y).mean())
-    return Grader(Vocabulary.fit(texts, [int(a) for a in y]), Boosted().fit(x, y), cuts, accuracy)
+    return Grader(without(), Boosted().fit(x, y), cuts, accuracy)
 
 
 def reading_levels(docs: DataFrame, grader: Grader, min_chars: int = 300) -> DataFrame:

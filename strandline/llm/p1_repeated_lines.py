@@ -2,7 +2,7 @@
 
 Pass 1 keeps, per partition and source, a Misra-Gries summary whose capacity makes the
 total undercount of any line smaller than the count it must reach; summaries merge by
-plain addition. Pass 2 counts the surviving candidates exactly. The confirmed lines,
+plain addition, so a worker that holds many sends them and goes on with empty ones. Pass 2 counts the surviving candidates exactly. The confirmed lines,
 bounded by (lines per document) / share for every source, are broadcast after a check of
 their number, or joined by shuffle beyond it.
 """
@@ -21,6 +21,9 @@ from strandline.operators.joins import sized
 from strandline.session import settled
 
 BROADCAST_ROWS = 200_000
+#: Counters a worker holds at once, over all sources of its partition.
+HELD = 2_000_000
+SALTS = 32
 
 
 def line_hashes(text: Column) -> Column:
@@ -37,13 +40,14 @@ def document_lines(docs: DataFrame, sources: DataFrame) -> DataFrame:
     return lines.join(named, "doc_id").select("source", "doc_id", "lines")
 
 
-def _summaries(capacity: int):
+def _summaries(held: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict[str, pd.Series] = {}
         short: dict[str, int] = {}
+        room: dict[str, int] = {}
 
         def cut(source: str) -> None:
-            counts = kept[source]
+            counts, capacity = kept[source], room[source]
             while len(counts) > capacity:
                 # Lowering all counters by the (capacity+1)-th largest is that many classic decrements at once.
                 level = int(np.partition(counts.to_numpy(), len(counts) - capacity - 1)[len(counts) - capacity - 1])
@@ -51,23 +55,39 @@ def _summaries(capacity: int):
                 short[source] = short.get(source, 0) + level
             kept[source] = counts
 
+        def sent() -> Iterator[pd.DataFrame]:
+            for source in list(kept):
+                cut(source)
+                counts = kept.pop(source)
+                yield pd.DataFrame({"source": source, "line": [*counts.index, 0], "n": [*counts.to_numpy(), short.pop(source, 0)]})
+
         for batch in batches:
+            room.update(zip(batch["source"], batch["capacity"].astype(int)))
             sizes = batch["lines"].map(len).to_numpy()
             flat = pd.DataFrame({"source": np.repeat(batch["source"].to_numpy(), sizes), "doc": np.repeat(np.arange(len(batch)), sizes), "line": np.concatenate([*batch["lines"], np.zeros(0, np.int64)]).astype(np.int64)})
             flat = flat[flat["line"] != 0].drop_duplicates()
             for source, part in flat.groupby("source", sort=False)["line"]:
                 new = part.value_counts()
                 kept[source] = new if source not in kept else kept[source].add(new, fill_value=0).astype(np.int64)
-                if len(kept[source]) > 2 * capacity:
+                if len(kept[source]) > 2 * room[source]:
                     cut(source)
-        for source in list(kept):
-            cut(source)
-            counts = kept[source]
-            yield pd.DataFrame({"source": source, "line": [*counts.index, 0], "n": [*counts.to_numpy(), short.get(source, 0)]})
+            if sum(map(len, kept.values())) > held:
+                yield from sent()
+        yield from sent()
 
     return run
 
 
+def _standing(every: DataFrame, listed: DataFrame) -> DataFrame:
+    """The rows of ``every`` (source, doc_id, line, ...) whose line is ``listed`` (source, line): by broadcast after a
+    check of its size, else by a join on salted keys, as one line may stand in most documents."""
+    key = ["source", "line"]
+    if listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return every.join(F.broadcast(listed.select(*key)), key, "left_semi")
+    salted = listed.select(*key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return every.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [*key, "salt"], "left_semi").drop("salt")
+
+
 def repeated_lines(docs: DataFrame, sources: DataFrame, min_docs: int = 4, min_percent: int = 5) -> DataFrame:
     """(doc_id, line_no): every line standing in at least ``min_docs`` documents and
     ``min_percent`` per cent of the documents of its source.
@@ -85,14 +105,13 @@ def _confirmed(docs: DataFrame, sources: DataFrame, min_docs: int, min_percent:
     own = F.size(F.array_except(F.array_distinct("lines"), F.array(F.lit(0).cast("bigint"))))
     total = lines.groupBy("source").agg(F.count("*").alias("docs"), F.sum(own).alias("stream")).withColumn("least", F.greatest(F.lit(min_docs), F.ceil(F.col("docs") * min_percent / 100)).cast("bigint"))
     total = settled(total)
-    # N/(capacity+1) < least for every source: no line that reaches its count can be lost.
-    capacity = total.agg(F.max(F.floor(F.col("stream") / F.col("least")))).first()[0] or 1
-    heavy = lines.mapInPandas(_summaries(int(capacity) + 1), "source string, line bigint, n bigint").groupBy("source", "line").agg(F.sum("n").alias("n"))
+    # N/(capacity+1) < least: no line that reaches its count can be lost.
+    room = total.select("source", (F.floor(F.col("stream") / F.col("least")) + 1).alias("capacity"))
+    heavy = lines.join(sized(room), "source").mapInPandas(_summaries(HELD), "source string, line bigint, n bigint").groupBy("source", "line").agg(F.sum("n").alias("n"))
     error = heavy.where("line = 0").select("source", F.col("n").alias("short"))
     candidates = heavy.where("line <> 0").join(total, "source").join(error, "source", "left").where("n + coalesce(short, 0) >= least").select("source", "line")
     exact = (
-        lines.select("source", F.explode(F.array_distinct("lines")).alias("line"))
-        .join(sized(settled(candidates), BROADCAST_ROWS), ["source", "line"], "left_semi")
+        _standing(lines.select("source", "doc_id", F.explode(F.array_distinct("lines")).alias("line")), settled(candidates))
         .groupBy("source", "line")
         .agg(F.count("*").alias("n"))
         .join(total, "source")
@@ -100,9 +119,8 @@ def _confirmed(docs: DataFrame, sources: DataFrame, min_docs: int, min_percent:
         .select("source", "line", "n", "docs")
     )
     exact = settled(exact)
-    small = sized(exact, BROADCAST_ROWS)
     every = lines.select("source", "doc_id", F.posexplode("lines").alias("pos", "line")).where("line <> 0")
-    found = every.join(small, ["source", "line"], "left_semi").select("doc_id", (F.col("pos") + 1).alias("line_no")).distinct()
+    found = _standing(every, exact).select("doc_id", (F.col("pos") + 1).alias("line_no")).distinct()
     return found, exact
 
 

@@ -57,10 +57,11 @@ def longest_unbroken(strength: np.ndarray, at_most: int) -> bool:
     return bool((np.diff(edges) - 1).max(initial=0) > at_most)
 
 
-def sparse_table(values: np.ndarray) -> list[np.ndarray]:
-    """Level k holds the position of the maximum of each window of 2**k, the rightmost of equals."""
-    table, span = [np.arange(len(values))], 1
-    while 2 * span <= len(values):
+def sparse_table(values: np.ndarray, widest: int | None = None) -> list[np.ndarray]:
+    """Level k holds the position of the maximum of each window of 2**k, the rightmost of equals; no
+    more levels than windows of ``widest`` values need."""
+    table, span = [np.arange(len(values), dtype=np.int32)], 1
+    while 2 * span <= min(len(values), widest or len(values)):
         left, right = table[-1][:-span], table[-1][span:]
         table.append(np.where(values[right] >= values[left], right, left))
         span *= 2
@@ -78,7 +79,7 @@ def pieces(text: str, limit: int = 900, overlap: int = 120) -> tuple[str, list[t
     """The item's class and its pieces (start, end, strength of the cut that ends it)."""
     strength = strengths(text)
     cut = "forced" if longest_unbroken(strength, limit) else "natural"
-    table, out, start = sparse_table(strength), [], 0
+    table, out, start = sparse_table(strength, limit + 1), [], 0
     while len(text) - start > limit:
         end = strongest(table, strength, start + max(limit // 2, overlap + 1), start + limit)
         if not strength[end]:

@@ -8,10 +8,11 @@ bounded even if one contributor holds most of the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.keys import country_key, source_key
+from strandline.operators.joins import sized
 from strandline.session import settled
 
 BINS = 4096
@@ -49,17 +50,16 @@ def capped(docs: DataFrame, percent: int = 15, least: int = 1, bins: int = BINS)
         .agg(F.max(F.struct("bin", (F.col("cap") - F.col("upto") + F.col("n")).alias("room"), (F.col("upto") > F.col("cap")).alias("split"))).alias("at"))
         .select(*key, F.col("at.bin").alias("cut"), "at.room", "at.split")
     )
-    judged = rows.join(cut, key, "left")
+    judged = rows.join(sized(settled(cut)), key, "left")
     clear = judged.where("cut is null or bin <> cut or not split").withColumn("keep", F.coalesce(F.col("bin") >= F.col("cut"), F.lit(True)))
     edge = judged.where("bin = cut and split")
-    out = clear.select(*key, "doc_id", "score", "keep").unionByName(_ranked(edge, key).withColumn("keep", F.col("rank") <= F.col("room")).select(*key, "doc_id", "score", "keep"))
+    out = clear.select(*key, "doc_id", "score", "keep").unionByName(globally_ranked(edge, key, [F.desc("score"), F.asc("doc_id")]).withColumn("keep", F.col("rank") <= F.col("room")).select(*key, "doc_id", "score", "keep"))
     return out
 
 
-def _ranked(edge: DataFrame, key: list[str]) -> DataFrame:
-    """``edge`` with the exact rank in its group, no group ever being one task's work."""
-    order = [F.desc("score"), F.asc("doc_id")]
-    placed = settled(edge.repartitionByRange(*key, *order).withColumn("part", F.spark_partition_id()))
+def globally_ranked(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """``rows`` with the exact ``rank`` in their group, by ``order``, no group ever being one task's work."""
+    placed = settled(rows.repartitionByRange(*key, *order).withColumn("part", F.spark_partition_id()))
     before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offset = placed.groupBy("part", *key).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = Window.partitionBy("part", *key).orderBy(*order)

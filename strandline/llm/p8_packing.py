@@ -18,9 +18,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.p5_contributor_cap import globally_ranked
 from strandline.session import settled
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -55,31 +56,54 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
 
 
 def boundaries(histogram: np.ndarray, buckets: int) -> np.ndarray:
-    """Upper bucket boundaries with the least total padding; ``histogram[n]`` counts items of n tokens."""
+    """Upper bucket boundaries with the least total padding; ``histogram[n]`` counts items of n tokens.
+
+    The padding of a bucket is concave in its ends, so the least padding is convex in the number of
+    buckets: a price per bucket is sought at which the cheapest ways use ``buckets`` of them, each
+    price taking one pass over the sizes; of two cheapest ways with fewer and with more buckets the
+    one with exactly as many is put together.
+    """
     sizes = np.flatnonzero(histogram)
     if len(sizes) <= buckets:
         return sizes
-    count = np.concatenate(([0], np.cumsum(histogram[sizes]))).astype(float)
-    total = np.concatenate(([0], np.cumsum(histogram[sizes] * sizes))).astype(float)
+    count = [0, *np.cumsum(histogram[sizes]).tolist()]
+    total = [0, *np.cumsum(histogram[sizes] * sizes).tolist()]
+    low, high = 0, int(sizes[-1]) * count[-1] + 1
+    while low < high:
+        price = (low + high) // 2
+        if len(_cheapest(sizes.tolist(), count, total, price, 1)) - 1 <= buckets:
+            high = price
+        else:
+            low = price + 1
+    few, many = (_cheapest(sizes.tolist(), count, total, low, sign) for sign in (1, -1))
+    more = buckets - (len(few) - 1)
+    cuts = few if not more else next(many[: i + more + 1] + few[i + 1 :] for i in range(len(few) - 1) if few[i] <= many[i + more] and many[i + more + 1] <= few[i + 1])
+    return sizes[np.array(cuts[1:]) - 1]
+
+
+def _cheapest(sizes: list[int], count: list[int], total: list[int], price: int, sign: int) -> list[int]:
+    """Cuts 0 = c0 < c1 < ... = n of the cheapest way to bucket the sizes at a price per bucket; of equally
+    cheap ways the one with fewest buckets for sign 1, with most for -1."""
     n = len(sizes)
-    # cost[i, j]: padding of a bucket that holds the sizes i..j and reaches up to size j
-    cost = sizes[None, :] * (count[None, 1:] - count[:-1, None]) - (total[None, 1:] - total[:-1, None])
-    cost[np.tril_indices(n, -1)] = np.inf
-    best, back = cost[0].copy(), []
-    for _ in range(buckets - 1):
-        ways = best[:-1, None] + cost[1:, :]
-        prior = ways.argmin(0)
-        new = ways[prior, np.arange(n)]
-        keep = best <= new
-        back.append(np.where(keep, -1, prior))
-        best = np.where(keep, best, new)
-    out, j = [], n - 1
-    for b in reversed(back):
-        if b[j] >= 0:
-            out.append(j)
-            j = b[j]
-    out.append(j)
-    return sizes[np.array(out[::-1])]
+    unit = 2 * n  # costs in steps of this, so that the number of buckets decides between equals
+    best, back = [0] * (n + 1), [0] * (n + 1)
+    lines: list[tuple[int, int, int]] = [(0, 0, 0)]  # (slope, value at 0, cut): the lower hull, slopes falling
+    first = 0
+    for j in range(1, n + 1):
+        x = sizes[j - 1]
+        while first + 1 < len(lines) and lines[first + 1][1] + lines[first + 1][0] * x <= lines[first][1] + lines[first][0] * x:
+            first += 1
+        slope, at_zero, i = lines[first]
+        best[j] = at_zero + slope * x + unit * (x * count[j] - total[j] + price) + sign
+        back[j] = i
+        new = (-unit * count[j], best[j] + unit * total[j], j)
+        while len(lines) - first >= 2 and (new[1] - lines[-2][1]) * (lines[-2][0] - lines[-1][0]) <= (lines[-1][1] - lines[-2][1]) * (lines[-2][0] - new[0]):
+            lines.pop()
+        lines.append(new)
+    cuts = [n]
+    while cuts[-1]:
+        cuts.append(back[cuts[-1]])
+    return cuts[::-1]
 
 
 def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -109,7 +133,7 @@ def containers(docs: DataFrame, capacity: int = 2048, buckets: int = 256, tokeni
     Only a text over ``capacity`` tokens is split, into full pieces and a rest. Null and empty
     texts hold no tokens and get no row; a repeated id counts once; other columns are ignored.
     """
-    items = settled(pieces(docs, capacity, tokenizer).withColumn("part", F.spark_partition_id()))
+    items = settled(pieces(docs, capacity, tokenizer))
     counted = {r.n_tokens: r.n for r in items.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
     histogram = np.zeros(capacity + 1, np.int64)
     for size, n in counted.items():
@@ -130,12 +154,8 @@ def containers(docs: DataFrame, capacity: int = 2048, buckets: int = 256, tokeni
     tables = spark.sparkContext.broadcast([np.array(s, np.int64).reshape(-1, 3) for s in starts])
     bucket_of = np.searchsorted(edges, np.arange(capacity + 1))
     bucket = F.element_at(F.array(*[F.lit(int(b)) for b in bucket_of]), F.col("n_tokens") + 1)
-    placed = items.withColumn("bucket", bucket)
-    # Exact ranks without one task per bucket: rank inside the partition, plus the counts of the partitions before.
-    before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offset = placed.groupBy("part", "bucket").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy("part", "bucket").orderBy(F.desc("n_tokens"), "doc_id", "piece_no")
-    ranked = placed.withColumn("at", F.row_number().over(inside) - 1).join(offset, ["part", "bucket"]).withColumn("rank", F.col("at") + F.col("before"))
+    # Exact ranks without one task per bucket, the same on every cluster.
+    ranked = globally_ranked(items.withColumn("bucket", bucket), ["bucket"], [F.desc("n_tokens"), F.asc("doc_id"), F.asc("piece_no")]).withColumn("rank", F.col("rank") - 1)
     kind = dict(docs.dtypes)["doc_id"]
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

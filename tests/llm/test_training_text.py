@@ -338,3 +338,37 @@ def test_very_long_texts(spark):
     assert p4.sentences(texts, p4.learn_edges(texts)).where("doc_id = 'a'").count() == 20_000
     assert p3.languages(docs(spark, rows), p3.fit(list(SAMPLES.items()))).where("seg_no = 0").count() == 2
     assert p6.truncated(docs(spark, rows)).count() == 2
+
+
+def test_p1_summaries_sent_early_lose_no_line(spark, monkeypatch):
+    rng = random.Random(41)
+    rows = [(f"d{i}", "\n".join(["Share this page", *(f"line {chr(97 + rng.randint(0, 25))}{chr(97 + rng.randint(0, 25))}{chr(97 + i % 26)}" for _ in range(20))])) for i in range(60)]
+    names = [(f"d{i}", f"S{i % 7}") for i in range(60)]
+    plain = {tuple(r) for r in p1.repeated_lines(docs(spark, rows), sources(spark, names)).collect()}
+    monkeypatch.setattr(p1, "HELD", 5)
+    monkeypatch.setattr(p1, "BROADCAST_ROWS", 1)
+    assert {tuple(r) for r in p1.repeated_lines(docs(spark, rows), sources(spark, names)).collect()} == plain and len(plain) >= 60
+
+
+def test_p8_boundaries_of_many_lengths():
+    rng = p8.np.random.default_rng(3)
+    hist = p8.np.zeros(120, int)
+    hist[1:] = rng.integers(0, 4, 119)
+    sizes = p8.np.flatnonzero(hist)
+    cost = lambda i, j: int((hist[sizes[i:j]] * (sizes[j - 1] - sizes[i:j])).sum())
+    for buckets in (1, 2, 7):
+        best = [0] + [10**12] * len(sizes)
+        for _ in range(buckets):
+            best = [0] + [min(best[i] + cost(i, j) for i in range(j)) for j in range(1, len(sizes) + 1)]
+        cuts = p8.boundaries(hist, buckets)
+        edges = [0, *(p8.np.searchsorted(sizes, cuts) + 1).tolist()]
+        assert len(cuts) == buckets and sum(cost(a, b) for a, b in zip(edges, edges[1:])) == best[-1]
+
+
+def test_p2_table_has_no_more_levels_than_windows_need():
+    values = p2.np.array([random.Random(4).randint(0, 5) for _ in range(5000)])
+    table = p2.sparse_table(values, 901)
+    assert len(table) == 10 and table[0].dtype == p2.np.int32
+    for low in range(0, 4000, 137):
+        at = p2.strongest(table, values, low, low + 900)
+        assert values[at] == values[low : low + 901].max() and (values[at + 1 : low + 901] < values[at]).all()

@@ -19,6 +19,7 @@ def local_session(cpus: int = 4, shuffle_partitions: int = 8, app: str = "strand
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -26,11 +27,14 @@ def local_session(cpus: int = 4, shuffle_partitions: int = 8, app: str = "strand
 def settled(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` into the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, a laptop) gets a temporary folder.
+    Only a local session without that setting (tests, a laptop) gets a temporary folder; on a
+    cluster that would be another disk on every node, so there the setting is required.
     Reliable checkpoints survive the loss of executors, unlike local ones.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandline-", dir=os.environ.get("TMPDIR")))
     return df.checkpoint(eager=True)

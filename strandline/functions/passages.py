@@ -7,35 +7,22 @@ from __future__ import annotations
 
 import difflib
 import re
-import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from strandline.functions.text import name_variants
+from strandline.functions import fixed
+from strandline.functions.text import fold, name_regex, name_variants
 
-#: Paragraph limits; sentence ends; abbreviations whose period ends nothing; lines of a
-#: page that are no article text; words that make a topic one of security.
+#: Paragraph limits and sentence ends.
 SHORTEST, LONGEST = 15, 400
 SENTENCE = re.compile(r"(?<=[.!?。！？۔؟।॥])\s+")
-ABBREVIATION = re.compile(r"(?i)\b(?:u\.s|mr|mrs|ms|dr|prof|inc|corp|ltd|co|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec|vs|etc|no)\.$")
 MARKUP_LINE = re.compile(r"^(?:!\[.*?\]\(.*?\)|\s*[*-]?\s*\*{0,2}\[.*?\]\(.*?\)\*{0,2}\s*|#{1,6}\s+.*)$")
-NOISE_LINES = (
-    r"(?:title|headline|제목)\s*:",
-    r"(?:송고|수정|등록|발행|입력|updated|published)\s*[:\d\-\s./년월일시분초]+$",
-    r"\s*[*-]?\s*[가-힣A-Za-z\s]{2,15}(?:기자|특파원|기고자|선임기자)\s*$",
-    r"\s*(?:by|written by|author:?)\s+[A-Za-z\s]{2,30}$",
-    r"\s*(?:撰文[：:]|出版[：:]|更新[：:])",
-    r"\s*(?:\[자료사진\]|\[사진\s*출처|▲|▼|photo\s*:|사진\s*=|이미지\s*확대)",
-    r".*(?:제보는\s*카카오톡|okjebo|\b[\w.+-]+@[\w-]+\.[\w.-]+\b)",
-    r"\s*(?:세\s*줄\s*요약|search|cancel|email|listen to article|join our whatsapp.*)\s*$",
-    r".*(?:all rights reserved|재판매 및 db 금지|기자 프로필|구독하기|포토 슬라이드)",
-)
-NOISE = re.compile("|".join(f"(?:{p})" for p in NOISE_LINES), re.I)
-SECURITY = ("military", "army", "armed forces", "troops", "warship", "navy", "naval", "missile", "airstrike", "border", "terror", "ceasefire", "nuclear", "war", "invasion", "blockade", "conflict", "군사", "군대", "군함", "해군", "미사일", "국경", "휴전", "봉쇄", "軍事", "军事", "海軍", "海军", "導彈", "导弹", "邊境", "边境", "封鎖", "封锁", "演習", "演习", "部隊", "ミサイル", "国境", "停戦", "सैन्य", "सेना", "सीमा", "युद्धपोत", "मिसाइल", "فوج", "سرحد", "بحری", "میزائل", "جنگی")
+NOISE = [re.compile(p) for p in fixed.SNIPPET_NOISE]
 WINDOW, STRIDE = 1500, 750
 
 
@@ -63,81 +50,143 @@ def paragraphs(text: str, shortest: int = SHORTEST, longest: int = LONGEST) -> l
     return out
 
 
+def is_noise(line: str) -> bool:
+    """Whether a line is a time stamp, byline, caption, portal notice, address or control of a page."""
+    if any(p.search(line) for p in NOISE) or any(w in line for w in fixed.PORTAL_NOTICES):
+        return True
+    return bool(re.match(fixed.BRACKETED, line)) and any(w in line for w in fixed.CAPTION_AGENCIES)
+
+
 def first_sentences(text: str, title: str = "", count: int = 5) -> str:
     """The first sentences of an article without title, times, bylines, captions and notices."""
-    bare = lambda s: re.sub(r"[\W_]", "", s.lower())
+    bare = lambda s: re.sub(r"[\W]", "", s.lower())
     kept, name = [], bare(title or "")
-    for line in text.split("\n"):
-        heading = line.lstrip().startswith("#")
-        line = re.sub(r"[*_`~]", "", re.sub(r"^#+\s*", "", re.sub(r"\[([^\]]+)\]\([^)]+\)", r"\1", line.strip()))).strip()
+    text = re.sub(rf"(?im)(?:^|(?<=[.!?]))\s*(?:{fixed.ACCESS_NOTICE})[.!?]*(?=\s|$)", "", text)
+    for raw in text.splitlines():
+        shown = re.sub(r"\[([^\]]+)\]\([^)]+\)", r"\1", raw.strip())
+        heading, line = shown.startswith("#"), re.sub(r"[*_`~]", "", shown.lstrip("#")).strip()
         key = bare(line)
-        if not line or NOISE.match(line) or name and (len(key) > 5 and key == name or heading and name in key):
-            continue
-        if heading and len(line) < 30 and not re.search(r"[.!?。！？۔؟।॥]$", line):
-            continue
-        kept.append(line)
+        repeats = name and (len(key) > 5 and key == name or heading and name in key)
+        small = heading and len(line) < 30 and not re.search(r"[.!?。！？۔؟।॥]$", line)
+        if line and not repeats and not small and not is_noise(line):
+            kept.append(line)
+    # Periods of numbers and abbreviations are no ends: a place where neither stands, after a mark, is a cut.
+    joined = " ".join(kept)
+    inner = {m.start() for m in re.finditer(r"(?<=\d)\.(?=\d)", joined)} | {i for m in SHORT_FORMS.finditer(joined) for i in range(*m.span()) if joined[i] == "."}
+    cuts = [m.end() for m in re.finditer(r"[.!?。！？۔؟।॥]", joined) if m.start() not in inner]
     out: list[str] = []
-    carry = ""
-    for piece in re.split(r"(?<=[。！？۔؟।॥])|(?<=[.!?])\s+", " ".join(kept)):
-        carry = f"{carry} {piece}".strip() if carry else piece.strip()
-        if ABBREVIATION.search(carry):
-            continue  # the period belongs to an abbreviation: the sentence goes on
-        if len(carry) >= 6 or len(carry) >= 4 and re.search(r"[一-鿿]", carry):
-            out.append(carry)
-        carry = ""
-        if len(out) == count:
-            break
-    if carry and len(out) < count and len(carry) >= 6:
-        out.append(carry)
+    for a, b in zip([0, *cuts], [*cuts, len(joined)]):
+        piece = joined[a:b].strip()
+        long_enough = len(piece) >= 6 or len(piece) >= 4 and re.search(r"[一-鿿]", piece)
+        if long_enough and not any(w in piece for w in fixed.NOTICE_SENTENCES):
+            out.append(piece)
+            if len(out) == count:
+                break
     return " ".join(out)
 
 
-def fold(text: str) -> str:
-    return unicodedata.normalize("NFKC", text).casefold()
+SHORT_FORMS = re.compile(rf"(?i)\b(?:u\.s|{'|'.join(fixed.ABBREVIATIONS)})\.")
 
 
-def name_pattern(names: list[str]) -> re.Pattern:
-    """One pattern for the folded names of a group: Latin names as whole words."""
-    parts = []
-    for name in sorted({fold(n).strip() for n in names if n.strip()}, key=len, reverse=True):
-        latin = re.fullmatch(r"[a-z ]+", name)
-        ending = {"india": "n?", "pakistan": "i?"}.get(name, "")
-        parts.append(rf"(?<![a-z]){re.escape(name)}{ending}(?![a-z])" if latin else re.escape(name))
-    return re.compile("|".join(parts) or r"(?!)")
+class Places:
+    """A text folded character by character, so that what is found keeps its place."""
 
+    def __init__(self, text: str):
+        parts = [fold(c) for c in text]
+        self.folded = "".join(parts)
+        self.at = np.repeat(np.arange(len(text)), [len(p) for p in parts])
+        self.size = len(text)
 
-def topic_gate(groups: list[list[str]], security: bool) -> Callable[[str, str], tuple[str | None, str, int]]:
+    def windows(self, pattern: re.Pattern) -> np.ndarray:
+        """For each window of the text whether it holds a match whole."""
+        steps = max(1, -(-self.size // STRIDE))
+        edges = np.zeros(steps + 1, np.int64)
+        for m in pattern.finditer(self.folded):
+            first, last = int(self.at[m.start()]), int(self.at[m.end() - 1])
+            low, high = max(0, -(-(last + 1 - WINDOW) // STRIDE)), min(steps - 1, first // STRIDE)
+            if low <= high:
+                edges[low] += 1
+                edges[high + 1] -= 1
+        return np.cumsum(edges)[:steps] > 0
+
+
+def topic_gate(groups: list[list[str]], security: bool, briefing: bool = False) -> Callable[[str, str], tuple[str | None, str, int]]:
     """A function (text, title) -> (reason, security word, offset of the window that holds the topic).
 
     Every anchor group must be named; with ``security`` the headline or the lead must name the
-    parties, and a security word must stand in the same window as all groups.
+    parties, and a security word must stand in the same window as all groups. An official
+    ``briefing`` passes by one question that has an answer and is about the topic.
     """
-    patterns = [name_pattern(name_variants(g)) for g in groups if g]
-    danger = name_pattern(list(SECURITY))
+    patterns = [re.compile(name_regex(name_variants(g))) for g in groups if g]
+    words = [(w, re.compile(name_regex([w]))) for w in fixed.SECURITY_TERMS]
+    danger = re.compile(name_regex(list(fixed.SECURITY_TERMS)))
+
+    def focused(text: str, title: str) -> bool:
+        """Whether the headline names a party or the lead all of them."""
+        heading = re.search(r"^#{1,2}\s+[^\n]+", text, re.M)
+        head = fold(f"{title} {heading.group() if heading else ''}")
+        if any(p.search(head) for p in patterns):
+            return True
+        rest = re.split(r"\n\s*\n", text[heading.end() if heading else 0 :])
+        lead = next((b.strip() for b in rest if sum(map(str.isalpha, b)) >= 60 and not b.strip().startswith(("#", "*   "))), "")
+        lead = fold(re.split(r"(?<=[.!?۔。،])\s*", lead, maxsplit=1)[0][:400])
+        return all(p.search(lead) for p in patterns)
+
+    def answered(text: str) -> str | None:
+        """The security word of the first question with an answer that is about the topic."""
+        starts = [m.start() for m in re.finditer(fixed.BRIEFING_QUESTION, text, re.I)]
+        for a, b in zip(starts, [*starts[1:], len(text)]):
+            asked = re.split(r"[?？]", text[a:b], maxsplit=1)
+            if len(asked) == 2 and sum(map(str.isalpha, asked[1])) >= 40:
+                reason, word, _ = connected(text[a:b].strip())
+                if reason is None:
+                    return word
+        return None
+
+    def connected(text: str) -> tuple[str | None, str, int]:
+        places = Places(text)
+        if not all(p.search(places.folded) for p in patterns):
+            return "topic_anchors_missing", "", -1
+        held = np.logical_and.reduce([places.windows(p) for p in patterns])
+        near = places.windows(danger)
+        fits = np.flatnonzero(held & near if security else held)
+        if not len(fits):
+            return ("security_topic_missing" if security else "topic_anchors_not_connected"), "", -1
+        at = int(fits[0]) * STRIDE
+        window = fold(text[at : at + WINDOW])
+        return None, next((w for w, p in words if p.search(window)), "") if near[fits[0]] else "", at
 
     def judge(text: str, title: str) -> tuple[str | None, str, int]:
         if not patterns:
             return "topic_context_missing", "", -1
-        if not all(p.search(fold(text)) for p in patterns):
-            return "topic_anchors_missing", "", -1
-        if security and title:
-            heading = re.search(r"^#{1,2}\s+[^\n]+", text, re.M)
-            blocks = re.split(r"\n\s*\n", text[heading.end() :] if heading else text)
-            lead = next((b.strip() for b in blocks if sum(map(str.isalpha, b)) >= 60 and not b.lstrip().startswith(("#", "*   "))), "")
-            lead = fold(re.split(r"(?<=[.!?۔。،])\s*", lead, maxsplit=1)[0][:400])
-            head = fold(title + " " + (heading.group() if heading else ""))
-            if not any(p.search(head) for p in patterns) and not all(p.search(lead) for p in patterns):
-                return "topic_background_only", "", -1
-        for at in range(0, len(text), STRIDE):
-            window = fold(text[at : at + WINDOW])
-            word = danger.search(window)
-            if all(p.search(window) for p in patterns) and (word or not security):
-                return None, word.group() if word else "", at
-        return ("security_topic_missing" if security else "topic_anchors_not_connected"), "", -1
+        found = connected(text)
+        if found[0] == "topic_anchors_missing":
+            return found
+        if briefing and (word := answered(text)) is not None:
+            return None, word, -1
+        if security and title and not focused(text, title):
+            return "topic_background_only", "", -1
+        return found
 
     return judge
 
 
+def snippet_source(text: str, groups: list[list[str]], security: bool) -> str:
+    """The text from its first paragraph about the topic on, else the whole text."""
+    patterns = [re.compile(name_regex(name_variants(g))) for g in groups if g]
+    judge = topic_gate(groups, security)
+    heading = re.search(r"^#{1,2}\s+[^\n]+", text, re.M)
+    start = heading.end() if heading else 0
+    for block in re.finditer(r"(?:[^\n]*\S[^\n]*\n?)+", text[start:]):
+        part = block.group().strip("\n")
+        if part.lstrip().startswith(("#", "Image ")) or sum(map(str.isalpha, part)) < 40 or not re.search(r"[.!?。！？]", part):
+            continue
+        at, folded = start + block.start(), fold(part)
+        if sum(bool(p.search(folded)) for p in patterns) >= max(1, len(patterns) - 1) and judge(text[at : at + WINDOW], "")[0] is None:
+            return text[at:]
+    return text
+
+
 HIDDEN = {"markdown": re.compile(r"!?\[|\]\([^)]*\)|[*_`]"), "transcript": re.compile(r"\[\d{1,2}:\d{2}(?::\d{2})?\]|\d{1,2}:\d{2}(?::\d{2})?(?=\s)|\s+")}
 
 

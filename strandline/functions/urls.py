@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandline.functions import fixed
+
 #: Query parameters dropped by prefix, section names whose numeric id makes the slug
 #: redundant, paths that are no article, and patterns of list pages.
 TRACKING_PREFIXES = ("utm_", "fbclid", "ref", "source", "spm", "from", "ncid")
@@ -66,6 +68,12 @@ def safe_link(url: Column, domains: Column | None = None) -> Column:
     return F.when(good, F.concat(F.lit("https://"), name, path, query))
 
 
+def is_official(url: Column, country: str | None = None, domains: dict[str, tuple[str, ...]] = fixed.OFFICIAL_DOMAINS) -> Column:
+    """Whether a URL's host is a government's domain (``country``'s, or any) or lies below one."""
+    known = domains.get(country, ()) if country else [d for own in domains.values() for d in own]
+    return F.coalesce(F.arrays_overlap(host_suffixes(host(url)), F.array(*map(F.lit, known)).cast("array<string>")), F.lit(False))
+
+
 def host_suffixes(name: Column) -> Column:
     """``a.b.c`` gives [a.b.c, b.c, c]: the equi-join form of a suffix match."""
     labels = F.split(name, r"\.")

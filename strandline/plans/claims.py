@@ -14,15 +14,13 @@ from strandline.sources.tables import table
 MAX_DRAFTS = 6
 
 
-def numbered_quotes(docs: DataFrame, id_col: str = "doc_id", body: str = "text") -> DataFrame:
-    """(id, quote_id, quote): units between final marks, by a sentinel after each mark.
-
-    The plain native form for queries that need a quick split; positions and hard cases are
-    the sentence operator's work.
-    """
-    marked = F.regexp_replace(F.regexp_replace(body, r"([。！？۔؟।॥][」』”\"]*)", "$1\u0001"), r"([.!?][”’\"\)\]]*)\s+", "$1\u0001")
-    units = F.filter(F.transform(F.split(F.regexp_replace(marked, r"\n+", "\u0001"), "\u0001"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
-    return docs.select(id_col, F.posexplode(units).alias("pos", "quote")).select(id_col, (F.col("pos") + 1).alias("quote_id"), "quote")
+def numbered_quotes(docs: DataFrame, id_col: str = "doc_id", body: str = "text", longest: int | None = None) -> DataFrame:
+    """(id, quote_id, quote): the sentences of each document, numbered from 1; with ``longest`` documents of
+    which one is longer give none, as they cannot be cited."""
+    cut = docs.select(id_col, text.quotes(F.col(body)).alias("quotes"))
+    if longest is not None:
+        cut = cut.where(~F.exists("quotes", lambda q: F.length(q) > longest))
+    return cut.select(id_col, F.posexplode("quotes").alias("pos", "quote")).select(id_col, (F.col("pos") + 1).alias("quote_id"), "quote")
 
 
 def representative(claims: DataFrame, question_terms: list[str]) -> DataFrame:
@@ -204,9 +202,13 @@ def clm_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _L = "l AS (SELECT * FROM rag_document QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY collected_at DESC) = 1)"
-_UNITS = r'''list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace({t}, '([。！？۔؟।॥][」』”"]*)', '\1' || chr(1), 'g'), '([.!?][”’"\)\]]*)\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')'''
-_SQ = f"s AS (SELECT DISTINCT doc_id, text_snippet AS text FROM snippet_docs WHERE text_snippet IS NOT NULL), q AS (SELECT doc_id, unnest({_UNITS.format(t='text')}) AS quote, generate_subscripts({_UNITS.format(t='text')}, 1) AS quote_id FROM s)"
-TEXT_QUOTES = f"{_L}, q AS (SELECT doc_id, unnest({_UNITS.format(t='text')}) AS quote, generate_subscripts({_UNITS.format(t='text')}, 1) AS quote_id FROM l)"
+_GUARDED = r"regexp_replace(regexp_replace({x}, '(^|[^\p{L}\p{N}_])([A-Za-z])\.(\s*[A-Za-z]\.)', '\1\2' || chr(2) || '\3', 'g'), '(^|[^\p{L}\p{N}_])([A-Za-z])\.(\s*[A-Za-z]\.)', '\1\2' || chr(2) || '\3', 'g')"
+_LETTERS = r"regexp_replace(" + _GUARDED.replace("{x}", "translate(text, chr(1) || chr(2), '  ')") + r", '(' || chr(2) || '\s*[A-Za-z])\.', '\1' || chr(2), 'g')"
+_SHORT = r"regexp_replace(" + _LETTERS + r", '(?i)(^|[^\p{L}\p{N}_])(mr|mrs|ms|dr|prof|inc|corp|ltd|co|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec|vs|etc|no)\.', '\1\2' || chr(2), 'g')"
+_MARKED = r"regexp_replace(regexp_replace(regexp_replace(" + _SHORT + r''', '([。！？۔؟।॥][」』”"]*)', '\1' || chr(1), 'g'), '([.!?][”’"\)\]]*)(\s|$)', '\1' || chr(1) || '\2', 'g'), '[\r\n]+', chr(1), 'g')'''
+_UNITS = r"list_filter(list_transform(string_split(" + _MARKED + r", chr(1)), lambda x: regexp_replace(replace(x, chr(2), '.'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '')"
+_SQ = f"s AS (SELECT DISTINCT doc_id, text_snippet AS text FROM snippet_docs WHERE text_snippet IS NOT NULL), q AS (SELECT doc_id, unnest({_UNITS}) AS quote, generate_subscripts({_UNITS}, 1) AS quote_id FROM s)"
+TEXT_QUOTES = f"{_L}, q AS (SELECT doc_id, unnest({_UNITS}) AS quote, generate_subscripts({_UNITS}, 1) AS quote_id FROM l)"
 
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("clm_")}
 SQL = {

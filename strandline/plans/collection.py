@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions import dates, text, urls
+from strandline.functions import dates, fixed, text, urls
 from strandline.functions.keys import country_key, source_key
 from strandline.operators.dedup import added_by_key, greedy_dedup, last_by
 from strandline.operators.joins import suffix_join
@@ -222,7 +222,7 @@ m AS (SELECT doc_id, domain, tier, country, weight, row_number() OVER (PARTITION
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("col_")}
-_ATTR = ", ".join(f"CASE WHEN length(trim(regexp_extract(substr(text, 1, 1000), '{p}', 1))) BETWEEN 2 AND 40 THEN trim(regexp_extract(substr(text, 1, 1000), '{p}', 1)) END" for p in text.ATTRIBUTIONS)
+_ATTR = ", ".join(f"CASE WHEN length(trim(regexp_extract(substr(text, 1, 1000), '{p}', 1))) BETWEEN 2 AND 40 THEN trim(regexp_extract(substr(text, 1, 1000), '{p}', 1)) END" for p in fixed.ATTRIBUTIONS)
 SQL = {
     "col_attribution": f"SELECT DISTINCT doc_id, coalesce({_ATTR}) AS quoted_source FROM rag_document",
     "col_canonical_urls": f"SELECT DISTINCT doc_id, {_CANON.format(u='url')} AS canonical_url, lower({_PATH.format(u='url')}) NOT IN ('', '/index.html', '/index.htm', '/home', '/default.aspx', '/index') AND NOT regexp_matches(lower({_PATH.format(u='url')}), '/index(_\\d+)?\\.(html?|php|jsp|aspx?)$|pageindex=\\d+|/overview(\\.html?|\\.aspx?)?$|/sitemap|/wzdt_|sakuin\\.pdf$|/category/|/channel/|/tag/|/topic/') AS is_article FROM raw_docs",

@@ -5,44 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.functions import passages
+from strandline.functions import fixed, passages
 from strandline.functions.keys import country_key
 from strandline.operators.dedup import last_by
 from strandline.plans.claims import TEXT_QUOTES, numbered_quotes
 from strandline.sources.tables import table
 
-#: Corrections of known mistranslations (words of the original, wrong form, right form),
-#: routes of questions by words, and script labels by language and country.
-TERMS = (
-    (("九二共识", "九二共識", "92年コンセンサス"), r"9\s*[·.]\s*2\s*합의|9월\s*2일\s*합의", "92 컨센서스(1992년 합의)"),
-    (("赖清德", "賴清德", "頼清徳", "Lai Ching-te"), r"뤄칭덕|라칭덕|라이칭덕|뤄징더", "라이칭더"),
-    (("共機", "共机"), r"공습기", "중국 군용기"),
-)
-ROUTES = (("sea", r"(?i)strait|ship|navy|海|해협|항로|समुद्र|بحری"), ("air", r"(?i)air|drone|flight|空|無人機|无人机|항공|무인기|ड्रोन|ڈرون"), ("border", r"(?i)border|邊境|边境|国境|국경|सीमा|سرحد"))
+def corrected(original: Column, translation: Column, rules: tuple = fixed.TERM_RULES) -> Column:
+    """The translation with known mistranslations of the original's terms replaced."""
+    return corrections(original, translation, rules)["text"]
 
 
-def corrected(original: Column, translation: Column, terms: tuple = TERMS) -> Column:
-    """The translation with known wrong forms replaced, each only if the original holds its term."""
-    out = translation
-    for words, wrong, right in terms:
-        held = F.lit(False)
-        for w in words:
-            held = held | F.lower(original).contains(w.lower())
-        out = F.when(held, F.regexp_replace(out, wrong, right)).otherwise(out)
-    return out
+def corrections(original: Column, translation: Column, rules: tuple = fixed.TERM_RULES) -> Column:
+    """(text, terms): the translation with known wrong forms replaced, each only if the original holds its term,
+    and the terms whose wrong form was there."""
+    low, out, used = F.lower(original), translation, []
+    for words, wrong, right in rules:
+        term = F.coalesce(*[F.when(F.contains(low, F.lower(F.lit(w))), w) for w in words])
+        applies = F.coalesce(term.isNotNull() & F.regexp_like(out, F.lit(wrong)), F.lit(False))
+        used.append(F.when(applies, term))
+        out = F.when(applies, F.regexp_replace(out, wrong, right)).otherwise(out)
+    return F.struct(out.alias("text"), F.array_compact(F.array(*used)).alias("terms"))
 
 
 def script_label(language: Column, country: Column) -> Column:
-    """How a language is labelled for readers: Chinese by the place, other languages by their name."""
-    chinese = language.isin("zh", "zh-Hant", "zh-TW", "zh-HK", "zh-CN")
-    return F.when(chinese & country.isin("TW", "HK"), "Traditional Chinese").when(chinese, "Simplified Chinese").when(language == "ja", "Japanese").when(language == "ko", "Korean").when(language == "hi", "Hindi").when(language == "ur", "Urdu").when(language.isNull() | language.isin("", "und", "unknown"), "unknown").otherwise("English")
+    """How a language is labelled for readers: Chinese by the place, other languages by their name, unknown ones as they are."""
+    chinese = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in fixed.CHINESE_LABELS.items() for x in kv]), country), F.lit(fixed.CHINESE_LABEL))
+    names = F.create_map(*[F.lit(x) for kv in fixed.SCRIPT_LABELS.items() for x in kv])
+    return F.when(language == "zh", chinese).otherwise(F.coalesce(F.try_element_at(names, language), language, F.lit("")))
 
 
-def route(text: Column, routes: tuple = ROUTES) -> Column:
-    out = F.lit("general")
-    for name, pattern in reversed(routes):
-        out = F.when(text.rlike(pattern), name).otherwise(out)
-    return out
+def route(question: Column, routes: tuple = fixed.TOPIC_ROUTES) -> Column:
+    """The prepared topic a question is about, null for none."""
+    return F.coalesce(*[F.when(F.regexp_like(question, F.lit(f"(?i){pattern}")), name) for name, pattern in routes])
 
 
 def rebound(body: Column, old: Column, new: Column) -> Column:
@@ -114,8 +109,12 @@ def grd_script_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir, "language", "source_country").groupBy(script_label(F.col("language"), country_key(F.col("source_country"))).alias("script")).agg(F.count("*").alias("docs"))
 
 
+#: Topics of the test tables: routing by words of a title.
+ROUTES = (("sea", "strait|ship|navy|海|해협|항로|समुद्र|بحری"), ("air", "air|drone|flight|空|無人機|无人机|항공|무인기|ड्रोन|ڈرون"), ("border", "border|邊境|边境|国境|국경|सीमा|سرحد"))
+
+
 def grd_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir, "title").select("doc_id", route(F.col("title")).alias("route"))
+    return _docs(spark, sf_dir, "title").select("doc_id", F.coalesce(route(F.col("title"), ROUTES), F.lit("general")).alias("route"))
 
 
 def grd_rebinding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,8 +160,8 @@ _CK = "coalesce(nullif(upper(trim(source_country)), ''), 'UNKNOWN')"
 
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("grd_")}
 SQL = {
-    "grd_script_labels": f"WITH {_L} SELECT CASE WHEN language IN ('zh', 'zh-Hant', 'zh-TW', 'zh-HK', 'zh-CN') AND {_CK} IN ('TW', 'HK') THEN 'Traditional Chinese' WHEN language IN ('zh', 'zh-Hant', 'zh-TW', 'zh-HK', 'zh-CN') THEN 'Simplified Chinese' WHEN language = 'ja' THEN 'Japanese' WHEN language = 'ko' THEN 'Korean' WHEN language = 'hi' THEN 'Hindi' WHEN language = 'ur' THEN 'Urdu' WHEN language IS NULL OR language IN ('', 'und', 'unknown') THEN 'unknown' ELSE 'English' END AS script, count(*) AS docs FROM l GROUP BY 1",
-    "grd_routes": f"WITH {_L} SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(title, '{p}') THEN '{n}'" for n, p in ROUTES) + " ELSE 'general' END AS route FROM l",
+    "grd_script_labels": f"WITH {_L} SELECT CASE WHEN language = 'zh' AND {_CK} IN ('TW', 'HK') THEN '번체' WHEN language = 'zh' THEN '간체' WHEN language = 'ja' THEN '일본어' WHEN language = 'en' THEN '영문' WHEN language = 'ko' THEN '한국어' WHEN language = 'hi' THEN '힌디어' WHEN language = 'ur' THEN '우르두어' ELSE coalesce(language, '') END AS script, count(*) AS docs FROM l GROUP BY 1",
+    "grd_routes": f"WITH {_L} SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(title, '(?i){p}') THEN '{n}'" for n, p in ROUTES) + " ELSE 'general' END AS route FROM l",
     "grd_selected_quotes": f"WITH {TEXT_QUOTES}, n AS (SELECT l.doc_id, count(quote) AS n FROM l LEFT JOIN q ON q.doc_id = l.doc_id GROUP BY 1) SELECT CASE WHEN n >= 3 THEN 'ok' ELSE 'unknown' END AS problem, count(*) AS selections FROM n GROUP BY 1",
     "grd_rebinding": f"WITH {_L} SELECT doc_id, 'see ' || event_id || ', not x' || doc_id || '.' AS body FROM l",
     "grd_cooccurrence": f"WITH {_L}, w AS (SELECT doc_id, lower(text) AS t, unnest(range(0, length(text), 750)) AS i FROM l) SELECT doc_id, CAST(min(i) AS INTEGER) AS \"offset\" FROM w WHERE contains(substr(t, CAST(i + 1 AS BIGINT), 1500), 'exercise') AND contains(substr(t, CAST(i + 1 AS BIGINT), 1500), 'ferry') GROUP BY 1",

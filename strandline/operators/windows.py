@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 
 def char_windows(length: Column, size: int, overlap: int) -> Column:
@@ -16,11 +18,17 @@ def char_windows(length: Column, size: int, overlap: int) -> Column:
     return F.when(length > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * step).alias("start_char"), F.least(i * step + size, length).cast("int").alias("end_char"))))
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def running_sum(sizes: pd.Series) -> pd.Series:
+    """For each array of sizes where its items start: the sums of the sizes before."""
+    return sizes.map(lambda s: None if s is None else np.cumsum(s) - np.asarray(s))
+
+
 def line_chunks(docs: DataFrame, id_col: str = "doc_id", size: int = 900, overlap: int = 120) -> DataFrame:
     """(id, chunk_no, start_char, end_char, chunk): windows inside each non-blank line, offsets in the whole text."""
-    lines = docs.select(id_col, F.posexplode(F.split("text", r"[\r\n]", -1)).alias("line_no", "line"), "text")
-    # The start of a line is the length of the lines before it and their breaks.
-    starts = docs.select(id_col, F.split("text", r"[\r\n]", -1).alias("lines")).select(id_col, "lines", F.aggregate("lines", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1))).alias("starts"))
+    split = docs.select(id_col, F.split("text", r"[\r\n]", -1).alias("lines"))
+    # The start of a line is the length of the lines before it and their breaks, summed up in one pass over a document's lines.
+    starts = split.select(id_col, "lines", running_sum(F.transform("lines", lambda x: F.length(x) + 1)).alias("starts"))
     parts = starts.select(id_col, F.posexplode(F.arrays_zip("lines", "starts")).alias("line_no", "l")).select(id_col, "line_no", F.col("l.lines").alias("line"), F.col("l.starts").alias("base")).where("trim(line) <> ''")
     cut = parts.select(id_col, "line_no", "line", "base", F.posexplode(char_windows(F.length("line"), size, overlap)).alias("no", "w"))
     return cut.select(id_col, "line_no", F.col("no").alias("chunk_no"), (F.col("base") + F.col("w.start_char")).alias("start_char"), (F.col("base") + F.col("w.end_char")).alias("end_char"), F.substring("line", F.col("w.start_char") + 1, F.col("w.end_char") - F.col("w.start_char")).alias("chunk"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.joins import first_interval
+from strandline.operators.joins import first_interval, sized
 from strandline.operators.ranking import upper_median
 from strandline.sources.tables import table
 
@@ -23,7 +23,7 @@ def peaks(daily: DataFrame, kind: str, k: int = 5) -> DataFrame:
     median = upper_median(daily, [kind], "views")
     w = Window.partitionBy(kind).orderBy(F.desc("views"), "day")
     top = daily.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.join(F.broadcast(median), kind, "left").withColumn("ratio", F.when(F.coalesce("median", F.lit(0)) > 0, F.round(F.col("views") / F.col("median"), 4)).otherwise(F.lit(1.0)))
+    return top.join(sized(median), kind, "left").withColumn("ratio", F.when(F.coalesce("median", F.lit(0)) > 0, F.round(F.col("views") / F.col("median"), 4)).otherwise(F.lit(1.0)))
 
 
 def jumps(daily: DataFrame, kind: str, least: float = 1.5) -> DataFrame:
@@ -56,7 +56,7 @@ def att_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def att_event_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days of collected documents with the first news event whose span holds them."""
     days = table(spark, sf_dir, "raw_docs").select(F.to_date("collected_at").alias("day")).groupBy("day").agg(F.count("*").alias("docs"))
-    spans = table(spark, sf_dir, "rag_event").select("event_id", "start_date", F.coalesce("end_date", F.lit("2027-12-31").cast("date")).alias("end_date"))
+    spans = table(spark, sf_dir, "rag_event").select("event_id", "start_date", "end_date")
     return first_interval(days, spans, "day", "start_date", "end_date", "event_id").select(F.col("day").cast("string").alias("day"), "docs", "event_id")
 
 
@@ -91,7 +91,7 @@ SQL = {
     "att_upper_median": f"WITH {_D} SELECT event_type, median FROM m",
     "att_peaks": f"WITH {_D} SELECT d.event_type, CAST(day AS VARCHAR) AS day, d.views, row_number() OVER (PARTITION BY d.event_type ORDER BY d.views DESC, day) AS rank, CASE WHEN median > 0 THEN round(d.views / median, 4) ELSE 1.0 END AS ratio FROM d LEFT JOIN m ON m.event_type = d.event_type QUALIFY rank <= 5",
     "att_jumps": f"WITH {_D}, j AS (SELECT *, lag(views) OVER (PARTITION BY event_type ORDER BY day) AS prev FROM d) SELECT event_type, CAST(day AS VARCHAR) AS day, views, prev, round(views / prev, 4) AS ratio FROM j WHERE prev > 0 AND round(views / prev, 4) >= 1.5",
-    "att_event_of_day": "WITH d AS (SELECT CAST(collected_at AS DATE) AS day, count(*) AS docs FROM raw_docs GROUP BY 1) SELECT CAST(day AS VARCHAR) AS day, docs, (SELECT min(event_id) FROM rag_event WHERE day BETWEEN start_date AND coalesce(end_date, DATE '2027-12-31')) AS event_id FROM d",
+    "att_event_of_day": "WITH d AS (SELECT CAST(collected_at AS DATE) AS day, count(*) AS docs FROM raw_docs GROUP BY 1) SELECT CAST(day AS VARCHAR) AS day, docs, (SELECT min(event_id) FROM rag_event WHERE day >= start_date AND (end_date IS NULL OR day <= end_date)) AS event_id FROM d",
     "att_sessions": "WITH n AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM n) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS events FROM s GROUP BY 1, 2",
     "att_stage_timings": "WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 20) SELECT event_type, count(*) AS runs, round(sum(value), 4) AS total, round(median(value), 4) AS median FROM l GROUP BY 1",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import dates, numbers, text
 from strandline.operators.dedup import first_by, last_by
-from strandline.operators.joins import containment_join
+from strandline.operators.joins import containment_join, sized
 from strandline.operators.windows import char_windows, greedy_pack, with_neighbours
 from strandline.sources.tables import table
 
@@ -37,7 +37,7 @@ def admitted(drafts: DataFrame, targets: DataFrame, paragraphs: DataFrame) -> Da
     """
     w = Window.partitionBy("source_id").orderBy("ord")
     rows = drafts.withColumn("draft_no", F.row_number().over(w)).where(F.col("draft_no") <= MAX_DRAFTS)
-    rows = rows.join(F.broadcast(targets.select(F.col("id").alias("target_id"), F.lit(True).alias("asked"))), "target_id", "left")
+    rows = rows.join(sized(targets.select(F.col("id").alias("target_id"), F.lit(True).alias("asked"))), "target_id", "left")
     rows = rows.join(paragraphs.select("source_id", F.col("id").alias("paragraph_id"), F.col("text").alias("paragraph")), ["source_id", "paragraph_id"], "left")
     folded = text.nfkc_fold(F.col("quote"))
     grounded = F.coalesce(F.expr("contains(_p, _q)"), F.lit(False))
@@ -78,7 +78,8 @@ def crosscheck(targets: DataFrame, claims: DataFrame, groups: DataFrame) -> Data
             alike("event_date", "subject", state).alias("same_state"),
             alike(dimension).alias("same_dimension"),
             alike("normalized").alias("same_value"),
-            F.countDistinct("publisher_group").alias("publisher_groups"),
+            # A target has few publishers; a set of them spares the expansion that a distinct count would bring.
+            F.size(F.collect_set("publisher_group")).alias("publisher_groups"),
             F.min("quantifier").alias("quantifier"),
             F.sort_array(F.collect_list("claim_id")).alias("claim_ids"),
         )

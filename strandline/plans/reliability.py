@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.keys import source_key
-from strandline.functions.numbers import LABELS, SAME_STANCE, label, unit_vector
+from strandline.functions.numbers import LABELS, SAME_STANCE, clipped_cosine, label, unit_vector
+from strandline.operators.joins import sized
 from strandline.operators.pairs import pair_sums, similar_pairs
 from strandline.session import settled
 from strandline.sources.tables import table
@@ -24,7 +25,7 @@ def scored_documents(documents: DataFrame, embeddings: DataFrame, registry: Data
     weight = registry.where("source_name is not null").groupBy(source_key(F.col("source_name")).alias("source")).agg(F.max("weight").alias("weight"))
     vectors = embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("event"), unit_vector(F.col("embedding")).alias("vec")).where("vec is not null")
     docs = documents.select(F.col("doc_id").alias("id"), F.coalesce("country", F.lit("UNKNOWN")).alias("country"), source_key(F.col("source")).alias("source"))
-    return docs.join(vectors, "id").join(F.broadcast(weight), "source", "left").select("event", "id", "country", F.coalesce("weight", F.lit(0.5)).alias("weight"), "vec")
+    return docs.join(vectors, "id").join(sized(weight), "source", "left").select("event", "id", "country", F.coalesce("weight", F.lit(0.5)).alias("weight"), "vec")
 
 
 def country_discount(sums: DataFrame, docs: DataFrame, group: str, m: float = SHRINKAGE) -> DataFrame:
@@ -44,7 +45,7 @@ def reliability(docs: DataFrame, group: str = "event", m: float = SHRINKAGE, ban
     docs = settled(docs)
     sums = settled(pair_sums(docs, group, bands))
     countries = country_discount(sums, docs, group, m)
-    discount = F.broadcast(countries.select(group, F.col("country").alias("partner_country"), "u"))
+    discount = sized(settled(countries.select(group, F.col("country").alias("partner_country"), "u")))
     total = sums.join(discount, [group, "partner_country"]).groupBy(group, "id").agg(F.sum(F.col("weighted") * F.col("u")).alias("num"), F.sum(F.col("weight") * F.col("u")).alias("den"))
     score = F.when(F.col("den") > 0, F.round(F.col("num") / F.col("den"), 4))
     scores = docs.select(group, "id", "country").join(total, [group, "id"], "left").select(group, "id", "country", score.alias("reliability"), label(score).alias("label"))
@@ -92,9 +93,7 @@ def rel_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rel_question_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector of a label held against the label's lowest id as the question."""
     docs = _docs(spark, sf_dir)
-    question = F.broadcast(docs.groupBy("event").agg(F.min_by("vec", "id").alias("q")))
-    from strandline.functions.numbers import clipped_cosine
-
+    question = sized(docs.groupBy("event").agg(F.min_by("vec", "id").alias("q")), 10_000)
     return docs.join(question, "event").select("event", "id", clipped_cosine(F.col("vec"), F.col("q")).alias("sim"))
 
 

@@ -9,6 +9,7 @@ from strandline.functions.keys import country_key, source_key
 from strandline.functions.numbers import haversine_km
 from strandline.functions.text import body_display, strip_markup
 from strandline.operators.dedup import last_by
+from strandline.operators.joins import sized
 from strandline.sources.tables import table
 
 COUNTRY_ORDER = ("CN", "TW", "JP", "KR")
@@ -131,14 +132,14 @@ def rep_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The export projection, one row a document, with the source's registry weight."""
     docs = _docs(spark, sf_dir, "title", "url", "language", source_key(F.col("publisher_group")).alias("publisher"), "source_tier")
     reg = table(spark, sf_dir, "source_registry").where("source_name is not null").groupBy(source_key(F.col("source_name")).alias("publisher")).agg(F.max("weight").alias("weight"))
-    return docs.join(F.broadcast(reg), "publisher", "left").select("doc_id", "title", "url", "language", "publisher", "source_tier", F.coalesce("weight", F.lit(0.5)).alias("weight"))
+    return docs.join(sized(reg), "publisher", "left").select("doc_id", "title", "url", "language", "publisher", "source_tier", F.coalesce("weight", F.lit(0.5)).alias("weight"))
 
 
 def rep_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per event its documents as nested rows of a map export, as counts of what was nested."""
-    docs = _docs(spark, sf_dir, "event_id", "source_tier", "language").select("event_id", F.struct("doc_id", "source_tier", "language").alias("d"))
-    nested = docs.groupBy("event_id").agg(F.sort_array(F.collect_set("d")).alias("docs"))
-    return table(spark, sf_dir, "rag_event").join(nested, "event_id", "left").select("event_id", "label", F.coalesce(F.size("docs"), F.lit(0)).alias("docs"), F.element_at("docs", 1)["doc_id"].alias("first_doc"))
+    """Per event how many documents a map export holds, and the first; the rows themselves are ``flw_map_rows``."""
+    docs = _docs(spark, sf_dir, "event_id")
+    counts = docs.groupBy("event_id").agg(F.count("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
+    return table(spark, sf_dir, "rag_event").join(sized(counts), "event_id", "left").select("event_id", "label", F.coalesce("docs", F.lit(0)).alias("docs"), "first_doc")
 
 
 def rep_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:

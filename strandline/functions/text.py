@@ -177,16 +177,24 @@ def body_language(text: Column, least_letters: int = 40, least_share: float = 0.
     Kana makes Han Japanese, Hangul makes it Korean; Chinese is told apart by characters only one of
     its scripts has. Latin counts as English and Arabic script as Urdu, the languages handled.
     """
-    n = script_shares(F.coalesce(text, F.lit("")))
-    only = lambda chars: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[{chars}]"))
-    kana, hangul, han = n["kana"], n["hangul"], n["han"]
-    japanese = (kana > 0) & (kana * 10 >= han)
-    east = F.when(hangul >= F.greatest(kana, han), F.struct(F.lit("ko").alias("l"), hangul + F.when(hangul >= han, han).otherwise(F.lit(0)))).when(japanese, F.struct(F.lit("ja").alias("l"), kana + han))
-    east = east.otherwise(F.struct(F.when(only(TRADITIONAL_ONLY) > only(SIMPLIFIED_ONLY), "zh-Hant").otherwise("zh").alias("l"), han))
-    ways = F.array(*[F.struct(s.alias("n"), l.alias("language")) for s, l in ((east["col2"], east["l"]), (n["latin"], F.lit("en")), (n["devanagari"], F.lit("hi")), (n["arabic"], F.lit("ur")))])
-    best = F.array_max(ways)
-    confidence = F.when(n["letters"] >= least_letters, F.round(best["n"] / n["letters"], 4)).otherwise(0.0)
-    return F.struct(F.when(confidence >= least_share, best["language"]).otherwise("unknown").alias("language"), confidence.alias("confidence"))
+    body = F.coalesce(text, F.lit(""))
+    only = lambda chars: F.regexp_count(body, F.lit(f"[{chars}]"))
+    counted = F.struct(script_shares(body).alias("n"), only(SIMPLIFIED_ONLY).alias("simplified"), only(TRADITIONAL_ONLY).alias("traditional"))
+
+    def told(c: Column) -> Column:
+        n = c["n"]
+        kana, hangul, han = n["kana"], n["hangul"], n["han"]
+        east = F.when(hangul >= F.greatest(kana, han), "ko").when((kana > 0) & (kana * 10 >= han), "ja").when(c["traditional"] > c["simplified"], "zh-Hant").otherwise("zh")
+        letters = F.when(east == "ko", hangul + F.when(hangul >= han, han).otherwise(0)).when(east == "ja", kana + han).otherwise(han)
+        ways = [F.struct(k.alias("k"), name.alias("l")) for k, name in ((letters, east), (n["latin"], F.lit("en")), (n["devanagari"], F.lit("hi")), (n["arabic"], F.lit("ur")))]
+        return F.struct(F.greatest(*ways).alias("best"), n["letters"].alias("letters"))
+
+    def judged(c: Column) -> Column:
+        confidence = F.when(c["letters"] >= least_letters, F.round(c["best"]["k"] / c["letters"], 4)).otherwise(0.0)
+        return F.struct(F.when(confidence >= least_share, c["best"]["l"]).otherwise("unknown").alias("language"), confidence.alias("confidence"))
+
+    # The lambdas bind the counts, so that each pattern runs over a body once.
+    return F.element_at(F.transform(F.transform(F.array(counted), told), judged), 1)
 
 
 def body_display(text: Column, limit: int = 1600) -> Column:

@@ -12,6 +12,8 @@ from strandline.operators.windows import char_windows, greedy_pack, with_neighbo
 from strandline.sources.tables import table
 
 MAX_DRAFTS = 6
+#: Terms of the question the test tables are asked.
+QUESTION = ("ferry", "storm", "warning", "patrol", "海岸", "巡逻")
 
 
 def numbered_quotes(docs: DataFrame, id_col: str = "doc_id", body: str = "text", longest: int | None = None) -> DataFrame:
@@ -130,7 +132,7 @@ def clm_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clm_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = numbered_quotes(_snippets(spark, sf_dir).select("doc_id", "text").distinct())
-    return representative(quotes, ["ferry", "storm", "warning", "patrol", "海岸", "巡逻"]).select("doc_id", "quote_id", "overlap")
+    return representative(quotes, list(QUESTION)).select("doc_id", "quote_id", "overlap")
 
 
 def clm_without(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,8 +213,21 @@ _UNITS = r"list_filter(list_transform(string_split(" + _MARKED + r", chr(1)), la
 _SQ = f"s AS (SELECT DISTINCT doc_id, text_snippet AS text FROM snippet_docs WHERE text_snippet IS NOT NULL), q AS (SELECT doc_id, unnest({_UNITS}) AS quote, generate_subscripts({_UNITS}, 1) AS quote_id FROM s)"
 TEXT_QUOTES = f"{_L}, q AS (SELECT doc_id, unnest({_UNITS}) AS quote, generate_subscripts({_UNITS}, 1) AS quote_id FROM l)"
 
+_BAD = r"""CASE
+WHEN regexp_matches(regexp_replace(v, '[」』”"'']+$', ''), '[?？]$') THEN 'question_without_assertion'
+WHEN regexp_matches(v, 'と(?:いう|言う)(?:と|のは)$') THEN 'unfinished_introductory_clause'
+WHEN regexp_matches(v, '何|どう|どっち') AND regexp_matches(v, '(?:これ|それ|あれ)です[。.]$') THEN 'deictic_answer_without_assertion'
+WHEN regexp_matches(v, '(?i)^(?:關鍵字\s*[:：]|关键词\s*[:：]|Keywords?\s*[:：]|跳到主要內容|網站導覽|展開搜尋|調整頁面字體|分享至|複製連結|下載專區|下載檔案|Subscribe\b|로그인|구독\s*안내)') THEN 'navigation_or_download_text'
+WHEN regexp_matches(v, '^第\s*\d+\s*[節章]\s') AND length(v) < 120 AND NOT regexp_matches(v, '(?:ている|される|した|する|です|ます|である)[。.]') THEN 'section_heading' END"""
+_SUB = r"""NOT (regexp_matches(v, '(?i)^(?:(?:https?://|www\.)\S+|(?:com|org|net|cn|tw|hk|jp|kr|edu|gov|io)/\S+)$') OR regexp_matches(v, '^(?:[A-Za-z0-9-]+\.)+$') OR regexp_matches(v, '(?i)^[^.!?。]{1,100}\|\s*www\.$') OR regexp_matches(v, '(?i)^(?:References?|Sources?|참고\s*자료|출처|参考资料|參考資料)\s*[:：]'))"""
+_VISIBLE = r"trim(regexp_replace(quote, '\[\d{1,2}:\d{2}(?::\d{2})?\]', '', 'g'))"
+_OVERLAP = " + ".join(f"CAST(regexp_matches(lower(quote), '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS INTEGER)" if t.isascii() else f"CAST(contains(quote, '{t}') AS INTEGER)" for t in QUESTION)
+
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("clm_")}
 SQL = {
+    "clm_rejections": f"WITH {TEXT_QUOTES}, t AS (SELECT *, {_VISIBLE} AS v FROM q) SELECT coalesce({_BAD}, 'claim') AS reason, {_SUB} AS substantive, count(*) AS quotes FROM t GROUP BY 1, 2",
+    "clm_representative": f"WITH {_SQ} SELECT doc_id, CAST(quote_id AS INTEGER) AS quote_id, {_OVERLAP} AS overlap FROM q QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {_OVERLAP} DESC, quote_id) = 1",
+    "clm_packs": f"WITH RECURSIVE {_L}, p AS (SELECT doc_id, generate_subscripts(paragraphs, 1) AS k, length(unnest(paragraphs).text) AS n FROM l), r AS (SELECT doc_id, k, n, CAST(1 AS INTEGER) AS pack, n AS used FROM p WHERE k = 1 UNION ALL SELECT p.doc_id, p.k, p.n, CASE WHEN r.used + p.n > 600 THEN r.pack + 1 ELSE r.pack END, CASE WHEN r.used + p.n > 600 THEN p.n ELSE r.used + p.n END FROM r JOIN p ON p.doc_id = r.doc_id AND p.k = r.k + 1) SELECT doc_id, pack, count(*) AS paragraphs, CAST(sum(n) AS BIGINT) AS chars FROM r GROUP BY 1, 2",
     "clm_quotes": f"WITH {_SQ} SELECT doc_id, CAST(quote_id AS INTEGER) AS quote_id, quote FROM q",
     "clm_focus": f"WITH {TEXT_QUOTES}, k AS (SELECT *, NOT regexp_matches(regexp_replace(quote, '[」』”\"'']+$', ''), '[?？]$') AS ok FROM q), f AS (SELECT DISTINCT doc_id FROM k WHERE ok AND contains(lower(quote), 'strait')) SELECT doc_id, count(*) AS quotes FROM q WHERE doc_id IN (SELECT doc_id FROM f) GROUP BY 1",
     "clm_without": f"WITH {_SQ} SELECT DISTINCT doc_id FROM raw_docs WHERE doc_id NOT IN (SELECT doc_id FROM q)",

@@ -43,8 +43,9 @@ def with_bodies(found: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def registered(found: DataFrame, registry: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Tier, country and weight of the source behind a URL, with defaults for unknown hosts."""
-    out = suffix_join(found, registry.select("domain", "tier", "country", "weight"), key)
+    """Tier, country and weight of the source behind a URL by the first entry of the registry that matches, with defaults for unknown hosts."""
+    placed = registry.select("domain", "tier", "country", "weight", F.monotonically_increasing_id().alias("place"))
+    out = suffix_join(found, placed, key, order="place")
     return out.select(*found.columns, "matched_domain", *[F.coalesce(f"reg_{c}", F.lit(v)).alias(f"site_{c}") for c, v in DEFAULTS.items()])
 
 
@@ -215,7 +216,7 @@ _CK = "coalesce(nullif(upper(trim(country)), ''), 'UNKNOWN')"
 _LEN = r"CASE WHEN published_date IS NOT NULL AND regexp_matches(published_date, '^\d{4}-\d{2}-\d{2}$|^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}') THEN CAST(try_strptime(substr(published_date, 1, 10), '%Y-%m-%d') AS DATE) END"
 _SUFFIX = f"""
 f AS (SELECT doc_id, {_HOST.format(u='url')} AS host FROM h),
-m AS (SELECT doc_id, domain, tier, country, weight, row_number() OVER (PARTITION BY doc_id ORDER BY length(domain) DESC, domain DESC) AS k FROM f JOIN source_registry r ON host = domain OR ends_with(host, '.' || domain))
+m AS (SELECT doc_id, domain, tier, country, weight, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS k FROM f JOIN (SELECT *, row_number() OVER () AS place FROM source_registry) r ON host = domain OR ends_with(host, '.' || domain))
 """
 
 
@@ -223,7 +224,14 @@ m AS (SELECT doc_id, domain, tier, country, weight, row_number() OVER (PARTITION
 
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("col_")}
 _ATTR = ", ".join(f"CASE WHEN length(trim(regexp_extract(substr(text, 1, 1000), '{p}', 1))) BETWEEN 2 AND 40 THEN trim(regexp_extract(substr(text, 1, 1000), '{p}', 1)) END" for p in fixed.ATTRIBUTIONS)
+_DAY = r"CASE WHEN regexp_matches({x}, '{p}') THEN regexp_extract({x}, '{p}', 1) || '-' || lpad(regexp_extract({x}, '{p}', 2), 2, '0') || '-' || lpad(regexp_extract({x}, '{p}', 3), 2, '0') END"
+_day = lambda x, p: _DAY.replace("{x}", x).replace("{p}", p)
+_HEAD = "substr(coalesce(article_text, ''), 1, 400)"
+_MON = "(?i)" + fixed.HEAD_MONTH_DATE
+_NAMED = f"CASE WHEN regexp_matches({_HEAD}, '{_MON}') THEN regexp_extract({_HEAD}, '{_MON}', 3) || '-' || lpad(CAST(list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(substr(regexp_extract({_HEAD}, '{_MON}', 1), 1, 3))) AS VARCHAR), 2, '0') || '-' || lpad(regexp_extract({_HEAD}, '{_MON}', 2), 2, '0') END"
 SQL = {
+    "col_published_dates": f"WITH {_H} SELECT doc_id, coalesce(CASE WHEN regexp_matches(published_date, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN substr(published_date, 1, 10) END, {', '.join(_day('url', p) for p in fixed.URL_DATES)}, {_day(_HEAD, fixed.HEAD_DATE)}, {_NAMED}, {_day(_HEAD, fixed.HEAD_HAN_DATE)}) AS published FROM h",
+    "col_greedy_dedup": f"WITH RECURSIVE {_H}, k AS (SELECT doc_id, row_number() OVER (ORDER BY collected_at, doc_id) AS k, list_filter(['u' || {_CANON.format(u='url')}, 't' || {_TITLE}, 'b' || regexp_replace(lower(coalesce(article_text, '')), '[^\\p{{L}}\\p{{N}}_]', '', 'g')], lambda x: length(x) > 1) AS ks FROM h), r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS seen, false AS keep UNION ALL SELECT k.k, CASE WHEN list_has_any(seen, ks) THEN seen ELSE list_concat(seen, ks) END, NOT list_has_any(seen, ks) FROM r JOIN k ON k.k = r.k + 1) SELECT doc_id FROM k JOIN r ON r.k = k.k WHERE keep",
     "col_attribution": f"SELECT DISTINCT doc_id, coalesce({_ATTR}) AS quoted_source FROM rag_document",
     "col_canonical_urls": f"SELECT DISTINCT doc_id, {_CANON.format(u='url')} AS canonical_url, lower({_PATH.format(u='url')}) NOT IN ('', '/index.html', '/index.htm', '/home', '/default.aspx', '/index') AND NOT regexp_matches(lower({_PATH.format(u='url')}), '/index(_\\d+)?\\.(html?|php|jsp|aspx?)$|pageindex=\\d+|/overview(\\.html?|\\.aspx?)?$|/sitemap|/wzdt_|sakuin\\.pdf$|/category/|/channel/|/tag/|/topic/') AS is_article FROM raw_docs",
     "col_safe_links": r"SELECT DISTINCT doc_id, CASE WHEN regexp_matches(url, '^https://[^/?#:@]*\.[^/?#:@]*(:443)?([/?#]|$)') AND NOT regexp_matches(url, '^https://[\d.]+([/?#:]|$)') THEN 'https://' || lower(regexp_extract(url, '^https://([^/?#:]+)', 1)) || coalesce(nullif(regexp_extract(url, '^https://[^/?#]+([^?#]*)', 1), ''), '/') || coalesce('?' || nullif(regexp_extract(url, '\?([^#]*)', 1), ''), '') END AS link FROM rag_document",

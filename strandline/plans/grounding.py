@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.functions import fixed, passages
+from strandline.functions import fixed, passages, text
 from strandline.functions.keys import country_key
 from strandline.operators.dedup import last_by
-from strandline.plans.claims import TEXT_QUOTES, numbered_quotes
+from strandline.plans.claims import _OVERLAP, QUESTION, TEXT_QUOTES, numbered_quotes
 from strandline.sources.tables import table
 
 def corrected(original: Column, translation: Column, rules: tuple = fixed.TERM_RULES) -> Column:
@@ -135,8 +135,10 @@ def grd_missing_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grd_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir, "event_id", "text").select("event_id", "doc_id", F.length("text").alias("cost"))
-    return within_budget(docs.withColumn("score", -F.col("cost") % 97), "event_id", "score", "cost", "doc_id", 2200, 3).select("event_id", "doc_id", "place")
+    """Per event the three documents that share most terms with the question and fit a model's input together."""
+    shared = F.size(F.array_intersect(text.relevance_terms(F.col("text"), han=True), F.array(*map(F.lit, QUESTION))))
+    docs = _docs(spark, sf_dir, "event_id", "text").select("event_id", "doc_id", text.text_cost(F.col("text")).alias("cost"), shared.alias("score"))
+    return within_budget(docs, "event_id", "score", "cost", "doc_id", 2200, 3).select("event_id", "doc_id", "place")
 
 
 def grd_selected_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +161,9 @@ _L = "l AS (SELECT * FROM rag_document QUALIFY row_number() OVER (PARTITION BY d
 _CK = "coalesce(nullif(upper(trim(source_country)), ''), 'UNKNOWN')"
 
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("grd_")}
+_COST = r"length(text) + 2 * length(regexp_replace(text, '[^\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}]', '', 'g'))"
 SQL = {
+    "grd_budget": f"WITH RECURSIVE {_L}, c AS (SELECT event_id, doc_id, {_COST} AS cost, row_number() OVER (PARTITION BY event_id ORDER BY {_OVERLAP.replace('quote', 'text')} DESC, doc_id) AS k FROM l), r AS (SELECT event_id, k, doc_id, CASE WHEN cost <= 2200 THEN cost ELSE 0 END AS used, CASE WHEN cost <= 2200 THEN 1 ELSE 0 END AS held, cost <= 2200 AS ok FROM c WHERE k = 1 UNION ALL SELECT c.event_id, c.k, c.doc_id, CASE WHEN r.used + c.cost <= 2200 AND r.held < 3 THEN r.used + c.cost ELSE r.used END, CASE WHEN r.used + c.cost <= 2200 AND r.held < 3 THEN r.held + 1 ELSE r.held END, r.used + c.cost <= 2200 AND r.held < 3 FROM r JOIN c ON c.event_id = r.event_id AND c.k = r.k + 1 AND c.k <= 48) SELECT event_id, doc_id, held - 1 AS place FROM r WHERE ok",
     "grd_script_labels": f"WITH {_L} SELECT CASE WHEN language = 'zh' AND {_CK} IN ('TW', 'HK') THEN '번체' WHEN language = 'zh' THEN '간체' WHEN language = 'ja' THEN '일본어' WHEN language = 'en' THEN '영문' WHEN language = 'ko' THEN '한국어' WHEN language = 'hi' THEN '힌디어' WHEN language = 'ur' THEN '우르두어' ELSE coalesce(language, '') END AS script, count(*) AS docs FROM l GROUP BY 1",
     "grd_routes": f"WITH {_L} SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(title, '(?i){p}') THEN '{n}'" for n, p in ROUTES) + " ELSE 'general' END AS route FROM l",
     "grd_selected_quotes": f"WITH {TEXT_QUOTES}, n AS (SELECT l.doc_id, count(quote) AS n FROM l LEFT JOIN q ON q.doc_id = l.doc_id GROUP BY 1) SELECT CASE WHEN n >= 3 THEN 'ok' ELSE 'unknown' END AS problem, count(*) AS selections FROM n GROUP BY 1",

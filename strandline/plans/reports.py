@@ -189,6 +189,7 @@ _EDGE = f"o AS (SELECT {_SK.format(c='publisher_group')} AS p, arg_max(doc_id, c
 
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("rep_")}
 SQL = {
+    "rep_body_display": r"WITH l AS (SELECT * FROM rag_document QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY collected_at DESC) = 1), p AS (SELECT doc_id, regexp_replace(regexp_replace(text, '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(?m)^[#>*\-\s]+|[*_`]', '', 'g') AS t FROM l), u AS (SELECT DISTINCT doc_id, trim(unnest(string_split(t, chr(10)))) AS x FROM p), n AS (SELECT doc_id, sum(length(x)) + 2 * (count(*) - 1) AS n FROM u WHERE x <> '' GROUP BY 1) SELECT l.doc_id, CAST(CASE WHEN n > 1600 THEN 1601 ELSE coalesce(n, 0) END AS INTEGER) AS shown FROM l LEFT JOIN n ON n.doc_id = l.doc_id",
     "rep_upsert": f"WITH {_L} SELECT doc_id, event_id, language, length(text) AS n_chars, source_tier FROM l",
     "rep_tamper_check": "WITH f AS (SELECT doc_id, arg_min(struct_pack(a := title, b := score, c := tier, d := source_name), collected_at) AS e FROM raw_docs GROUP BY 1) SELECT doc_id, 'duplicate' AS problem FROM raw_docs GROUP BY doc_id HAVING count(*) > 1 UNION SELECT r.doc_id, 'changed' FROM raw_docs r JOIN f ON f.doc_id = r.doc_id WHERE struct_pack(a := title, b := score, c := tier, d := source_name) IS DISTINCT FROM e",
     "rep_countries": f"WITH {_L} SELECT {_CK} AS country, count(*) AS docs, CAST(CASE {_CK} WHEN 'CN' THEN 1 WHEN 'TW' THEN 2 WHEN 'JP' THEN 3 WHEN 'KR' THEN 4 ELSE 99 END AS INTEGER) AS priority FROM l GROUP BY 1, 3",

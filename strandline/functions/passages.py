@@ -207,15 +207,25 @@ def restored_quote(raw: str, quote: str, kind: str) -> str | None:
 
 
 def fuzzy_candidates(source: str, quote: str, top: int = 3, anchors: int = 8) -> list[tuple[int, int, float]]:
-    """(start, end, ratio) of the stretches of ``source`` most like ``quote``, placed by their longest common blocks."""
-    blocks = difflib.SequenceMatcher(None, source, quote, autojunk=False).get_matching_blocks()
-    spans = set()
-    for b in sorted(blocks, key=lambda b: -b.size)[:anchors]:
-        if b.size >= 2:
-            start = max(0, b.a - b.b)
-            spans.add((start, min(len(source), start + len(quote))))
-    rated = [(a, b, round(difflib.SequenceMatcher(None, source[a:b], quote, autojunk=False).ratio(), 4)) for a, b in spans]
-    return sorted(rated, key=lambda r: (-r[2], r[0]))[:top]
+    """(start, end, ratio) of the runs of whole sentences of ``source`` most like ``quote``.
+
+    Looked at are the sentences that the longest common stretches touch, with or without the one before
+    and the one after; a run is as long as a quote may be.
+    """
+    ends = [m.end() for m in re.finditer(r"\n+|[。！？]|[.!?](?=\s|$)", source)]
+    sentences = [(a, b) for a, b in zip([0, *ends], [*ends, len(source)]) if a < b]
+    stretches = [m for m in difflib.SequenceMatcher(None, quote, source, autojunk=False).get_matching_blocks() if m.size]
+    runs: dict[tuple[int, int], float] = {}
+    for m in sorted(stretches, key=lambda m: -m.size)[:anchors]:
+        touched = [i for i, (a, b) in enumerate(sentences) if a < m.b + m.size and m.b < b]
+        for first in {max(0, touched[0] - 1), touched[0]}:
+            for last in {touched[-1], min(len(sentences) - 1, touched[-1] + 1)}:
+                a, b = sentences[first][0], sentences[last][1]
+                text = source[a:b]
+                a, b = a + len(text) - len(text.lstrip()), a + len(text.rstrip())
+                if 0 < b - a <= fixed.QUOTE_CHARS and (a, b) not in runs:
+                    runs[a, b] = round(difflib.SequenceMatcher(None, quote, source[a:b], autojunk=False).ratio(), 4)
+    return [(a, b, r) for (a, b), r in sorted(runs.items(), key=lambda x: (-x[1], x[0]))[:top]]
 
 
 def translated(text: str, lexicon: dict[str, str]) -> str:

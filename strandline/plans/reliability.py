@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strandline.functions.keys import source_key
 from strandline.functions.numbers import LABELS, SAME_STANCE, clipped_cosine, label, unit_vector
 from strandline.operators.joins import sized
+from strandline.operators.search import nearest
 from strandline.operators.pairs import pair_sums, similar_pairs
 from strandline.session import settled
 from strandline.sources.tables import table
@@ -97,6 +98,12 @@ def rel_question_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(question, "event").select("event", "id", clipped_cosine(F.col("vec"), F.col("q")).alias("sim"))
 
 
+def rel_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 as a query against all vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return nearest(vectors, vectors.where("id % 100 = 0"))
+
+
 _BASE = r"""
 w AS (SELECT lower(trim(regexp_replace(source_name, '\s+', ' ', 'g'))) AS source, max(weight) AS weight FROM source_registry WHERE source_name IS NOT NULL GROUP BY 1),
 e AS (SELECT vec_id AS id, label AS event, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
@@ -112,12 +119,13 @@ sc AS (SELECT d.event, d.id, d.country, CASE WHEN den > 0 THEN round(num / den,
 lb AS (SELECT *, CASE WHEN reliability >= 0.7 THEN '값 일치' WHEN reliability >= 0.6 THEN '개연성 있음' ELSE '판단 보류' END AS label FROM sc)
 """
 
-QUERIES = {f.__name__: f for f in (rel_scores, rel_country_discount, rel_label_counts, rel_claim_scores, rel_similar_pairs, rel_question_similarity)}
+QUERIES = {f.__name__: f for f in (rel_scores, rel_country_discount, rel_label_counts, rel_claim_scores, rel_similar_pairs, rel_question_similarity, rel_vector_search)}
 SQL = {
     "rel_scores": f"WITH {_BASE} SELECT event, id, country, reliability, label FROM lb",
     "rel_country_discount": f"WITH {_BASE} SELECT event, country, n, round(rho_hat, 4) AS rho_hat, round(n_eff, 4) AS n_eff, round(u, 4) AS u FROM u",
     "rel_label_counts": f"WITH {_BASE} SELECT l.label, count(lb.label) AS n FROM (VALUES ('값 일치'), ('개연성 있음'), ('판단 보류')) l(label) LEFT JOIN lb ON lb.label = l.label GROUP BY 1",
     "rel_claim_scores": f"WITH {_BASE} SELECT doc_id AS document_id, doc_id || '-c1' AS claim_id, reliability, coalesce(lb.label, '판단 보류') AS label FROM documents LEFT JOIN lb ON lb.id = doc_id",
     "rel_similar_pairs": f"WITH {_BASE} SELECT event, a, b, sim FROM p WHERE a < b AND sim >= 0.2",
+    "rel_vector_search": "WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings), s AS (SELECT a.id AS query_id, b.id, round(least(1.0, greatest(0.0, list_cosine_similarity(a.vec, b.vec))), 6) AS sim FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s QUALIFY rank <= 10",
     "rel_question_similarity": f"WITH {_BASE} SELECT d.event, d.id, round(least(1.0, greatest(0.0, list_cosine_similarity(d.vec, f.vec))), 6) AS sim FROM d JOIN (SELECT event, arg_min(vec, id) AS vec FROM d GROUP BY 1) f ON f.event = d.event",
 }

@@ -200,6 +200,23 @@ def test_stream_upsert_and_windows(spark, tmp_path):
     assert hits.fresh(stream, ["doc_id"], "at").isStreaming
 
 
+def test_stream_upserts_touch_their_buckets_only(spark, tmp_path):
+    target = str(tmp_path / "table")
+    write = hits.upsert_batches(target, ["k"], "at", buckets=4)
+    frame = lambda *rows: spark.createDataFrame(list(rows), "k int, at int, v string")
+    assert hits.current(spark, target) is None
+    state = {}
+    for number, rows in enumerate([[(i, 1, "a") for i in range(20)], [(1, 2, "b"), (30, 1, "c")], [(1, 1, "late"), (2, 5, "d")], [(1, 3, "e")], [(1, 4, "f")]]):
+        for _ in range(2):  # a batch run again gives the same table
+            write(frame(*rows), number)
+        for k, at, v in rows:
+            if at >= state.get(k, (0, ""))[0]:
+                state[k] = (at, v)
+        assert {r.k: (r.at, r.v) for r in hits.current(spark, target).collect()} == state
+    folders = hits._versions(spark, target)
+    assert len(folders) == 4 and max(len(f) for f in folders.values()) <= 3
+
+
 def test_entry_registers_queries():
     import __spark_entry__ as entry
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from strandline.operators.windows import greedy_pack
 from strandline.plans import claims, reliability
 from strandline.plans.collection import hits
 from strandline.session import settled
+from strandline.sources.sinks import unique_export
 from strandline.sources.tables import table
 
 LANGUAGES = ("en", "ko", "zh", "zh-Hant", "ja")
@@ -111,9 +114,67 @@ def evidence_packet(chosen: DataFrame, meta: DataFrame, paragraphs: DataFrame, s
     return joined.withColumn("warning", F.coalesce(warning, F.lit("none")))
 
 
+def run_checks(collected: DataFrame, exported: DataFrame, bodies: DataFrame, sims: DataFrame) -> DataFrame:
+    """(check, broken): how many rows break each rule of a finished run; all zero for a sound one.
+
+    ``collected`` holds doc_id, country, language and tier; ``exported`` one row a claim with doc_id, claim_id,
+    country, language, tier, quote and event_date; ``bodies`` the texts a quote may stand in; ``sims`` the
+    pairs (event, a, b, sim). Each rule is an aggregate or a join on ids.
+    """
+    ids = collected.select("doc_id").distinct()
+    both = exported.join(collected.select("doc_id", *[F.col(c).alias(f"own_{c}") for c in ("country", "language", "tier")]), "doc_id")
+    changed = lambda c: ~F.col(c).eqNullSafe(F.col(f"own_{c}"))
+    stands = exported.select("doc_id", "claim_id", "quote").join(bodies, "doc_id", "left").groupBy("claim_id").agg(F.bool_or(F.coalesce(F.contains("text", "quote"), F.lit(False))).alias("ok"))
+    mirrored = sims.select("event", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
+    rules = {
+        "collected_ids_unique": collected.groupBy("doc_id").count().where("count > 1"),
+        "claims_of_collected_documents": exported.join(ids, "doc_id", "left_anti"),
+        "one_claim_a_document": exported.groupBy("doc_id").count().where("count > 1"),
+        "claim_ids_unique": exported.groupBy("claim_id").count().where("count > 1"),
+        "country_preserved": both.where(changed("country")),
+        "language_preserved": both.where(changed("language")),
+        "tier_preserved": both.where(changed("tier")),
+        "event_dates_iso": exported.where(F.col("event_date").isNotNull() & F.try_to_timestamp("event_date", F.lit("yyyy-MM-dd")).isNull()),
+        "quotes_grounded": stands.where("not ok"),
+        "no_similarity_with_itself": sims.where("a = b"),
+        "similarities_in_range": sims.where("sim is null or isnan(sim) or sim < 0 or sim > 1"),
+        "similarities_reciprocal": mirrored.groupBy("event", "a", "b").agg(F.min("sim").alias("x"), F.max("sim").alias("y")).where("x <> y"),
+    }
+    counts = [df.agg(F.lit(name).alias("check"), F.count(F.lit(1)).alias("broken")) for name, df in rules.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def groups_for_publisher(groups: list[list[str]], country: str | None, parties: dict[str, str] = fixed.PARTY_NAMES) -> list[list[str]]:
+    """The anchor groups a government's own page still has to name: its own party it satisfies as the publisher,
+    if another group remains."""
+    name = parties.get(country or "")
+    rest = [g for g in groups if name not in text.name_variants(g)] if name else groups
+    return rest or groups
+
+
 # --- queries ---------------------------------------------------------------
 
 
+EXPORT = ("doc_id", "title", "url", "score", "score_notice", "language", "tier", "source_name", "country", "published_date", "text_snippet", "source_category", "credibility_weight", "query", "status", "article_text")
+
+
+def flw_collection_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sixteen fields of a collection export, one row a document, its id asserted unique."""
+    snippets = table(spark, sf_dir, "snippet_docs").groupBy("doc_id").agg(F.min("text_snippet").alias("text_snippet"))
+    found = hits(spark, sf_dir, *[c for c in EXPORT if c not in ("doc_id", "text_snippet")]).join(snippets, "doc_id", "left")
+    return unique_export(found, list(EXPORT), "doc_id")
+
+
+def flw_run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of a finished run over the collection as delivered, repeated rows and all."""
+    raw = table(spark, sf_dir, "raw_docs")
+    collected = raw.select("doc_id", country_key(F.col("country")).alias("country"), "language", "tier")
+    claims_of = flw_verification_export(spark, sf_dir).select("doc_id", "claim_id", "country", "language", "quote")
+    latest = hits(spark, sf_dir, "tier", "published_date").select("doc_id", "tier", F.col("published_date").alias("event_date"))
+    bodies = raw.select("doc_id", F.col("article_text").alias("text")).unionByName(table(spark, sf_dir, "snippet_docs").select("doc_id", F.col("text_snippet").alias("text")))
+    return run_checks(collected, settled(claims_of.join(latest, "doc_id")), bodies, reliability.rel_similar_pairs(spark, sf_dir))
+
+
 def _latest(spark: SparkSession, sf_dir: str, *columns: str | Column) -> DataFrame:
     return last_by(table(spark, sf_dir, "rag_document").select("doc_id", "collected_at", *columns), ["doc_id"], "collected_at")
 
@@ -289,6 +350,24 @@ SQL = {
     "flw_evidence": f"WITH {_EVIDENCE} SELECT *, CASE WHEN matches = 0 THEN 'quote_not_found' WHEN matches > 1 THEN 'quote_not_unique' WHEN reliability IS NULL THEN 'score_missing' ELSE 'none' END AS warning FROM ev",
     "flw_evidence_coverage": f"WITH {_EVIDENCE} SELECT country, language, count(*) AS claims, count(*) FILTER (reliability IS NULL) AS without_score, count(*) FILTER (matches = 0) AS not_found FROM ev GROUP BY 1, 2",
     "flw_pair_packs": f"WITH RECURSIVE {reliability._BASE}, z AS (SELECT p.event, row_number() OVER (PARTITION BY p.event ORDER BY p.a, p.b) AS k, coalesce(length(x.text), 0) + coalesce(length(y.text), 0) AS cost FROM p JOIN documents x ON x.doc_id = p.a JOIN documents y ON y.doc_id = p.b WHERE p.a < p.b AND sim >= 0.3), pk AS (SELECT event, k, cost, CAST(1 AS BIGINT) AS pack, cost AS used, 1 AS held FROM z WHERE k = 1 UNION ALL SELECT z.event, z.k, z.cost, CASE WHEN r.used + z.cost > 18000 OR r.held >= 8 THEN r.pack + 1 ELSE r.pack END, CASE WHEN r.used + z.cost > 18000 OR r.held >= 8 THEN z.cost ELSE r.used + z.cost END, CASE WHEN r.used + z.cost > 18000 OR r.held >= 8 THEN 1 ELSE r.held + 1 END FROM pk r JOIN z ON z.event = r.event AND z.k = r.k + 1) SELECT event, pack, count(*) AS pairs, CAST(sum(cost) AS BIGINT) AS chars FROM pk GROUP BY 1, 2",
+    "flw_collection_export": f"WITH {_H}, s AS (SELECT doc_id, min(text_snippet) AS text_snippet FROM snippet_docs GROUP BY 1) SELECT {', '.join('h.' + c if c != 'text_snippet' else c for c in EXPORT)} FROM h LEFT JOIN s ON s.doc_id = h.doc_id",
+    "flw_run_checks": f"""WITH {_ANALYSIS}, {_H},
+co AS (SELECT doc_id, coalesce(nullif(upper(trim(country)), ''), 'UNKNOWN') AS country, language, tier FROM raw_docs),
+x AS (SELECT an.doc_id, claim_id, coalesce(nullif(upper(trim(country)), ''), 'UNKNOWN') AS country, language, quote, tier, published_date AS event_date FROM an JOIN h ON h.doc_id = an.doc_id WHERE quote IS NOT NULL),
+y AS (SELECT x.*, co.country AS c2, co.language AS l2, co.tier AS t2 FROM x JOIN co ON co.doc_id = x.doc_id),
+pp AS (WITH {reliability._BASE} SELECT a, b, sim FROM p WHERE a < b AND sim >= 0.2)
+SELECT 'collected_ids_unique' AS "check", count(*) AS broken FROM (SELECT doc_id FROM co GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'claims_of_collected_documents', count(*) FROM x WHERE doc_id NOT IN (SELECT doc_id FROM co)
+UNION ALL SELECT 'one_claim_a_document', count(*) FROM (SELECT doc_id FROM x GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'claim_ids_unique', count(*) FROM (SELECT claim_id FROM x GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'country_preserved', count(*) FROM y WHERE country IS DISTINCT FROM c2
+UNION ALL SELECT 'language_preserved', count(*) FROM y WHERE language IS DISTINCT FROM l2
+UNION ALL SELECT 'tier_preserved', count(*) FROM y WHERE tier IS DISTINCT FROM t2
+UNION ALL SELECT 'event_dates_iso', count(*) FROM x WHERE event_date IS NOT NULL AND try_strptime(event_date, '%Y-%m-%d') IS NULL
+UNION ALL SELECT 'quotes_grounded', count(*) FROM x WHERE NOT EXISTS (SELECT 1 FROM raw_docs r WHERE r.doc_id = x.doc_id AND contains(coalesce(article_text, ''), quote)) AND NOT EXISTS (SELECT 1 FROM snippet_docs r WHERE r.doc_id = x.doc_id AND contains(coalesce(text_snippet, ''), quote))
+UNION ALL SELECT 'no_similarity_with_itself', count(*) FROM pp WHERE a = b
+UNION ALL SELECT 'similarities_in_range', count(*) FROM pp WHERE sim NOT BETWEEN 0 AND 1
+UNION ALL SELECT 'similarities_reciprocal', count(*) FROM (SELECT least(a, b), greatest(a, b) FROM pp GROUP BY 1, 2 HAVING min(sim) <> max(sim))""",
     "flw_spike_keywords": r"WITH d AS (SELECT DISTINCT doc_id, CAST(collected_at AS DATE) AS day, lower(trim(regexp_replace(source_name, '\s+', ' ', 'g'))) AS source FROM raw_docs), s AS (SELECT day, count(*) AS docs FROM d GROUP BY 1 HAVING count(*) >= 5), p AS (SELECT day, source, count(*) AS n FROM d GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY n DESC, source) AS k FROM p WHERE n >= 2) SELECT CAST(s.day AS VARCHAR) AS day, docs, coalesce((SELECT string_agg(source, '|' ORDER BY k) FROM t WHERE t.day = s.day AND k <= 3), '') AS keywords FROM s",
     "flw_map_rows": f"WITH {claims._SQ}, {_L}, c AS (SELECT doc_id, count(*) AS claims, arg_min(quote, quote_id) AS first_claim FROM q GROUP BY 1) SELECT l.doc_id, event_id, title, substr(text, 1, 1600) AS original_text, CAST(source_tier AS VARCHAR) AS tier, coalesce(claims, 0) AS claims, first_claim FROM l LEFT JOIN c ON c.doc_id = l.doc_id",
 }

@@ -13,7 +13,7 @@ from strandline.operators.dedup import greedy_dedup, last_by
 from strandline.operators.joins import containment_join, sized
 from strandline.operators.ranking import adaptive_top_k
 from strandline.operators.windows import greedy_pack
-from strandline.plans import claims, reliability
+from strandline.plans import claims, collection, reliability
 from strandline.plans.collection import hits
 from strandline.session import settled
 from strandline.sources.sinks import unique_export
@@ -80,6 +80,22 @@ def collection_plan(found: DataFrame, official: dict[str, tuple[str, ...]], lang
     return chosen, judged.where("reason is not null").unionByName(doubles).select("doc_id", "reason")
 
 
+def per_language(primary: DataFrame, fallback: DataFrame, asked: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(documents, attempts): the hits of each asked language, its full-query retry where no hit is in that language,
+    duplicates of an earlier hit by address, title or body left out.
+
+    Both tables hold lang_key (the language asked in), doc_id, ord, language and the three keys; languages
+    come in the order asked, first searches before retries.
+    """
+    place = F.array_position(F.array(*map(F.lit, asked)), F.col("lang_key"))
+    met = primary.where("language = lang_key").select("lang_key").distinct()
+    retried = fallback.join(met, "lang_key", "left_anti")
+    both = primary.withColumn("kind", F.lit("primary")).unionByName(retried.withColumn("kind", F.lit("full_query_retry"))).where(place > 0)
+    both = settled(both.withColumn("turn", F.format_string("%03d-%d-%s-%s", place, F.when(F.col("kind") == "primary", 0).otherwise(1), F.col("ord"), F.col("doc_id"))))
+    attempts = both.groupBy("lang_key", "kind").agg(F.count("*").alias("docs"), F.count_if(F.col("language") == F.col("lang_key")).alias("language_matches"))
+    return greedy_dedup(both, ["url_key", "title_key", "body_key"], "turn").select("lang_key", "doc_id", "kind"), attempts
+
+
 def question_focus(quotes: DataFrame, focus: str, required: bool) -> DataFrame:
     """Quotes with ``reason``: why one is no claim, else, with ``required``, that no acceptable quote of its document names the focus."""
     told = quotes.withColumn("reason", text.claim_rejection(F.col("quote")))
@@ -196,6 +212,22 @@ def flw_plan_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir)[1].groupBy("reason").agg(F.count("*").alias("docs"))
 
 
+def _per_language(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents by the language asked in: reputable ones of languages as first searches, others as retries."""
+    found = hits(spark, sf_dir, "url", "title", "article_text", "language", "tier", "source_category")
+    asked_in = F.coalesce(F.element_at(F.split("source_category", "_"), 1), F.lit("none"))
+    keyed = found.select(F.when(asked_in == "official", "ko").when(asked_in == "research", "fr").otherwise("en").alias("lang_key"), "doc_id", "ord", F.coalesce("language", F.lit("unknown")).alias("language"), "tier", urls.canonical_url(F.col("url")).alias("url_key"), text.canonical_title(F.col("title")).alias("title_key"), text.fingerprint(F.col("article_text")).alias("body_key"))
+    return per_language(keyed.where("tier = 1").drop("tier"), keyed.where("tier > 1").drop("tier"), ("ko", "en", "fr"))
+
+
+def flw_per_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _per_language(spark, sf_dir)[0]
+
+
+def flw_language_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _per_language(spark, sf_dir)[1]
+
+
 def flw_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _latest(spark, sf_dir, "text").withColumn("d", text.body_language(F.col("text"))).select("doc_id", "d.language", "d.confidence")
 
@@ -332,6 +364,10 @@ _EVIDENCE = f"""{_ANALYSIS}, {_L},
 p AS (SELECT doc_id, unnest(paragraphs).text AS paragraph, generate_subscripts(paragraphs, 1) AS no FROM l),
 m AS (SELECT ch.doc_id, ch.quote_id, count(p.paragraph) AS matches, min(no) AS no FROM ch LEFT JOIN p ON p.doc_id = ch.doc_id AND contains(p.paragraph, ch.quote) GROUP BY 1, 2),
 ev AS (SELECT m.doc_id, CAST(m.quote_id AS INTEGER) AS quote_id, title, language, coalesce(nullif(upper(trim(source_country)), ''), 'UNKNOWN') AS country, matches, CASE WHEN matches = 1 THEN CAST(no AS INTEGER) END AS paragraph_no, CASE WHEN source_tier < 3 THEN round(credibility_weight, 4) END AS reliability FROM m JOIN l ON l.doc_id = m.doc_id)"""
+_ASKED = """
+la AS (SELECT * EXCLUDE (language), CASE split_part(source_category, '_', 1) WHEN 'official' THEN 'ko' WHEN 'research' THEN 'fr' ELSE 'en' END AS lang_key, coalesce(language, 'unknown') AS language FROM h),
+bo AS (SELECT *, CASE WHEN tier = 1 THEN 'primary' ELSE 'full_query_retry' END AS kind FROM la WHERE tier = 1 OR lang_key NOT IN (SELECT lang_key FROM la WHERE tier = 1 AND language = lang_key))
+"""
 _FLAGS = ", ".join(f"regexp_matches({'replace(c, chr(48520) || chr(51068) || chr(52824), chr(0))' if n == 'matching' else 'c'}, '{p.replace('(?<!불)', '')}') AS {n}" for n, p in fixed.QUESTION_FLAGS.items())
 _PAY = " OR ".join(f"contains(lower(coalesce(raw_content, '')), '{w}')" for w in fixed.PAYWALL)
 
@@ -350,6 +386,8 @@ SQL = {
     "flw_evidence": f"WITH {_EVIDENCE} SELECT *, CASE WHEN matches = 0 THEN 'quote_not_found' WHEN matches > 1 THEN 'quote_not_unique' WHEN reliability IS NULL THEN 'score_missing' ELSE 'none' END AS warning FROM ev",
     "flw_evidence_coverage": f"WITH {_EVIDENCE} SELECT country, language, count(*) AS claims, count(*) FILTER (reliability IS NULL) AS without_score, count(*) FILTER (matches = 0) AS not_found FROM ev GROUP BY 1, 2",
     "flw_pair_packs": f"WITH RECURSIVE {reliability._BASE}, z AS (SELECT p.event, row_number() OVER (PARTITION BY p.event ORDER BY p.a, p.b) AS k, coalesce(length(x.text), 0) + coalesce(length(y.text), 0) AS cost FROM p JOIN documents x ON x.doc_id = p.a JOIN documents y ON y.doc_id = p.b WHERE p.a < p.b AND sim >= 0.3), pk AS (SELECT event, k, cost, CAST(1 AS BIGINT) AS pack, cost AS used, 1 AS held FROM z WHERE k = 1 UNION ALL SELECT z.event, z.k, z.cost, CASE WHEN r.used + z.cost > 18000 OR r.held >= 8 THEN r.pack + 1 ELSE r.pack END, CASE WHEN r.used + z.cost > 18000 OR r.held >= 8 THEN z.cost ELSE r.used + z.cost END, CASE WHEN r.used + z.cost > 18000 OR r.held >= 8 THEN 1 ELSE r.held + 1 END FROM pk r JOIN z ON z.event = r.event AND z.k = r.k + 1) SELECT event, pack, count(*) AS pairs, CAST(sum(cost) AS BIGINT) AS chars FROM pk GROUP BY 1, 2",
+    "flw_language_attempts": f"WITH {_H}, {_ASKED} SELECT lang_key, kind, count(*) AS docs, count(*) FILTER (language = lang_key) AS language_matches FROM bo GROUP BY 1, 2",
+    "flw_per_language": f"WITH RECURSIVE {_H}, {_ASKED}, z AS (SELECT *, row_number() OVER (ORDER BY list_position(['ko', 'en', 'fr'], lang_key), kind = 'full_query_retry', collected_at, doc_id) AS k, list_filter(['u' || {collection._CANON.format(u='url')}, 't' || {collection._TITLE}, 'b' || regexp_replace(lower(coalesce(article_text, '')), '[^\\p{{L}}\\p{{N}}_]', '', 'g')], lambda x: length(x) > 1) AS ks FROM bo), r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS seen, false AS keep UNION ALL SELECT z.k, CASE WHEN list_has_any(seen, ks) THEN seen ELSE list_concat(seen, ks) END, NOT list_has_any(seen, ks) FROM r JOIN z ON z.k = r.k + 1) SELECT lang_key, doc_id, kind FROM z JOIN r ON r.k = z.k WHERE keep",
     "flw_collection_export": f"WITH {_H}, s AS (SELECT doc_id, min(text_snippet) AS text_snippet FROM snippet_docs GROUP BY 1) SELECT {', '.join('h.' + c if c != 'text_snippet' else c for c in EXPORT)} FROM h LEFT JOIN s ON s.doc_id = h.doc_id",
     "flw_run_checks": f"""WITH {_ANALYSIS}, {_H},
 co AS (SELECT doc_id, coalesce(nullif(upper(trim(country)), ''), 'UNKNOWN') AS country, language, tier FROM raw_docs),

@@ -7,14 +7,17 @@ out by hand from the rule.
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import cleaning, dates, passages, text, urls
+from strandline.functions.geometry import ring_in_box
 from strandline.plans import claims, grounding, reports
-from strandline.sources import sinks
+from strandline.session import shared_folder
+from strandline.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -280,3 +283,90 @@ def kwn_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = {"대만": "Taiwan", "대만해협": "Taiwan Strait", "긴장": "tension"}
     answer = F.pandas_udf(lambda s: s.map(lambda t: passages.translated(t, words)), "string")(F.col("t"))
     return _told(spark, [("대만해협 긴장 고조",), ("날씨",)], "t string", answer)
+
+
+def _written(spark: SparkSession, *lines: str, kind: str = "json") -> str:
+    """A folder with one text file of these lines, where all executors see it."""
+    path = f"{shared_folder(spark)}/known-{uuid.uuid4().hex}.{kind}"
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+COLLECTED = '{"output": {"by_country": {"KR": [{"doc_id": "1", "article_text": "body", "published_date": "x"}], "US": [{"doc_id": "2", "content": "short", "country": "JP"}]}}, "question": "q"}'
+
+
+@known("doc_id, country, question", [("1", "KR", "q"), ("2", "JP", "q")])
+def kwn_collection_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An enveloped collection by country: a document without a country takes its group's."""
+    return readers.collection_json(spark, _written(spark, COLLECTED)).select("doc_id", "country", "question")
+
+
+@known("doc_id, text, text_origin, content_kind, warnings", [("1", "body", "cleaned", "full", 1), ("2", "short", "paragraphs", "snippet", 0)])
+def kwn_retrieval_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = readers.retrieval_form(readers.collection_json(spark, _written(spark, COLLECTED)))
+    return rows.select("doc_id", "text", "text_origin", "content_kind", F.size("warnings").alias("warnings"))
+
+
+@known('"date", views', [("2026-01-01", 7), ("2026-01-02", 3)])
+def kwn_daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A headed series: the last line of a repeated day counts, lines without a day go."""
+    path = _written(spark, "date,views", "2026-01-01,5", "2026-01-01,7", "x,1", "2026-01-02,3", kind="csv")
+    return readers.daily_series(spark, path).select(F.col("date").cast("string").alias("date"), "views")
+
+
+@known("report_id, ord, title, text", [("r", 0, "A", "one\ntwo"), ("r", 2, "C", "three")])
+def kwn_report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = "id string, sources array<struct<title:string,paragraphs:array<struct<text:string>>>>"
+    reports_ = _rows(spark, kind, ("r", [("A", [("one",), ("two",)]), ("B", [(" ",)]), ("C", [("three",)])]), ("none", []))
+    return readers.report_documents(reports_)
+
+
+@known("id, problem", [(1, None), (2, "unreadable"), (3, "count"), (4, "count"), (5, "kind")])
+def kwn_validated_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, "id int, body string", (1, '{"n": 3, "kind": "a"}'), (2, "not json"), (3, '{"n": -1, "kind": "a"}'), (4, '{"kind": "a"}'), (5, '{"n": 1, "kind": "z"}'))
+    good, bad = readers.validated_json(rows, "body", "n int, kind string", {"count": F.col("parsed.n") >= 0, "kind": F.col("parsed.kind").isin("a", "b")})
+    return good.select("id", F.lit(None).cast("string").alias("problem")).unionByName(bad.select("id", "problem"))
+
+
+@known("id, version, state", [("a", 1, "draft"), ("a", 2, "approved"), ("b", 1, "draft")])
+def kwn_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A versioned log after one accepted change and one that came too late."""
+    kind = "id string, state string"
+    log = sinks.append_version(_rows(spark, "id string, version int, state string", ("b", 1, "draft")), _rows(spark, kind, ("a", "draft")), "id", 0)
+    log = sinks.append_version(log, _rows(spark, kind, ("a", "approved")), "id", 1)
+    try:
+        log = sinks.append_version(log, _rows(spark, kind, ("a", "late")), "id", 1)
+    except sinks.Conflict:
+        pass
+    return log.select("id", "version", "state")
+
+
+@known("id, state", [("1", "done"), ("2", "pending")])
+def kwn_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = sinks.with_digest(_rows(spark, "id string, body string", ("1", "x"), ("2", "y")), ["body"], "m")
+    done, pending = sinks.cached(work, work.where("id = '1'").select("digest", F.lit("r").alias("result")))
+    return done.select("id", F.lit("done").alias("state")).unionByName(pending.select("id", F.lit("pending").alias("state")))
+
+
+@known("report_id, markdown", [("r", "## A\n\nx\n\n[S1] [S2]\n\n## B\n\ny")])
+def kwn_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.markdown_report(_rows(spark, "report_id string, ord int, heading string, body string, sources array<string>", ("r", 2, "B", "y", []), ("r", 1, "A", "x", ["S1", "S2"])))
+
+
+@known("id, n", [(1, 2), (2, 1)])
+def kwn_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as JSON and as partitioned tables and read again."""
+    rows = _rows(spark, "id int, n int", (1, 2), (2, 1))
+    path = f"{shared_folder(spark)}/known-{uuid.uuid4().hex}"
+    sinks.write_json(rows, f"{path}.json")
+    sinks.write_partitioned(rows, f"{path}.parquet", "id")
+    back = spark.read.schema("id int, n int").json(f"{path}.json")
+    return back.intersect(spark.read.parquet(f"{path}.parquet").select(F.col("id").cast("int").alias("id"), "n"))
+
+
+@known("no, points", [(1, 5), (2, 0), (3, None)])
+def kwn_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A square that reaches out of the box is cut at its edge; one outside leaves nothing."""
+    inside = [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0], [0.0, 0.0]]
+    rows = _rows(spark, "no int, ring array<array<double>>", (1, inside), (2, [[9.0, 9.0], [10.0, 9.0], [10.0, 10.0], [9.0, 9.0]]), (3, None))
+    return rows.select("no", F.size(ring_in_box(F.col("ring"), (-1.0, -1.0, 2.0, 2.0))).alias("points"))

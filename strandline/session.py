@@ -31,10 +31,16 @@ def settled(df: DataFrame) -> DataFrame:
     cluster that would be another disk on every node, so there the setting is required.
     Reliable checkpoints survive the loss of executors, unlike local ones.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables that all executors see."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandline-", dir=os.environ.get("TMPDIR")))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()

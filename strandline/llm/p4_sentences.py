@@ -500,7 +500,8 @@ def _unmarked(line: str, gap: np.ndarray, a: int, b: int, taken: set[int], marks
     seen = set()
     for m in WEAK.finditer(line, a, b):
         end = m.end()
-        if end < b:
+        inside = line[m.start() - 1 : m.start()].isdigit() and line[end : end + 1].isdigit()
+        if end < b and not inside:  # not within a number
             wide_blank = line[m.start()] == "\u3000"
             marks[m.start() if wide_blank else end] = min(max(float(gap[end]), -8.0), 8.0) + (2.0 if wide_blank else WEAK_BIAS)
             seen.update(range(m.start(), end + 1))

@@ -57,3 +57,8 @@ def test_no_gap_before_a_mark_ends_a_sentence():
 def test_a_line_of_many_sentences_takes_linear_time():
     text = " ".join("The ship left the port." for _ in range(20_000))
     assert len(split(text)) == 20_000
+
+
+def test_a_comma_within_a_number_ends_nothing():
+    texts = ["The toll rose to 1,901 crates, the ships left, the crews rested, the port closed, the storm came, the bay froze"] * 40
+    assert not any(s.endswith("1,") for s in split(texts[0], learned(texts)))

@@ -60,6 +60,7 @@ COLON = re.compile(r"[:：][\s“\"「『‘«]*[^“\"「『‘«]*$")
 ITEM_NUMBER = re.compile(r"[\d. ]*\d{1,3}\.")
 WEAK = re.compile(r"[,，、،;；؛:：]+|　+")
 STOPPED_WORD = re.compile(r"(?<!\S)[(“\"'‘\[「『]*(\S+\.)(?=\s|$)")
+THOUSANDS = re.compile(r"\d,\d{3}(?!\d)")
 CUT_MARK = re.compile(r"\s*(?:\[\+\d+ chars\]|\.{3,}|…+)\s*$")
 ALNUM = re.compile(r"[^\W_]")
 
@@ -500,8 +501,7 @@ def _unmarked(line: str, gap: np.ndarray, a: int, b: int, taken: set[int], marks
     seen = set()
     for m in WEAK.finditer(line, a, b):
         end = m.end()
-        inside = line[m.start() - 1 : m.start()].isdigit() and line[end : end + 1].isdigit()
-        if end < b and not inside:  # not within a number
+        if end < b and not THOUSANDS.match(line, max(m.start() - 1, 0)):
             wide_blank = line[m.start()] == "\u3000"
             marks[m.start() if wide_blank else end] = min(max(float(gap[end]), -8.0), 8.0) + (2.0 if wide_blank else WEAK_BIAS)
             seen.update(range(m.start(), end + 1))

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from strandline.functions import cleaning, dates, fixed, text, urls
 from strandline.functions.keys import country_key, source_key
 from strandline.operators.dedup import greedy_dedup, last_by
-from strandline.operators.joins import containment_join, sized
+from strandline.operators.joins import containment_join, sized, suffix_join
 from strandline.operators.ranking import adaptive_top_k
 from strandline.operators.windows import greedy_pack
-from strandline.plans import claims, collection, reliability
+from strandline.plans import claims, collection, reliability, reports
 from strandline.plans.collection import hits
 from strandline.session import settled
 from strandline.sources.sinks import unique_export
@@ -96,6 +96,33 @@ def per_language(primary: DataFrame, fallback: DataFrame, asked: tuple[str, ...]
     return greedy_dedup(both, ["url_key", "title_key", "body_key"], "turn").select("lang_key", "doc_id", "kind"), attempts
 
 
+def search_queries(fragments: DataFrame, purposes: DataFrame, needed: list[str], event_date: str | None, most: int = 600) -> DataFrame:
+    """(language, query, retrieval, problem): the texts a search of each language is made with.
+
+    ``fragments`` (language, ord, text) are the translated parts of the question's meaning in order; ``purposes``
+    (language, ord, key, text) the words for what is asked, of which ``needed`` are added. The query joins all parts
+    once; the retrieval text joins the fragments once, letter case aside; a query over ``most`` characters is a
+    problem and is not cut, a blank fragment is one too.
+    """
+    asked = purposes.where(F.col("key").isin(*needed)).select("language", (F.col("ord") + 1_000_000).alias("ord"), "text")
+    date = [event_date] if event_date else []
+    of = lambda rows: rows.groupBy("language").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: F.trim(x["text"])).alias("parts"))
+    dated = F.array(*map(F.lit, date)).cast("array<string>")
+    own = of(fragments).select("language", F.col("parts").alias("own"))
+    out = own.join(of(fragments.select("language", "ord", "text").unionByName(asked)), "language")
+    once = F.filter("own", lambda x, i: ~F.exists(F.slice("own", F.lit(1), i), lambda y: F.lower(y) == F.lower(x)))
+    query = F.array_join(F.array_distinct(F.concat("parts", dated)), "; ")
+    out = out.select("language", query.alias("query"), F.array_join(F.concat(once, dated), " ").alias("retrieval"), F.exists("own", lambda x: x == "").alias("blank"))
+    return out.withColumn("problem", first_reason({"fragment_missing": F.col("blank"), "query_too_long": F.length("query") > most})).drop("blank")
+
+
+def map_edges(countries: DataFrame, reprints: DataFrame) -> DataFrame:
+    """(kind, from_country, to_country, n): an edge from every country to the event, and one from a reprint's country to its origin's."""
+    hub = countries.select(F.lit("event").alias("kind"), F.col("country").alias("from_country"), F.lit(None).cast("string").alias("to_country"), F.col("docs").alias("n"))
+    across = reprints.select(F.lit("reprint").alias("kind"), F.col("to_country").alias("from_country"), F.col("from_country").alias("to_country"), F.col("reprints").alias("n"))
+    return hub.unionByName(across)
+
+
 def question_focus(quotes: DataFrame, focus: str, required: bool) -> DataFrame:
     """Quotes with ``reason``: why one is no claim, else, with ``required``, that no acceptable quote of its document names the focus."""
     told = quotes.withColumn("reason", text.claim_rejection(F.col("quote")))
@@ -212,6 +239,16 @@ def flw_plan_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir)[1].groupBy("reason").agg(F.count("*").alias("docs"))
 
 
+def flw_map_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return map_edges(reports.rep_countries(spark, sf_dir), reports.rep_cross_country(spark, sf_dir))
+
+
+def flw_publisher_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The publisher group of each address: the first registered domain it lies in, else its host."""
+    found = suffix_join(hits(spark, sf_dir, "url").select("doc_id", "url"), table(spark, sf_dir, "source_registry").select("domain", F.monotonically_increasing_id().alias("place")), "doc_id", order="place")
+    return found.select("doc_id", F.coalesce("matched_domain", urls.host(F.col("url"))).alias("publisher_group"))
+
+
 def _per_language(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents by the language asked in: reputable ones of languages as first searches, others as retries."""
     found = hits(spark, sf_dir, "url", "title", "article_text", "language", "tier", "source_category")
@@ -388,6 +425,8 @@ SQL = {
     "flw_pair_packs": f"WITH RECURSIVE {reliability._BASE}, z AS (SELECT p.event, row_number() OVER (PARTITION BY p.event ORDER BY p.a, p.b) AS k, coalesce(length(x.text), 0) + coalesce(length(y.text), 0) AS cost FROM p JOIN documents x ON x.doc_id = p.a JOIN documents y ON y.doc_id = p.b WHERE p.a < p.b AND sim >= 0.3), pk AS (SELECT event, k, cost, CAST(1 AS BIGINT) AS pack, cost AS used, 1 AS held FROM z WHERE k = 1 UNION ALL SELECT z.event, z.k, z.cost, CASE WHEN r.used + z.cost > 18000 OR r.held >= 8 THEN r.pack + 1 ELSE r.pack END, CASE WHEN r.used + z.cost > 18000 OR r.held >= 8 THEN z.cost ELSE r.used + z.cost END, CASE WHEN r.used + z.cost > 18000 OR r.held >= 8 THEN 1 ELSE r.held + 1 END FROM pk r JOIN z ON z.event = r.event AND z.k = r.k + 1) SELECT event, pack, count(*) AS pairs, CAST(sum(cost) AS BIGINT) AS chars FROM pk GROUP BY 1, 2",
     "flw_language_attempts": f"WITH {_H}, {_ASKED} SELECT lang_key, kind, count(*) AS docs, count(*) FILTER (language = lang_key) AS language_matches FROM bo GROUP BY 1, 2",
     "flw_per_language": f"WITH RECURSIVE {_H}, {_ASKED}, z AS (SELECT *, row_number() OVER (ORDER BY list_position(['ko', 'en', 'fr'], lang_key), kind = 'full_query_retry', collected_at, doc_id) AS k, list_filter(['u' || {collection._CANON.format(u='url')}, 't' || {collection._TITLE}, 'b' || regexp_replace(lower(coalesce(article_text, '')), '[^\\p{{L}}\\p{{N}}_]', '', 'g')], lambda x: length(x) > 1) AS ks FROM bo), r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS seen, false AS keep UNION ALL SELECT z.k, CASE WHEN list_has_any(seen, ks) THEN seen ELSE list_concat(seen, ks) END, NOT list_has_any(seen, ks) FROM r JOIN z ON z.k = r.k + 1) SELECT lang_key, doc_id, kind FROM z JOIN r ON r.k = z.k WHERE keep",
+    "flw_map_edges": f"SELECT 'event' AS kind, country AS from_country, CAST(NULL AS VARCHAR) AS to_country, docs AS n FROM ({reports.SQL['rep_countries']}) UNION ALL SELECT 'reprint', to_country, from_country, reprints FROM ({reports.SQL['rep_cross_country']})",
+    "flw_publisher_groups": f"WITH {_H}, m AS (SELECT doc_id, domain FROM h JOIN (SELECT *, row_number() OVER () AS place FROM source_registry) r ON {_HOST} = domain OR ends_with({_HOST}, '.' || domain) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY place) = 1) SELECT h.doc_id, coalesce(domain, {_HOST}) AS publisher_group FROM h LEFT JOIN m ON m.doc_id = h.doc_id",
     "flw_collection_export": f"WITH {_H}, s AS (SELECT doc_id, min(text_snippet) AS text_snippet FROM snippet_docs GROUP BY 1) SELECT {', '.join('h.' + c if c != 'text_snippet' else c for c in EXPORT)} FROM h LEFT JOIN s ON s.doc_id = h.doc_id",
     "flw_run_checks": f"""WITH {_ANALYSIS}, {_H},
 co AS (SELECT doc_id, coalesce(nullif(upper(trim(country)), ''), 'UNKNOWN') AS country, language, tier FROM raw_docs),

@@ -45,6 +45,19 @@ def rebound(body: Column, old: Column, new: Column) -> Column:
     return F.regexp_replace(body, F.concat(F.lit(r"(?<![\w-])\Q"), old, F.lit(r"\E(?![\w-])")), new)
 
 
+def rebound_values(value: Column, ids: dict[str, str], schema: str) -> Column:
+    """A nested value with old ids replaced by new ones wherever they stand as whole tokens, in keys of maps and
+    texts of any depth; all ids at once, so that new ids are never replaced again."""
+    tokens = sorted(ids, key=len, reverse=True)
+    mark = lambda i: f"\u0002{i}\u0003"
+    out = F.to_json(value)
+    for i, old in enumerate(tokens):
+        out = F.regexp_replace(out, rf"(?<![\w-])\Q{old}\E(?![\w-])", mark(i))
+    for i, old in enumerate(tokens):
+        out = F.replace(out, F.lit(mark(i)), F.lit(ids[old]))
+    return F.from_json(out, schema)
+
+
 def cooccurs(text: Column, words: list[str], size: int = 1500, stride: int = 750) -> Column:
     """Offset of the first window holding all words, null without one."""
     starts = F.sequence(F.lit(0), F.greatest(F.floor((F.length(text) - 1) / stride), F.lit(0)).cast("int") * stride, F.lit(stride))

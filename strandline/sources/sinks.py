@@ -26,12 +26,19 @@ def ingest(documents: DataFrame, new: DataFrame, most: int = 500) -> DataFrame:
     return out
 
 
-def append_version(log: DataFrame, change: DataFrame, key: str, expected: int) -> DataFrame:
-    """``log`` with ``change`` as the next version of its key, refused if the latest is not ``expected``."""
+def append_version(log: DataFrame, change: DataFrame, key: str, expected: int, refused: tuple[str, ...] = ("running", "failed")) -> DataFrame:
+    """``log`` with ``change`` as the next version of its key, refused if the latest is not ``expected`` or, where the
+    log has a ``state``, is in one of the states ``refused``.
+
+    The check reads the log as it is; writers of one key are to be serialized by the table format or the driver.
+    """
     one = change.select(key).distinct()
-    latest = log.join(one, key, "left_semi").agg(F.max("version")).first()[0] or 0
+    state = F.max_by("state", "version") if "state" in log.columns else F.lit(None)
+    latest, now = log.join(one, key, "left_semi").agg(F.coalesce(F.max("version"), F.lit(0)), state).first()
     if latest != expected:
         raise Conflict(f"version {expected} is not the latest; {latest} is")
+    if now in refused:
+        raise Conflict(f"a change of state {now} is refused")
     return log.unionByName(change.withColumn("version", F.lit(expected + 1)), allowMissingColumns=True)
 
 

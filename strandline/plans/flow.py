@@ -11,7 +11,7 @@ from strandline.functions import cleaning, dates, fixed, text, urls
 from strandline.functions.keys import country_key, source_key
 from strandline.operators.dedup import greedy_dedup, last_by
 from strandline.operators.joins import containment_join, sized, suffix_join
-from strandline.operators.ranking import adaptive_top_k
+from strandline.operators.ranking import adaptive_top_k, country_quotas
 from strandline.operators.windows import greedy_pack
 from strandline.plans import claims, collection, reliability, reports
 from strandline.plans.collection import hits
@@ -235,6 +235,17 @@ def flw_plan_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir)[0]
 
 
+def flw_actor_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of one question over eight countries: sites count for their registered country, each country has its
+    quota, three of them share one, and a document counts once over all countries."""
+    registry = table(spark, sf_dir, "source_registry")
+    found = collection.registered(hits(spark, sf_dir, "url", "title", "article_text", "published_date", "score"), registry).withColumn("country", F.col("site_country"))
+    quotas = country_quotas(20, collection.COUNTRIES, collection.GREATER_CHINA)
+    allowed = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
+    chosen, _ = collection_plan(found, government_hosts(registry), LANGUAGES, AS_OF, DAYS_BACK, max(quotas.values()))
+    return chosen.where(F.col("rank") <= F.try_element_at(allowed, "country"))
+
+
 def flw_plan_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir)[1].groupBy("reason").agg(F.count("*").alias("docs"))
 
@@ -405,6 +416,19 @@ _ASKED = """
 la AS (SELECT * EXCLUDE (language), CASE split_part(source_category, '_', 1) WHEN 'official' THEN 'ko' WHEN 'research' THEN 'fr' ELSE 'en' END AS lang_key, coalesce(language, 'unknown') AS language FROM h),
 bo AS (SELECT *, CASE WHEN tier = 1 THEN 'primary' ELSE 'full_query_retry' END AS kind FROM la WHERE tier = 1 OR lang_key NOT IN (SELECT lang_key FROM la WHERE tier = 1 AND language = lang_key))
 """
+_OWN = "coalesce(nullif(upper(trim(h.country)), ''), 'UNKNOWN') AS country"
+_SITE = f"coalesce((SELECT upper(arg_min(r.country, r.place)) FROM (SELECT *, row_number() OVER () AS place FROM source_registry) r WHERE {_HOST.replace('url', 'h.url')} = r.domain OR ends_with({_HOST.replace('url', 'h.url')}, '.' || r.domain)), 'UNKNOWN') AS country"
+_PLAN = f"""{_H}, l AS (SELECT doc_id, coalesce(article_text, '') AS text FROM h), {_SCRIPTS.replace('k AS (', 'kk AS (')},
+pd AS ({collection.SQL['col_published_dates']}), cu AS ({collection.SQL['col_canonical_urls']}),
+gv AS (SELECT DISTINCT doc_id FROM h JOIN source_registry r ON r.category = 'official_government' AND ({_HOST} = r.domain OR ends_with({_HOST}, '.' || r.domain))),
+j AS (SELECT h.doc_id, collected_at, score, coalesce(nullif(upper(trim(h.country)), ''), 'UNKNOWN') AS country,
+ list_filter(['u' || canonical_url, 't' || {collection._TITLE}, 'b' || regexp_replace(lower(coalesce(article_text, '')), '[^\\p{{L}}\\p{{N}}_]', '', 'g')], lambda x: length(x) > 1) AS ks,
+ CASE WHEN NOT is_article THEN 'not_an_article' WHEN length(trim(coalesce(article_text, ''))) < 40 THEN 'body_unavailable' WHEN confidence < 0.8 THEN 'language_uncertain' WHEN lang NOT IN ({', '.join(f"'{x}'" for x in LANGUAGES)}) THEN 'language_not_selected'
+ WHEN gv.doc_id IS NOT NULL AND published IS NOT NULL AND try_strptime(published, '%Y-%m-%d') IS NULL THEN 'invalid_published_date'
+ WHEN gv.doc_id IS NOT NULL AND published IS NOT NULL AND CAST(try_strptime(published, '%Y-%m-%d') AS DATE) NOT BETWEEN DATE '{AS_OF}' - {DAYS_BACK} AND DATE '{AS_OF}' THEN 'published_outside_window' END AS reason
+ FROM h JOIN kk ON kk.doc_id = h.doc_id JOIN pd ON pd.doc_id = h.doc_id JOIN cu ON cu.doc_id = h.doc_id LEFT JOIN gv ON gv.doc_id = h.doc_id),
+z AS (SELECT *, row_number() OVER (ORDER BY collected_at, doc_id) AS k FROM j WHERE reason IS NULL),
+fo AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS seen, false AS keep UNION ALL SELECT z.k, CASE WHEN list_has_any(seen, ks) THEN seen ELSE list_concat(seen, ks) END, NOT list_has_any(seen, ks) FROM fo JOIN z ON z.k = fo.k + 1)"""
 _FLAGS = ", ".join(f"regexp_matches({'replace(c, chr(48520) || chr(51068) || chr(52824), chr(0))' if n == 'matching' else 'c'}, '{p.replace('(?<!불)', '')}') AS {n}" for n, p in fixed.QUESTION_FLAGS.items())
 _PAY = " OR ".join(f"contains(lower(coalesce(raw_content, '')), '{w}')" for w in fixed.PAYWALL)
 
@@ -425,6 +449,9 @@ SQL = {
     "flw_pair_packs": f"WITH RECURSIVE {reliability._BASE}, z AS (SELECT p.event, row_number() OVER (PARTITION BY p.event ORDER BY p.a, p.b) AS k, coalesce(length(x.text), 0) + coalesce(length(y.text), 0) AS cost FROM p JOIN documents x ON x.doc_id = p.a JOIN documents y ON y.doc_id = p.b WHERE p.a < p.b AND sim >= 0.3), pk AS (SELECT event, k, cost, CAST(1 AS BIGINT) AS pack, cost AS used, 1 AS held FROM z WHERE k = 1 UNION ALL SELECT z.event, z.k, z.cost, CASE WHEN r.used + z.cost > 18000 OR r.held >= 8 THEN r.pack + 1 ELSE r.pack END, CASE WHEN r.used + z.cost > 18000 OR r.held >= 8 THEN z.cost ELSE r.used + z.cost END, CASE WHEN r.used + z.cost > 18000 OR r.held >= 8 THEN 1 ELSE r.held + 1 END FROM pk r JOIN z ON z.event = r.event AND z.k = r.k + 1) SELECT event, pack, count(*) AS pairs, CAST(sum(cost) AS BIGINT) AS chars FROM pk GROUP BY 1, 2",
     "flw_language_attempts": f"WITH {_H}, {_ASKED} SELECT lang_key, kind, count(*) AS docs, count(*) FILTER (language = lang_key) AS language_matches FROM bo GROUP BY 1, 2",
     "flw_per_language": f"WITH RECURSIVE {_H}, {_ASKED}, z AS (SELECT *, row_number() OVER (ORDER BY list_position(['ko', 'en', 'fr'], lang_key), kind = 'full_query_retry', collected_at, doc_id) AS k, list_filter(['u' || {collection._CANON.format(u='url')}, 't' || {collection._TITLE}, 'b' || regexp_replace(lower(coalesce(article_text, '')), '[^\\p{{L}}\\p{{N}}_]', '', 'g')], lambda x: length(x) > 1) AS ks FROM bo), r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS seen, false AS keep UNION ALL SELECT z.k, CASE WHEN list_has_any(seen, ks) THEN seen ELSE list_concat(seen, ks) END, NOT list_has_any(seen, ks) FROM r JOIN z ON z.k = r.k + 1) SELECT lang_key, doc_id, kind FROM z JOIN r ON r.k = z.k WHERE keep",
+    "flw_plan_chosen": f"WITH RECURSIVE {_PLAN} SELECT country, doc_id, row_number() OVER (PARTITION BY country ORDER BY coalesce(score, 0) < 0.7, coalesce(score, 0) DESC, doc_id) AS rank, coalesce(score, 0) < 0.7 AS backfilled FROM z JOIN fo ON fo.k = z.k WHERE keep AND coalesce(score, 0) >= 0.35 QUALIFY rank <= 20",
+    "flw_actor_plan": f"WITH RECURSIVE {_PLAN.replace(_OWN, _SITE)} SELECT country, doc_id, row_number() OVER (PARTITION BY country ORDER BY coalesce(score, 0) < 0.7, coalesce(score, 0) DESC, doc_id) AS rank, coalesce(score, 0) < 0.7 AS backfilled FROM z JOIN fo ON fo.k = z.k WHERE keep AND coalesce(score, 0) >= 0.35 AND country IN ('CN', 'TW', 'HK', 'JP', 'KR', 'PK', 'IN', 'US') QUALIFY rank <= CASE WHEN country IN ('CN', 'TW') THEN 7 WHEN country = 'HK' THEN 6 ELSE 20 END",
+    "flw_plan_rejected": f"WITH RECURSIVE {_PLAN} SELECT reason, count(*) AS docs FROM (SELECT reason FROM j WHERE reason IS NOT NULL UNION ALL SELECT 'duplicate' FROM z JOIN fo ON fo.k = z.k WHERE NOT keep) GROUP BY 1",
     "flw_map_edges": f"SELECT 'event' AS kind, country AS from_country, CAST(NULL AS VARCHAR) AS to_country, docs AS n FROM ({reports.SQL['rep_countries']}) UNION ALL SELECT 'reprint', to_country, from_country, reprints FROM ({reports.SQL['rep_cross_country']})",
     "flw_publisher_groups": f"WITH {_H}, m AS (SELECT doc_id, domain FROM h JOIN (SELECT *, row_number() OVER () AS place FROM source_registry) r ON {_HOST} = domain OR ends_with({_HOST}, '.' || domain) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY place) = 1) SELECT h.doc_id, coalesce(domain, {_HOST}) AS publisher_group FROM h LEFT JOIN m ON m.doc_id = h.doc_id",
     "flw_collection_export": f"WITH {_H}, s AS (SELECT doc_id, min(text_snippet) AS text_snippet FROM snippet_docs GROUP BY 1) SELECT {', '.join('h.' + c if c != 'text_snippet' else c for c in EXPORT)} FROM h LEFT JOIN s ON s.doc_id = h.doc_id",

@@ -1,8 +1,8 @@
 """Reading level of documents by gradient-boosted regression trees.
 
 Features are distributions over a document's sentences: lengths, word lengths, clause marks
-and numbers (syntax), vocabulary evidence for each level from hashed character n-grams, and how
-alike neighbouring sentences are in it (cohesion). The trees are fitted on the small labelled
+and numbers (syntax), vocabulary evidence for each level from hashed character n-grams, and
+what neighbouring sentences share of their n-grams and evidence (cohesion). The trees are fitted on the small labelled
 table; their cross-validated predictions give the calibrated thresholds between levels.
 """
 
@@ -106,9 +106,11 @@ def _features(texts: list[str], vocabulary: Vocabulary) -> np.ndarray:
     evidence = np.zeros((n, len(LEVELS)))
     folded = np.where(word, at, 32).astype(np.uint64)
     total = np.zeros(n)
+    shared = np.zeros(n)
     for ids, place in _text_grams(folded, word):
         if len(ids):
             s = sentence[place]
+            shared = _shared(s, ids, n)  # in the end that of the longer n-grams
             first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
             evidence[s[first]] += np.add.reduceat(vocabulary.logp[ids], first, axis=0, dtype=np.float64)
             total += np.bincount(s, minlength=n)
@@ -139,9 +141,25 @@ def _features(texts: list[str], vocabulary: Vocabulary) -> np.ndarray:
         same = d[1:] == d[:-1]
         near[keep[1:]] = np.where(same, np.abs(share[keep[1:]] - share[keep[:-1]]).sum(1), 0)
     rows.append(mean(near))
+    # Cohesion: the share of a sentence's n-grams that the sentence before has too.
+    follows = np.zeros(n, bool)
+    if len(keep) > 1:
+        follows[keep[1:]] = d[1:] == d[:-1]
+    linked = np.where(follows, shared, 0)
+    rows += [mean(linked), np.sqrt(np.maximum(mean(linked**2) - mean(linked) ** 2, 0))]
     return np.stack(rows, 1)
 
 
+def _shared(sentence: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """For each sentence the share of its distinct n-gram buckets that stand in the sentence before."""
+    keys = np.unique(sentence.astype(np.int64) << BITS | ids)
+    before = keys - (1 << BITS)
+    at = np.searchsorted(keys, before)
+    at[at == len(keys)] = 0
+    own = keys >> BITS
+    return np.bincount(own[keys[at] == before], minlength=n) / np.maximum(np.bincount(own, minlength=n), 1)
+
+
 @dataclass
 class Boosted:
     """Least-squares gradient boosting of small regression trees stored as flat arrays."""

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.chars import DIGIT, LETTER, MARK, PUNCT, classes, points
 from strandline.llm.p3_language import _any_word, _buckets
+from strandline.llm.p4_sentences import distinct
 
 LEVELS = (1, 2, 3)
 BITS = 16
@@ -106,11 +107,11 @@ def _features(texts: list[str], vocabulary: Vocabulary) -> np.ndarray:
     evidence = np.zeros((n, len(LEVELS)))
     folded = np.where(word, at, 32).astype(np.uint64)
     total = np.zeros(n)
-    shared = np.zeros(n)
+    longest = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for ids, place in _text_grams(folded, word):
         if len(ids):
             s = sentence[place]
-            shared = _shared(s, ids, n)  # in the end that of the longer n-grams
+            longest = s, ids
             first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
             evidence[s[first]] += np.add.reduceat(vocabulary.logp[ids], first, axis=0, dtype=np.float64)
             total += np.bincount(s, minlength=n)
@@ -145,19 +146,18 @@ def _features(texts: list[str], vocabulary: Vocabulary) -> np.ndarray:
     follows = np.zeros(n, bool)
     if len(keep) > 1:
         follows[keep[1:]] = d[1:] == d[:-1]
-    linked = np.where(follows, shared, 0)
+    linked = np.where(follows, _shared(*longest, n), 0)
     rows += [mean(linked), np.sqrt(np.maximum(mean(linked**2) - mean(linked) ** 2, 0))]
     return np.stack(rows, 1)
 
 
 def _shared(sentence: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     """For each sentence the share of its distinct n-gram buckets that stand in the sentence before."""
-    keys = np.unique(sentence.astype(np.int64) << BITS | ids)
-    before = keys - (1 << BITS)
-    at = np.searchsorted(keys, before)
-    at[at == len(keys)] = 0
-    own = keys >> BITS
-    return np.bincount(own[keys[at] == before], minlength=n) / np.maximum(np.bincount(own, minlength=n), 1)
+    keys = distinct(sentence.astype(np.int64) << BITS | ids)
+    # A key stands twice if the sentence before has its bucket too.
+    both = np.sort(np.concatenate((keys, keys + (1 << BITS))))
+    again = both[1:][both[1:] == both[:-1]] >> BITS
+    return np.bincount(again, minlength=n)[:n] / np.maximum(np.bincount(keys >> BITS, minlength=n), 1)
 
 
 @dataclass

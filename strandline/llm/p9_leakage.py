@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.chars import DIGIT, LETTER, classes, points
+from strandline.llm.p4_sentences import distinct
 from strandline.operators.joins import sized
 from strandline.session import settled
 
@@ -39,9 +40,9 @@ BAND = 64
 def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letters and digits of all texts in one array, compatibility forms, case and all else removed,
     and the bounds of each text; a 0 ends every text."""
-    joined = "\x00".join(t.replace("\x00", " ") for t in texts) + "\x00"
-    folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", joined).casefold())
-    at = points(folded)
+    nfkc = lambda t: unicodedata.normalize("NFKC", t)
+    # Text by text: most are in normal form already, which is found out fast.
+    at = points("\x00".join(nfkc(nfkc(t.replace("\x00", " ")).casefold()) for t in texts) + "\x00")
     kind = classes()[at]
     at = at[(kind == LETTER) | (kind == DIGIT) | (at == 0)]
     return at, np.concatenate(([0], np.flatnonzero(at == 0) + 1))
@@ -273,7 +274,7 @@ def _documents_with(corpus: DataFrame, terms: list[Terms]) -> list[np.ndarray]:
                 for t, table, total in zip(terms, tables, totals):
                     where, term = t.hits(of_size[t.k], table)
                     doc = np.searchsorted(bounds, where, side="right")
-                    pair = np.unique(doc * len(t.hashes) + term)
+                    pair = distinct(doc * len(t.hashes) + term)
                     total += np.bincount(pair % max(1, len(t.hashes)), minlength=len(t.hashes))
         for g, total in enumerate(totals):
             some = np.flatnonzero(total)

@@ -31,6 +31,8 @@ BROADCAST_ROWS = 300_000
 SALTS = 32
 #: Least tokens of a run inside a line, and the share of a line's tokens that such runs must cover.
 LEAST_RUN, COVERED = 8, 0.6
+#: Share of the raw pages with a substring whose cleaned text may keep it, if it is stripped: lines and openings, and runs of any text.
+KEPT, RUN_KEPT = 0.2, 0.05
 
 TAG = re.compile(r"<[^>]*>")
 LINK = re.compile(r"!?\[([^\]]*)\]\([^)\s]*\)")
@@ -241,26 +243,44 @@ def _lines(text: str | None) -> list[list[str]]:
     return [w for x in (text or "").split("\n") if (w := tokens(visible(x)))]
 
 
+RAW, TEXT = 0, 1
+
+
+def _parts(block: pd.DataFrame) -> list[list[list[str]]]:
+    """The lines of each page as streams: those of its raw content only, of its text only, and of both, each line
+    once, so that an article is not its own repetition."""
+    raws, texts, both = [], [], []
+    for raw, text in zip(block["raw_content"], block["text"]):
+        r, t = ({tuple(w): w for w in _lines(x)} for x in (raw, text))
+        raws.append([w for k, w in r.items() if k not in t])
+        texts.append([w for k, w in t.items() if k not in r])
+        both.append([w for k, w in t.items() if k in r])
+    return raws + texts + both
+
+
 def _candidates(note_percent: float, strip_percent: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(block: pd.DataFrame) -> pd.DataFrame:
         """The repeated substrings of one block that may be judged boilerplate: what reaches a threshold on a host reaches
-        half of it in a block, and what cleaning strips is stripped from most pages of such a block."""
+        half of it in blocks that hold half of its pages or more, so in one of these texts show it at most twice as
+        often as a judgement allows."""
         n, raw = len(block), int(block["raw_content"].notna().sum())
         least_raw, least_text = max(2.0, raw * strip_percent / 200), max(2.0, n * note_percent / 200)
-        streams = [_lines(r) for r in block["raw_content"]] + [_lines(t) for t in block["text"]]
-        rows, source = set(), block["source"].iloc[0]
-        for kind, words, pages in repeated_runs(streams, int(np.ceil(least_raw))):
-            in_raw = int(np.searchsorted(pages, n))
-            in_text = len(pages) - in_raw
-            strip = in_raw >= least_raw and in_text <= (0.5 if kind == "run" else 0.8) * in_raw
+        rows, runs, source = set(), [], block["source"].iloc[0]
+        for kind, words, pages in repeated_runs(_parts(block), int(np.ceil(least_raw))):
+            part, page = np.divmod(np.array(pages), n)
+            in_raw, in_text = len(set(page[part != TEXT].tolist())), len(set(page[part != RAW].tolist()))
+            strip = in_raw >= least_raw and in_text <= 2 * (RUN_KEPT if kind == "run" else KEPT) * in_raw
             if not strip and (kind != "line" or in_text < least_text):
                 continue
             if kind == "run":
-                keys = Hashes(words)
-                zero, end = np.zeros(1, np.int64), np.array([len(words)])
-                rows.add((source, kind, int(keys.of(zero, end)[0]), int(keys.of(zero, zero + LEAST_RUN)[0]), len(words)))
+                runs.append(words)
             else:
                 rows.add((source, kind, line_key(words), 0, 0))
+        if runs:
+            size = np.array([len(w) for w in runs])
+            start = np.cumsum(size) - size
+            keys = Hashes([w for words in runs for w in words])
+            rows |= {(source, "run", *r) for r in zip(keys.of(start, start + size).tolist(), keys.of(start, start + LEAST_RUN).tolist(), size.tolist())}
         return pd.DataFrame(sorted(rows), columns=["source", "kind", "key", "anchor", "size"])
 
     return run
@@ -396,9 +416,9 @@ def host_runs(pages: DataFrame, note_percent: float = 4.0, strip_percent: float
     counted = by_host(pages.select("source", "doc_id", "text", "raw_content"), candidates, ["kind", "key", "anchor", "size"], Wanted, _count, "source string, kind string, key bigint, raw_pages bigint, both_pages bigint, text_pages bigint")
     counted = counted.groupBy("source", "kind", "key").agg(*[F.sum(c).alias(c) for c in ("raw_pages", "both_pages", "text_pages")])
     whole = sizes.groupBy("source").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("has_raw"), F.col("n")).otherwise(0)).alias("n_raw"))
-    strip = (F.col("raw_pages") >= least) & (F.col("raw_pages") * 100 >= F.col("n_raw") * strip_percent) & (F.col("both_pages") < 0.2 * F.col("raw_pages"))
+    strip = (F.col("raw_pages") >= least) & (F.col("raw_pages") * 100 >= F.col("n_raw") * strip_percent) & (F.col("both_pages") < KEPT * F.col("raw_pages"))
     note = (F.col("text_pages") >= least) & (F.col("text_pages") * 100 >= F.col("n") * note_percent)
-    run = strip & (F.col("raw_pages") >= 2 * least) & (F.col("text_pages") < 0.05 * F.col("raw_pages"))
+    run = strip & (F.col("raw_pages") >= 2 * least) & (F.col("text_pages") < RUN_KEPT * F.col("raw_pages"))
     kind = F.when((F.col("kind") == "line") & strip, "strip").when((F.col("kind") == "label") & strip, "label").when((F.col("kind") == "run") & run, "run").when((F.col("kind") == "line") & note, "note")
     judged = counted.join(sized(whole, BROADCAST_ROWS), "source").join(candidates, ["source", "kind", "key"])
     return judged.select("source", kind.alias("kind"), "key", "anchor", "size").where("kind is not null")

@@ -216,13 +216,33 @@ def _added(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, counts
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte, first all lowest bytes: what most of them share compresses to nothing."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    if not planes:
+        return np.zeros(0, np.uint64)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1)
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their steps."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(blob), dtype=np.uint64)
+
+
 def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    return keys.tobytes() + np.ascontiguousarray(counts, np.int64).tobytes()
+    return _packed_keys(keys) + _planes(counts.astype(np.int64).reshape(-1))
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    flat = np.frombuffer(blob, np.int64).reshape(5, -1)
-    return flat[0].view(np.uint64), flat[1:].reshape(2, 2, -1)
+    n = len(blob) // 40
+    return _keys(blob[: 8 * n]), _numbers(blob[8 * n :]).view(np.int64).reshape(2, 2, n)
 
 
 def _cuts(keys: np.ndarray, slices: int) -> np.ndarray:
@@ -567,7 +587,7 @@ def _answered(asks: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _unpacked(counted["counts"].iloc[0])
         index = Index(keys)
         for part, asked in zip(asks["part"], asks["keys"]):
-            at = index.places(np.frombuffer(asked, np.uint64))
+            at = index.places(_keys(asked))
             at = at[at >= 0]
             rows.append((part, int(asks["slice"].iloc[0]), _packed(keys[at], counts[:, :, at])))
     return pd.DataFrame(rows, columns=["part", "slice", "counts"])
@@ -590,7 +610,7 @@ def sentences(texts: DataFrame, edges: CountedEdges) -> DataFrame:
     def ask(part: pd.DataFrame) -> pd.DataFrame:
         keys = _asked(list(once(part)["text"]))
         at = _cuts(keys, slices)
-        rows = [(i, int(part["part"].iloc[0]), keys[a:b].tobytes()) for i, (a, b) in enumerate(zip(at, at[1:])) if a < b]
+        rows = [(i, int(part["part"].iloc[0]), _packed_keys(keys[a:b])) for i, (a, b) in enumerate(zip(at, at[1:])) if a < b]
         return pd.DataFrame(rows, columns=["slice", "part", "keys"])
 
     def run(part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:

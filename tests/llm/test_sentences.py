@@ -62,3 +62,12 @@ def test_a_line_of_many_sentences_takes_linear_time():
 def test_a_comma_within_a_number_ends_nothing():
     texts = ["The toll rose to 1,901 crates, the ships left, the crews rested, the port closed, the storm came, the bay froze"] * 40
     assert not any(s.endswith("1,") for s in split(texts[0], learned(texts)))
+
+
+def test_packed_tables_come_back_whole():
+    rng = p4.np.random.default_rng(3)
+    for n in (0, 1, 5000):
+        keys = p4.distinct(rng.integers(0, 2**63, n).astype(p4.np.uint64) * p4.np.uint64(2))
+        counts = rng.integers(0, 2**40, (2, 2, len(keys)))
+        back = p4._unpacked(p4._packed(keys, counts))
+        assert (back[0] == keys).all() and (back[1] == counts).all() and (p4._keys(p4._packed_keys(keys)) == keys).all()

@@ -79,7 +79,7 @@ def _unit_starts(text: str, place: np.ndarray, stream: np.ndarray) -> tuple[np.n
     # A gap that ends a unit still looks back to that unit's own start.
     run = np.maximum.accumulate(begin)
     run[1:] = np.where(begin[1:] > 0, run[:-1], run[1:])
-    return run, np.concatenate((ends, breaks))
+    return run, np.union1d(ends, breaks)  # a gap that is both ends one unit
 
 
 def _count(batches: Iterator[pd.DataFrame], asked: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -130,12 +130,13 @@ def _line_keys(texts: list[str]) -> np.ndarray:
 
 def _ending_odds(counts: list[tuple[F.Column, F.Column]]) -> F.Column:
     """Log-odds that a last line is a whole unit, from the longest context seen elsewhere; counts of its contexts, its own taken away."""
-    p = F.lit(0.5)
+    # Both shares are carried on: 1 - p would be 0 once a line has ended some ten thousand times in every context.
+    p, q = F.lit(0.5), F.lit(0.5)
     for n, ends in counts:
-        p = (ends + 2 * p) / (n + 2)
+        p, q = (ends + 2 * p) / (n + 2), (n - ends + 2 * q) / (n + 2)
     # ``n`` and ``ends`` are now those of the whole unit: one that stands complete elsewhere is complete, though longer ones begin like it.
-    p = F.when((ends >= 3) & (10 * ends >= n), F.greatest(p, F.lit(0.9))).otherwise(p)
-    return F.log(p / (1 - p))
+    odds = p / q
+    return F.log(F.when((ends >= 3) & (10 * ends >= n), F.greatest(odds, F.lit(9.0))).otherwise(odds))
 
 
 def last_unit(text: str) -> tuple[str, str, bool, bool, bool, bool]:

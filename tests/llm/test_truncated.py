@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import p6_truncated as p6
 
@@ -54,3 +56,18 @@ def test_words_of_any_length_are_known(spark):
     word = "anti" + "disestablishmentarianism" * 3
     rows = [(f"d{i}", f"They spoke of {word} at noon {i}.") for i in range(20)] + [("cut", f"On day two they heard much of {word[:60]}")]
     assert found(spark, rows) == {"cut": "prefix"}
+
+
+@pytest.mark.parametrize("n", [0, 2, 1_381, 65_000, 10**12])
+def test_lines_that_always_end_have_finite_odds(spark, n):
+    df = spark.createDataFrame([(n, n), (n, 0)], "n long, ends long")
+    always, never = (r.odds for r in df.select(p6._ending_odds([(F.col("n"), F.col("ends"))] * p6.CONTEXTS).alias("odds")).collect())
+    want = math.log(2 * ((n + 2) / 2) ** p6.CONTEXTS - 1)  # each context takes the smaller share q to 2 q / (n + 2)
+    assert never == pytest.approx(-want) and always == pytest.approx(max(want, math.log(9)) if n >= 3 else want)
+
+
+def test_a_gap_that_is_two_kinds_of_end_counts_once():
+    text = "完了。*\nnext\n"
+    stream, place = p6._stream(p6.points(text))
+    ends = p6._unit_starts(text, place, stream)[1].tolist()
+    assert ends == sorted(set(ends)) and stream[ends[0]] == 10
